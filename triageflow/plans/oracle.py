@@ -113,3 +113,49 @@ def summary_select(digits: int = 6) -> str:
     cols = ["accuracy", "macro_precision", "macro_recall", "macro_f1",
             "weighted_precision", "weighted_recall", "weighted_f1"]
     return "SELECT model, " + ", ".join(f"round({c}, {digits}) AS {c}" for c in cols) + ", n_rows FROM summ"
+
+
+def seeded_key(id_expr: str, salt: str, seed: int = 42) -> str:
+    return f"md5(concat_ws(':', '{seed}', {q(salt)}, coalesce(CAST({id_expr} AS VARCHAR), '')))"
+
+
+def split_ctes(src: str, out: str, salt: str, test_size_expr: str, split_col: str = "split",
+               names: tuple[str, str] = ("train", "test"), seed: int = 42) -> str:
+    """Stratified split of relation ``src`` (column ``label``) into ``out`` with
+    quotas by largest remainder on the kept part and a plain per-class rank."""
+    p = out
+    return f"""{p}_keyed AS (SELECT *, {seeded_key('Id', salt, seed)} AS _k FROM {src}),
+{p}_cc AS (SELECT label, count(*) AS n_c FROM {p}_keyed GROUP BY label),
+{p}_tot AS (SELECT sum(n_c) AS n, CAST({test_size_expr} AS BIGINT) AS n_test FROM {p}_cc),
+{p}_q0 AS (SELECT label, n_c, n - n_test AS n_train, ((n - n_test) * n_c) // n AS fl,
+             ((n - n_test) * n_c) % n AS rem FROM {p}_cc CROSS JOIN {p}_tot),
+{p}_q1 AS (SELECT *, n_train - sum(fl) OVER () AS extra,
+             row_number() OVER (ORDER BY rem DESC, label NULLS LAST) AS rr FROM {p}_q0),
+{p}_quota AS (SELECT label, n_c - (fl + CASE WHEN rr <= extra THEN 1 ELSE 0 END) AS quota FROM {p}_q1),
+{p}_ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY _k, Id) AS _rn FROM {p}_keyed),
+{out} AS (SELECT r.* EXCLUDE (_k, _rn), CASE WHEN r._rn <= q.quota THEN {q(names[1])} ELSE {q(names[0])} END AS {split_col}
+          FROM {p}_ranked r JOIN {p}_quota q ON r.label IS NOT DISTINCT FROM q.label)"""
+
+
+def balanced_ctes(src: str, out: str, salt: str, total: int, seed: int = 42) -> str:
+    p = out
+    return f"""{p}_keyed AS (SELECT *, {seeded_key('Id', salt, seed)} AS _k FROM {src} WHERE label IS NOT NULL),
+{p}_ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY _k, Id) AS _rn FROM {p}_keyed),
+{out} AS (SELECT * EXCLUDE (_k, _rn) FROM {p}_ranked
+          WHERE _rn <= {total} // (SELECT count(DISTINCT label) FROM {p}_keyed))"""
+
+
+SPLIT_CTE = ALERTS_CTE + ",\n" + split_ctes("alerts", "split_alerts", "split",
+                                            "ceil(CAST(0.2 AS DOUBLE) * sum(n_c))")
+EVAL_CTE = SPLIT_CTE + ",\n" + "test_alerts AS (SELECT * EXCLUDE (split) FROM split_alerts WHERE split = 'test'),\n" \
+    + balanced_ctes("test_alerts", "eval_subset0", "subset", 300) + ",\n" \
+    + f"eval_subset AS (SELECT *, {seeded_key('Id', 'subset-shuffle')} AS shuffle_key FROM eval_subset0)"
+SFT_CTE = EVAL_CTE + ",\n" + """train_alerts AS (SELECT * EXCLUDE (split) FROM split_alerts WHERE split = 'train'),
+clean_train AS (SELECT * FROM train_alerts t WHERE NOT EXISTS (
+  SELECT 1 FROM eval_subset e WHERE CAST(e.Id AS VARCHAR) IS NOT DISTINCT FROM CAST(t.Id AS VARCHAR))),
+""" + balanced_ctes("clean_train", "sft_bal", "sft", 12000) + ",\n" \
+    + split_ctes("sft_bal", "sft_tv", "sft-val", "1000", "sft_split", ("train", "val")) + ",\n" \
+    + f"""sft_all AS (
+  SELECT *, {seeded_key('Id', 'sft-shuffle')} AS shuffle_key FROM sft_tv
+  UNION ALL BY NAME
+  SELECT * EXCLUDE (shuffle_key), 'test' AS sft_split, {seeded_key('Id', 'sft-shuffle')} AS shuffle_key FROM eval_subset)"""

@@ -125,3 +125,56 @@ def q_label_domain(spark, sf_dir):
     from pyspark.sql import Window
     d = _alerts(spark, sf_dir).where(F.col("label").isNotNull()).select("label").distinct()
     return d.withColumn("label_order", F.row_number().over(Window.orderBy("label")))
+
+
+# --- T1: stratified 80/20 split ---------------------------------------------
+from triageflow.plans import jobs  # noqa: E402
+
+
+@register("stratified_split", "T1",
+          sql=O.with_ctes(O.SPLIT_CTE) + "SELECT Id, label, split FROM split_alerts")
+def q_stratified_split(spark, sf_dir):
+    return jobs.corpus_split(_alerts(spark, sf_dir)).select("Id", "label", "split")
+
+
+# --- T3 / P7 / O5: balanced evaluation subset over the test split ----------
+@register("balanced_subset", "T3 P7 O5",
+          sql=O.with_ctes(O.EVAL_CTE)
+          + "SELECT Id, IncidentId, AlertId, Timestamp, alert_text, label FROM eval_subset")
+def q_balanced_subset(spark, sf_dir):
+    return jobs.eval_subset(jobs.corpus_split(_alerts(spark, sf_dir))).select(
+        "Id", "IncidentId", "AlertId", "Timestamp", "alert_text", "label")
+
+
+# --- T4: seeded shuffle order (sort key carried explicitly) ----------------
+@register("shuffled_order", "T4 T5",
+          sql=O.with_ctes(O.EVAL_CTE) + "SELECT Id, shuffle_key FROM eval_subset")
+def q_shuffled_order(spark, sf_dir):
+    return jobs.eval_subset(jobs.corpus_split(_alerts(spark, sf_dir))).select("Id", "shuffle_key")
+
+
+# --- J1: leakage-free training rows -----------------------------------------
+@register("leakage_free_train", "J1",
+          sql=O.with_ctes(O.SFT_CTE) + "SELECT Id, label FROM clean_train")
+def q_leakage_free_train(spark, sf_dir):
+    from triageflow.operators import sampling as S
+    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    train = split.where(F.col("split") == "train")
+    return S.exclude_ids(train, jobs.eval_subset(split)).select("Id", "label")
+
+
+# --- T2 / L6: SFT corpus split sizes ----------------------------------------
+@register("sft_corpus_counts", "T2 L6 A1",
+          sql=O.with_ctes(O.SFT_CTE) + """
+SELECT sft_split, label, count(*) AS n FROM sft_all GROUP BY sft_split, label""")
+def q_sft_corpus_counts(spark, sf_dir):
+    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    corpus = jobs.sft_corpus(split, jobs.eval_subset(split))
+    return corpus.groupBy("sft_split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sft_split", "T2",
+          sql=O.with_ctes(O.SFT_CTE) + "SELECT Id, label, sft_split, shuffle_key FROM sft_all")
+def q_sft_split(spark, sf_dir):
+    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    return jobs.sft_corpus(split, jobs.eval_subset(split)).select("Id", "label", "sft_split", "shuffle_key")
