@@ -13,6 +13,18 @@ PY_WHITESPACE_CLASS = r"[\t\n\x0B\f\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028
 _STRIP_PATTERN = rf"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$"
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and return ``body(v)``.
+
+    Catalyst inlines a derived column into every reference when it pushes a
+    filter below a projection; an expression that mentions a large
+    sub-expression several times (JSON parse chains, label normalisation) would
+    then be copied that many times into the predicate. Binding it as a lambda
+    variable keeps one copy per reference.
+    """
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def py_strip(col: Column | str) -> Column:
     """``str.strip()``: remove leading/trailing whitespace incl. tabs and newlines."""
     c = F.col(col) if isinstance(col, str) else col

@@ -159,3 +159,107 @@ clean_train AS (SELECT * FROM train_alerts t WHERE NOT EXISTS (
   SELECT *, {seeded_key('Id', 'sft-shuffle')} AS shuffle_key FROM sft_tv
   UNION ALL BY NAME
   SELECT * EXCLUDE (shuffle_key), 'test' AS sft_split, {seeded_key('Id', 'sft-shuffle')} AS shuffle_key FROM eval_subset)"""
+
+
+# --- answers ---------------------------------------------------------------
+from triageflow.constants import (HYBRID_PARSE_FALLBACK_SUMMARY, LABEL_ALIASES_NARROW,  # noqa: E402
+                                  LABEL_ALIASES_WIDE, TRIAGE_PARSE_FALLBACK_SUMMARY,
+                                  TRIAGE_REQUEST_FAILED_PREFIX)
+from triageflow.sources.fixtures import (HYBRID_ANSWER_SHAPES, REQUEST_ERROR_TEXT,  # noqa: E402
+                                         TRIAGE_ANSWER_SHAPES)
+
+NO_ANSWER_TEXT = "no answer stored for this alert"
+
+
+def strip_sql(e: str) -> str:
+    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+
+def pick_sql(key: str, shapes: list[str]) -> str:
+    return f"CASE {key} % {len(shapes)} " + " ".join(f"WHEN {i} THEN {q(s)}" for i, s in enumerate(shapes)) + " END"
+
+
+def answers_cte(name: str, shapes: list[str], shift: int = 0) -> str:
+    return f"""{name} AS (
+  SELECT o_orderkey AS Id,
+    CASE WHEN o_orderkey % 13 <> 12 THEN {pick_sql(f'(o_orderkey + {shift})', shapes)} END AS raw_response,
+    CASE WHEN o_orderkey % 13 = 12 THEN {q(REQUEST_ERROR_TEXT)} END AS request_error,
+    0.5 + (o_orderkey % 40) / 10.0 AS latency_seconds
+  FROM orders)"""
+
+
+def normalize_sql(raw: str, aliases: dict[str, str]) -> str:
+    lab = strip_sql(raw)
+    key = strip_sql(f"replace(lower({lab}), '_', ' ')")
+    compact = f"replace({key}, ' ', '')"
+    cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in aliases.items())
+    labels = ", ".join(q(x) for x in LABELS)
+    return (f"CASE WHEN {lab} IN ({labels}) THEN {lab} ELSE coalesce(CASE {key} {cases} END, "
+            f"CASE {compact} {cases} END, 'INVALID_LABEL') END")
+
+
+def list_sql(parsed: str, field: str) -> str:
+    """Coerced list as JSON text (same text Spark's ``to_json`` gives)."""
+    t = f"json_type({parsed}, '$.{field}')"
+    s = f"json_extract_string({parsed}, '$.{field}')"
+    return (f"CASE WHEN {t} = 'ARRAY' THEN CAST(to_json(json_extract_string({parsed}, '$.{field}[*]')) AS VARCHAR) "
+            f"WHEN {t} = 'VARCHAR' AND length({strip_sql(s)}) > 0 THEN CAST(to_json([{s}]) AS VARCHAR) "
+            f"ELSE '[]' END")
+
+
+def parsed_ctes(src: str, out: str, greedy: bool = True, aliases: dict[str, str] = LABEL_ALIASES_WIDE) -> str:
+    """Strict parse -> regex span -> strict parse -> status -> labels over ``src``
+    (columns Id, raw_response, request_error, latency_seconds, ...)."""
+    pat = r"(?s)\{.*\}" if greedy else r"(?s)\{.*?\}"
+    p = out
+    return f"""{p}_a AS (SELECT *, {strip_sql('raw_response')} AS _s FROM {src}),
+{p}_b AS (SELECT *, regexp_extract(_s, {q(pat)}, 0) AS _span FROM {p}_a),
+{p}_c AS (SELECT *, CASE WHEN json_valid(_s) THEN (CASE WHEN json_type(_s) = 'OBJECT' THEN _s END)
+                     WHEN _span <> '' AND json_valid(_span) AND json_type(_span) = 'OBJECT' THEN _span END AS _parsed
+          FROM {p}_b),
+{p}_d AS (SELECT *, CASE WHEN request_error IS NOT NULL OR raw_response IS NULL THEN 'REQUEST_ERROR'
+                     WHEN _parsed IS NULL THEN 'PARSE_ERROR' ELSE 'OK' END AS status FROM {p}_c),
+{p}_e AS (SELECT *, CASE status WHEN 'REQUEST_ERROR' THEN 'REQUEST_ERROR' WHEN 'PARSE_ERROR' THEN 'PARSE_ERROR'
+                     ELSE coalesce(json_extract_string(_parsed, '$.predicted_label'), 'INVALID_LABEL') END
+                     AS llm_predicted_label_raw FROM {p}_d),
+{out} AS (SELECT *, {normalize_sql('llm_predicted_label_raw', aliases)} AS llm_predicted_label,
+    CASE WHEN status = 'OK' THEN coalesce(TRY_CAST(json_extract_string(_parsed, '$.confidence') AS DOUBLE), 0.0)
+      ELSE 0.0 END AS llm_confidence,
+    CASE WHEN status = 'OK' THEN coalesce(json_extract_string(_parsed, '$.reasoning_summary'), '')
+      WHEN status = 'PARSE_ERROR' THEN {q(TRIAGE_PARSE_FALLBACK_SUMMARY)}
+      ELSE {q(TRIAGE_REQUEST_FAILED_PREFIX)} || coalesce(request_error, {q(NO_ANSWER_TEXT)}) END AS llm_reasoning_summary,
+    CASE WHEN status = 'OK' THEN {list_sql('_parsed', 'recommended_actions')} ELSE '[]' END AS actions_json
+  FROM {p}_e)"""
+
+
+def guidance_ctes(src: str, out: str, parse_fallback: str = HYBRID_PARSE_FALLBACK_SUMMARY) -> str:
+    p = out
+    return f"""{p}_a AS (SELECT *, {strip_sql('raw_response')} AS _s FROM {src}),
+{p}_b AS (SELECT *, regexp_extract(_s, {q(r'(?s)\{.*\}')}, 0) AS _span FROM {p}_a),
+{p}_c AS (SELECT *, CASE WHEN json_valid(_s) THEN (CASE WHEN json_type(_s) = 'OBJECT' THEN _s END)
+                     WHEN _span <> '' AND json_valid(_span) AND json_type(_span) = 'OBJECT' THEN _span END AS _parsed
+          FROM {p}_b),
+{p}_d AS (SELECT *, CASE WHEN request_error IS NOT NULL OR raw_response IS NULL THEN 'REQUEST_ERROR'
+                     WHEN _parsed IS NULL THEN 'PARSE_ERROR' ELSE 'OK' END AS status FROM {p}_c),
+{out} AS (SELECT *,
+    CASE WHEN status = 'OK' THEN coalesce(json_extract_string(_parsed, '$.analyst_summary'), '')
+      WHEN status = 'PARSE_ERROR' THEN {q(parse_fallback)}
+      ELSE {q(TRIAGE_REQUEST_FAILED_PREFIX)} || coalesce(request_error, {q(NO_ANSWER_TEXT)}) END AS analyst_summary,
+    CASE WHEN status = 'OK' THEN coalesce(json_extract_string(_parsed, '$.risk_explanation'), '') ELSE '' END
+      AS risk_explanation,
+    CASE WHEN status = 'OK' THEN {list_sql('_parsed', 'mitre_interpretation')} ELSE '[]' END AS mitre_json,
+    CASE WHEN status = 'OK' THEN {list_sql('_parsed', 'recommended_actions')} ELSE '[]' END AS actions_json,
+    CASE WHEN status = 'OK' THEN coalesce(json_extract_string(_parsed, '$.containment_priority'), 'Unknown')
+      ELSE 'Unknown' END AS containment_priority
+  FROM {p}_d)"""
+
+
+TRIAGE_ANSWERS_CTE = answers_cte("triage_answers", TRIAGE_ANSWER_SHAPES)
+FEWSHOT_ANSWERS_CTE = answers_cte("fewshot_answers", TRIAGE_ANSWER_SHAPES, shift=5)
+HYBRID_ANSWERS_CTE = answers_cte("hybrid_answers", HYBRID_ANSWER_SHAPES)
+PARSED_CTE = TRIAGE_ANSWERS_CTE + ",\n" + parsed_ctes("triage_answers", "parsed")
+PARSED_NG_CTE = TRIAGE_ANSWERS_CTE + ",\n" + parsed_ctes("triage_answers", "parsed_ng", False, LABEL_ALIASES_NARROW)
+LLM_PRED_CTE = ALERTS_CTE + ",\n" + TRIAGE_ANSWERS_CTE + """,
+llm_join AS (SELECT a.*, a.label AS true_label, t.raw_response, t.request_error, t.latency_seconds
+             FROM alerts a LEFT JOIN triage_answers t ON a.Id = t.Id),
+""" + parsed_ctes("llm_join", "llm_pred")

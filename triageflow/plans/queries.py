@@ -178,3 +178,124 @@ def q_sft_corpus_counts(spark, sf_dir):
 def q_sft_split(spark, sf_dir):
     split = jobs.corpus_split(_alerts(spark, sf_dir))
     return jobs.sft_corpus(split, jobs.eval_subset(split)).select("Id", "label", "sft_split", "shuffle_key")
+
+
+# ===========================================================================
+# Answers (L7-L17)
+# ===========================================================================
+from triageflow.functions.jsonparse import extract_answer  # noqa: E402,F401
+from triageflow.operators import answers as A  # noqa: E402
+from triageflow.operators import prompts as P  # noqa: E402
+
+
+def _triage_answers(spark, sf_dir, shift=0):
+    configure(spark)
+    return fixtures.triage_answers(spark, sf_dir, shift)
+
+
+@register("parsed_answers", "L7 L9 L10 L11 L13 L14",
+          sql=O.with_ctes(O.PARSED_CTE) + """
+SELECT Id, status, llm_predicted_label_raw, llm_predicted_label, round(llm_confidence, 6) AS llm_confidence,
+  llm_reasoning_summary, actions_json FROM parsed""")
+def q_parsed_answers(spark, sf_dir):
+    p = A.parse_triage_answers(_triage_answers(spark, sf_dir))
+    return p.select("Id", "status", "llm_predicted_label_raw", "llm_predicted_label",
+                    F.round("llm_confidence", DIGITS).alias("llm_confidence"), "llm_reasoning_summary",
+                    F.to_json("llm_recommended_actions").alias("actions_json"))
+
+
+@register("parsed_answers_nongreedy", "L8 L12",
+          sql=O.with_ctes(O.PARSED_NG_CTE)
+          + "SELECT Id, status, llm_predicted_label_raw, llm_predicted_label FROM parsed_ng")
+def q_parsed_answers_nongreedy(spark, sf_dir):
+    p = A.parse_sft_answers(_triage_answers(spark, sf_dir))
+    return p.select("Id", "status", "llm_predicted_label_raw", "llm_predicted_label")
+
+
+@register("normalized_labels", "L11 A2",
+          sql=O.with_ctes(O.PARSED_CTE) + """
+SELECT llm_predicted_label_raw, llm_predicted_label, count(*) AS n FROM parsed
+GROUP BY llm_predicted_label_raw, llm_predicted_label""")
+def q_normalized_labels(spark, sf_dir):
+    p = A.parse_triage_answers(_triage_answers(spark, sf_dir), with_details=False)
+    return p.groupBy("llm_predicted_label_raw", "llm_predicted_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("normalized_labels_narrow", "L12",
+          sql=O.with_ctes(O.PARSED_NG_CTE) + """
+SELECT llm_predicted_label_raw, llm_predicted_label, count(*) AS n FROM parsed_ng
+GROUP BY llm_predicted_label_raw, llm_predicted_label""")
+def q_normalized_labels_narrow(spark, sf_dir):
+    p = A.parse_sft_answers(_triage_answers(spark, sf_dir))
+    return p.groupBy("llm_predicted_label_raw", "llm_predicted_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("answer_status_counts", "L9",
+          sql=O.with_ctes(O.PARSED_CTE) + "SELECT status, count(*) AS n FROM parsed GROUP BY status")
+def q_answer_status_counts(spark, sf_dir):
+    p = A.parse_triage_answers(_triage_answers(spark, sf_dir), with_details=False)
+    return p.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _llm_predictions(spark, sf_dir):
+    return A.llm_prediction_table(_alerts(spark, sf_dir), _triage_answers(spark, sf_dir))
+
+
+@register("llm_predictions", "L15 J2",
+          sql=O.with_ctes(O.LLM_PRED_CTE) + """
+SELECT Id, true_label, llm_predicted_label_raw, llm_predicted_label, round(llm_confidence, 6) AS llm_confidence,
+  round(coalesce(latency_seconds, 0.0), 6) AS latency_seconds, status FROM llm_pred""")
+def q_llm_predictions(spark, sf_dir):
+    p = _llm_predictions(spark, sf_dir)
+    return p.select("Id", "true_label", "llm_predicted_label_raw", "llm_predicted_label",
+                    F.round("llm_confidence", DIGITS).alias("llm_confidence"),
+                    F.round("latency_seconds", DIGITS).alias("latency_seconds"), "status")
+
+
+@register("llm_validity", "A1 A5 A6 P8 P9 A7",
+          sql=O.with_ctes(O.LLM_PRED_CTE) + """
+SELECT count(*) AS total,
+  CAST(sum(CASE WHEN llm_predicted_label IN ('BenignPositive','FalsePositive','TruePositive') THEN 1 ELSE 0 END) AS BIGINT) AS valid,
+  CAST(count(*) - sum(CASE WHEN llm_predicted_label IN ('BenignPositive','FalsePositive','TruePositive') THEN 1 ELSE 0 END) AS BIGINT) AS invalid,
+  round(CAST(sum(CASE WHEN true_label = llm_predicted_label THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS strict_accuracy,
+  round(CAST(sum(CASE WHEN true_label = llm_predicted_label AND llm_predicted_label IN ('BenignPositive','FalsePositive','TruePositive') THEN 1 ELSE 0 END) AS DOUBLE)
+    / nullif(sum(CASE WHEN llm_predicted_label IN ('BenignPositive','FalsePositive','TruePositive') THEN 1 ELSE 0 END), 0), 6) AS valid_accuracy,
+  round(avg(coalesce(latency_seconds, 0.0)), 6) AS mean_latency_seconds
+FROM llm_pred""")
+def q_llm_validity(spark, sf_dir):
+    p = _llm_predictions(spark, sf_dir)
+    v = M.validity_summary(p, "true_label", "llm_predicted_label")
+    lat = p.agg(F.avg("latency_seconds").alias("mean_latency_seconds"))
+    return v.crossJoin(lat).select(  # 1 row x 1 row: two global aggregates side by side
+        "total", "valid", "invalid", F.round("strict_accuracy", DIGITS).alias("strict_accuracy"),
+        F.round("valid_accuracy", DIGITS).alias("valid_accuracy"),
+        F.round("mean_latency_seconds", DIGITS).alias("mean_latency_seconds"))
+
+
+LLM_VALID_PREDS_SQL = """SELECT 'Qwen Zero-Shot' AS model, true_label, llm_predicted_label AS pred_label FROM llm_pred
+  WHERE llm_predicted_label IN ('BenignPositive','FalsePositive','TruePositive')"""
+
+
+@register("llm_eval", "L16 A8 A13",
+          sql=O.with_ctes(O.LLM_PRED_CTE, O.metric_ctes(LLM_VALID_PREDS_SQL)) + REPORT_SQL)
+def q_llm_eval(spark, sf_dir):
+    p = _llm_predictions(spark, sf_dir).where(F.col("llm_predicted_label").isin(LABELS))
+    return _rounded_report(M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label",
+                                                                "Qwen Zero-Shot")))
+
+
+SFT_PREDS_SQL = O.ALERTS_CTE + ",\n" + O.TRIAGE_ANSWERS_CTE + """,
+sft_join AS (SELECT a.*, a.label AS true_label, t.raw_response, t.request_error, t.latency_seconds
+             FROM alerts a LEFT JOIN triage_answers t ON a.Id = t.Id),
+""" + O.parsed_ctes("sft_join", "sft_pred", False, O.LABEL_ALIASES_NARROW)
+
+
+@register("sft_eval", "L17 A4 A13",
+          sql=O.with_ctes(SFT_PREDS_SQL, O.metric_ctes(
+              "SELECT 'LoRA-SFT' AS model, true_label, llm_predicted_label AS pred_label FROM sft_pred"))
+          + REPORT_SQL)
+def q_sft_eval(spark, sf_dir):
+    j = A.attach_answers(_alerts(spark, sf_dir).withColumnRenamed("label", "true_label"),
+                         _triage_answers(spark, sf_dir))
+    p = A.parse_sft_answers(j)
+    return _rounded_report(M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label", "LoRA-SFT")))
