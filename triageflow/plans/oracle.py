@@ -263,3 +263,50 @@ LLM_PRED_CTE = ALERTS_CTE + ",\n" + TRIAGE_ANSWERS_CTE + """,
 llm_join AS (SELECT a.*, a.label AS true_label, t.raw_response, t.request_error, t.latency_seconds
              FROM alerts a LEFT JOIN triage_answers t ON a.Id = t.Id),
 """ + parsed_ctes("llm_join", "llm_pred")
+
+
+# --- prompts ---------------------------------------------------------------
+def render_sql(template: str, **values: str) -> str:
+    """SQL twin of ``operators.prompts.render``."""
+    parts, rest = [], template
+    while True:
+        hits = [(rest.find("{" + k + "}"), k) for k in values if ("{" + k + "}") in rest]
+        if not hits:
+            parts.append(q(rest))
+            break
+        pos, name = min(hits)
+        parts.append(q(rest[:pos]))
+        parts.append(f"coalesce(CAST({values[name]} AS VARCHAR), '')")
+        rest = rest[pos + len(name) + 2:]
+    return strip_sql(" || ".join(parts))
+
+
+# --- driver table columns (profile twin) -------------------------------------
+DRIVER_TABLE_COLUMNS = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+}
+
+PROFILE_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS column_position, count(*) AS row_count, "
+    f"count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count FROM {t}"
+    for t, cols in DRIVER_TABLE_COLUMNS.items() for i, c in enumerate(cols))
+
+HYBRID_CTE = SCORED_CTE + ",\n" + HYBRID_ANSWERS_CTE + """,
+hyb_join AS (SELECT s.Id, s.IncidentId, s.AlertId, s.Timestamp, s.alert_text, s.label AS true_label,
+               s.predicted_label AS ml_predicted_label, h.raw_response, h.request_error, h.latency_seconds
+             FROM scored s LEFT JOIN hybrid_answers h ON s.Id = h.Id),
+""" + guidance_ctes("hyb_join", "hyb")

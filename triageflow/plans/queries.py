@@ -299,3 +299,273 @@ def q_sft_eval(spark, sf_dir):
                          _triage_answers(spark, sf_dir))
     p = A.parse_sft_answers(j)
     return _rounded_report(M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label", "LoRA-SFT")))
+
+
+# ===========================================================================
+# Prompt tables
+# ===========================================================================
+from triageflow.constants import (HYBRID_TEMPLATE, SFT_INPUT_PREFIX, SFT_INPUT_SUFFIX,  # noqa: E402
+                                  SFT_SYSTEM_PROMPT, ZERO_SHOT_TEMPLATE)
+
+
+def _prompt_query(col):
+    return lambda spark, sf_dir: _alerts(spark, sf_dir).select(
+        "Id", F.md5(col).alias("prompt_md5"), F.length(col).alias("prompt_chars"))
+
+
+def _prompt_sql(expr_sql):
+    return O.with_ctes(O.ALERTS_CTE) + f"""
+SELECT Id, md5({expr_sql}) AS prompt_md5, CAST(length({expr_sql}) AS INTEGER) AS prompt_chars FROM alerts"""
+
+
+register("prompts_zero_shot", "L1", sql=_prompt_sql(O.render_sql(ZERO_SHOT_TEMPLATE, alert_text="alert_text")))(
+    _prompt_query(P.zero_shot_prompt("alert_text")))
+register("prompts_few_shot", "L2", sql=_prompt_sql(O.render_sql(P.few_shot_template(), alert_text="alert_text")))(
+    _prompt_query(P.few_shot_prompt("alert_text")))
+
+
+@register("prompts_hybrid", "L3",
+          sql=O.with_ctes(O.SCORED_CTE) + f"""
+SELECT Id, md5({O.render_sql(HYBRID_TEMPLATE, ml_prediction='predicted_label', alert_text='alert_text')}) AS prompt_md5,
+  CAST(length({O.render_sql(HYBRID_TEMPLATE, ml_prediction='predicted_label', alert_text='alert_text')}) AS INTEGER)
+  AS prompt_chars FROM scored""")
+def q_prompts_hybrid(spark, sf_dir):
+    s = feat.score_rules(_alerts(spark, sf_dir), keep_scores=False)
+    col = P.hybrid_prompt("alert_text", "predicted_label")
+    return s.select("Id", F.md5(col).alias("prompt_md5"), F.length(col).alias("prompt_chars"))
+
+
+@register("chat_messages", "L4",
+          sql=O.with_ctes(O.ALERTS_CTE) + f"""
+SELECT Id, 0 AS msg_index, 'system' AS role, md5({O.q(SFT_SYSTEM_PROMPT)}) AS content_md5 FROM alerts
+UNION ALL
+SELECT Id, 1, 'user', md5({O.q(SFT_INPUT_PREFIX)} || alert_text || {O.q(SFT_INPUT_SUFFIX)}) FROM alerts""")
+def q_chat_messages(spark, sf_dir):
+    a = _alerts(spark, sf_dir).select("Id", F.posexplode(P.chat_messages("alert_text")).alias("msg_index", "m"))
+    return a.select("Id", "msg_index", F.col("m.role").alias("role"), F.md5("m.content").alias("content_md5"))
+
+
+@register("sft_records", "L5 L6 S6",
+          sql=O.with_ctes(O.SFT_CTE) + f"""
+SELECT Id, sft_split, md5({O.q(SFT_SYSTEM_PROMPT)}) AS instruction_md5,
+  {O.q(SFT_INPUT_PREFIX)} || alert_text || {O.q(SFT_INPUT_SUFFIX)} AS input,
+  '{{"predicted_label": "' || label || '"}}' AS output, shuffle_key FROM sft_all""")
+def q_sft_records(spark, sf_dir):
+    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    corpus = jobs.sft_corpus(split, jobs.eval_subset(split))
+    rec = P.instruction_records(corpus, keep=["Id", "sft_split", "shuffle_key"])
+    return rec.select("Id", "sft_split", F.md5("instruction").alias("instruction_md5"), "input", "output",
+                      "shuffle_key")
+
+
+# ===========================================================================
+# Hybrid records, cards, comparison
+# ===========================================================================
+from triageflow.constants import MODEL_ROLES  # noqa: E402
+from triageflow.operators import hybrid as H  # noqa: E402
+
+
+def _hybrid(spark, sf_dir):
+    scored = feat.score_rules(_alerts(spark, sf_dir), keep_scores=False)
+    return H.hybrid_records(scored, "predicted_label", fixtures.hybrid_answers(spark, sf_dir))
+
+
+@register("hybrid_records", "L18 L14 J2 P9",
+          sql=O.with_ctes(O.HYBRID_CTE) + """
+SELECT Id, true_label, ml_predicted_label, coalesce(true_label = ml_predicted_label, false) AS is_correct, status,
+  analyst_summary, risk_explanation, mitre_json, actions_json, containment_priority,
+  round(coalesce(latency_seconds, 0.0), 6) AS latency_seconds FROM hyb""")
+def q_hybrid_records(spark, sf_dir):
+    h = _hybrid(spark, sf_dir)
+    return h.select("Id", "true_label", "ml_predicted_label", "is_correct", "status", "analyst_summary",
+                    "risk_explanation", F.to_json("mitre_interpretation").alias("mitre_json"),
+                    F.to_json("recommended_actions").alias("actions_json"), "containment_priority",
+                    F.round("latency_seconds", DIGITS).alias("latency_seconds"))
+
+
+@register("coerced_lists", "L14",
+          sql=O.with_ctes(O.HYBRID_CTE) + """
+SELECT actions_json, mitre_json, status, count(*) AS n FROM hyb GROUP BY actions_json, mitre_json, status""")
+def q_coerced_lists(spark, sf_dir):
+    h = _hybrid(spark, sf_dir)
+    return (h.select(F.to_json("recommended_actions").alias("actions_json"),
+                     F.to_json("mitre_interpretation").alias("mitre_json"), "status")
+             .groupBy("actions_json", "mitre_json", "status").agg(F.count(F.lit(1)).alias("n")))
+
+
+CARD_SQL = """'## Example ' || CAST(example AS VARCHAR) || chr(10) || chr(10) ||
+  '**True Label:** ' || coalesce(true_label, '') || chr(10) || chr(10) ||
+  '**ML Prediction:** ' || coalesce(ml_predicted_label, '') || chr(10) || chr(10) ||
+  '**Correct:** ' || CASE WHEN is_correct THEN 'True' ELSE 'False' END || chr(10) || chr(10) ||
+  '**Alert Text:**' || chr(10) || chr(10) || '`' || coalesce(alert_text, '') || '`' || chr(10) || chr(10) ||
+  '**Analyst Summary:**' || chr(10) || chr(10) || coalesce(analyst_summary, '') || chr(10) || chr(10) ||
+  '**Risk Explanation:**' || chr(10) || chr(10) || coalesce(risk_explanation, '') || chr(10) || chr(10) ||
+  '**Recommended Actions:**' || chr(10) || chr(10) || actions_json || chr(10) || chr(10) ||
+  '---' || chr(10) || chr(10)"""
+
+
+@register("example_cards", "L19 O1",
+          sql=O.with_ctes(O.HYBRID_CTE) + f"""
+SELECT example, Id, {CARD_SQL} AS card FROM (
+  SELECT *, coalesce(true_label = ml_predicted_label, false) AS is_correct,
+    row_number() OVER (ORDER BY Id) AS example FROM (SELECT * FROM hyb ORDER BY Id LIMIT 5))""")
+def q_example_cards(spark, sf_dir):
+    return H.example_cards(_hybrid(spark, sf_dir), 5, ["Id"])
+
+
+def _comparison_long(spark, sf_dir):
+    """Rule, zero-shot, few-shot and fine-tuned-profile predictions over every
+    labelled alert, melted to (model, true, pred) in one pass."""
+    scored = feat.score_rules(_alerts(spark, sf_dir), keep_scores=False)
+    zero = A.parse_triage_answers(_triage_answers(spark, sf_dir), with_details=False) \
+            .select("Id", F.col("llm_predicted_label").alias("zero_pred"))
+    sft = A.parse_sft_answers(_triage_answers(spark, sf_dir)) \
+           .select("Id", F.col("llm_predicted_label").alias("sft_pred"))
+    few = A.parse_triage_answers(_triage_answers(spark, sf_dir, shift=5), with_details=False) \
+           .select("Id", F.col("llm_predicted_label").alias("few_pred"))
+    j = scored.join(zero, "Id", "left").join(few, "Id", "left").join(sft, "Id", "left")
+    return M.melt_predictions(j, "label", {"Rule-Based Baseline": "predicted_label", "Qwen Zero-Shot": "zero_pred",
+                                           "Qwen Few-Shot": "few_pred", "LoRA-SFT": "sft_pred"})
+
+
+COMPARISON_PREDS_SQL = O.SCORED_CTE + ",\n" + O.TRIAGE_ANSWERS_CTE + ",\n" + O.FEWSHOT_ANSWERS_CTE + ",\n" \
+    + O.parsed_ctes("triage_answers", "zp") + ",\n" + O.parsed_ctes("fewshot_answers", "fp") + ",\n" \
+    + O.parsed_ctes("triage_answers", "sp", False, O.LABEL_ALIASES_NARROW)
+COMPARISON_LONG_SQL = """
+  SELECT 'Rule-Based Baseline' AS model, label AS true_label, predicted_label AS pred_label FROM scored
+  UNION ALL SELECT 'Qwen Zero-Shot', s.label, z.llm_predicted_label FROM scored s LEFT JOIN zp z ON s.Id = z.Id
+  UNION ALL SELECT 'Qwen Few-Shot', s.label, f.llm_predicted_label FROM scored s LEFT JOIN fp f ON s.Id = f.Id
+  UNION ALL SELECT 'LoRA-SFT', s.label, p.llm_predicted_label FROM scored s LEFT JOIN sp p ON s.Id = p.Id"""
+ROLE_SQL = "CASE model " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in MODEL_ROLES.items()) + " END"
+
+
+@register("model_comparison", "A15 A16 O5 A14",
+          sql=O.with_ctes(COMPARISON_PREDS_SQL, O.metric_ctes(COMPARISON_LONG_SQL)) + f"""
+SELECT model, {ROLE_SQL} AS role, round(accuracy, 4) AS accuracy, round(macro_precision, 4) AS macro_precision,
+  round(macro_recall, 4) AS macro_recall, round(macro_f1, 4) AS macro_f1, round(weighted_f1, 4) AS weighted_f1
+FROM summ""")
+def q_model_comparison(spark, sf_dir):
+    cells = M.confusion_cells(_comparison_long(spark, sf_dir))
+    return M.model_comparison(cells, MODEL_ROLES).select(
+        "model", "role", "accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1")
+
+
+@register("baseline_summary", "A14 M9",
+          sql=O.with_ctes(COMPARISON_PREDS_SQL, O.metric_ctes(COMPARISON_LONG_SQL)) + O.summary_select(DIGITS))
+def q_baseline_summary(spark, sf_dir):
+    return _rounded_summary(M.confusion_cells(_comparison_long(spark, sf_dir)))
+
+
+@register("confusion_matrix_dynamic", "A9 A3",
+          sql=O.with_ctes(O.LLM_PRED_CTE) + """,
+lbl AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_order
+        FROM (SELECT DISTINCT true_label AS label FROM llm_pred WHERE true_label IS NOT NULL)),
+cells AS (SELECT true_label, llm_predicted_label AS pred_label, count(*) AS n FROM llm_pred GROUP BY ALL)
+SELECT 'Qwen Zero-Shot' AS model, t.label AS true_label, p.label AS pred_label, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
+  CAST(t.label_order * (SELECT count(*) FROM lbl) + p.label_order AS INTEGER) AS cell_order
+FROM lbl t CROSS JOIN lbl p LEFT JOIN cells c ON c.true_label = t.label AND c.pred_label = p.label""")
+def q_confusion_matrix_dynamic(spark, sf_dir):
+    p = _llm_predictions(spark, sf_dir)
+    labels = M.distinct_values(p, "true_label")
+    cells = M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label", "Qwen Zero-Shot"))
+    return M.confusion_matrix_long(cells, labels)
+
+
+@register("confusion_matrix_wide", "A8",
+          sql=O.with_ctes(O.LLM_PRED_CTE) + """
+SELECT 'Qwen Zero-Shot' AS model, t.label AS true_label,
+  CAST(count(*) FILTER (WHERE llm_predicted_label = 'BenignPositive') AS BIGINT) AS BenignPositive,
+  CAST(count(*) FILTER (WHERE llm_predicted_label = 'FalsePositive') AS BIGINT) AS FalsePositive,
+  CAST(count(*) FILTER (WHERE llm_predicted_label = 'TruePositive') AS BIGINT) AS TruePositive
+FROM (VALUES ('BenignPositive'), ('FalsePositive'), ('TruePositive')) AS t(label)
+LEFT JOIN llm_pred l ON l.true_label = t.label GROUP BY t.label""")
+def q_confusion_matrix_wide(spark, sf_dir):
+    p = _llm_predictions(spark, sf_dir)
+    cells = M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label", "Qwen Zero-Shot"))
+    return M.confusion_matrix_wide(cells)
+
+
+# ===========================================================================
+# Previews, positions, bounded scan, input check
+# ===========================================================================
+PREVIEW_COLS = ["Id", "IncidentId", "AlertId", "Timestamp", "alert_text", "label"]
+
+
+def alert_preview(df: DataFrame, limit: int = 20, order_col: str = "Id") -> DataFrame:
+    """Available preview columns, ``limit`` clamped to 1..100, lowest ``order_col`` first."""
+    n = max(1, min(int(limit), 100))
+    cols = [c for c in PREVIEW_COLS if c in df.columns]
+    return df.select(*cols).orderBy(order_col).limit(n)
+
+
+def alert_at_position(df: DataFrame, index: int, order_col: str = "Id") -> DataFrame:
+    """Row at 0-based ``index`` in ``order_col`` order; empty when out of range."""
+    if index < 0:
+        return df.limit(0)
+    return df.orderBy(order_col).offset(index).limit(1)
+
+
+@register("alert_preview", "P2 O1 O3",
+          sql=O.with_ctes(O.ALERTS_CTE) + "SELECT Id, IncidentId, AlertId, Timestamp, alert_text, label FROM alerts "
+                                         "ORDER BY Id LIMIT 20")
+def q_alert_preview(spark, sf_dir):
+    return alert_preview(_alerts(spark, sf_dir), 20)
+
+
+@register("alert_at_position", "O2",
+          sql=O.with_ctes(O.ALERTS_CTE) + "SELECT Id, IncidentId, AlertId, Timestamp, alert_text, label FROM alerts "
+                                         "ORDER BY Id LIMIT 1 OFFSET 7")
+def q_alert_at_position(spark, sf_dir):
+    return alert_at_position(_alerts(spark, sf_dir), 7)
+
+
+@register("first_n_alerts", "S2 P5",
+          sql=O.with_ctes(O.RAW_ALERTS_CTE) + """
+SELECT Id, IncidentGrade AS label FROM (SELECT * FROM raw_alerts ORDER BY Id LIMIT 1000) WHERE IncidentGrade IS NOT NULL""")
+def q_first_n_alerts(spark, sf_dir):
+    configure(spark)
+    raw = fixtures.raw_alerts(spark, sf_dir).orderBy("Id").limit(1000)
+    return feat.preprocess_alerts(raw).select("Id", "label")
+
+
+@register("reject_empty_alerts", "P10",
+          sql=O.with_ctes(O.TRIAGE_ANSWERS_CTE) + f"""
+SELECT CASE WHEN coalesce(length({O.strip_sql('raw_response')}) > 0, false) THEN 'accepted' ELSE 'rejected' END
+  AS outcome, count(*) AS n FROM triage_answers GROUP BY 1""")
+def q_reject_empty_alerts(spark, sf_dir):
+    a = _triage_answers(spark, sf_dir)
+    ok, bad = feat.split_non_empty(a, "raw_response")
+    return (ok.select(F.lit("accepted").alias("outcome")).unionByName(bad.select(F.lit("rejected").alias("outcome")))
+              .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ===========================================================================
+# Sources and sinks
+# ===========================================================================
+from triageflow.sources import io as IO  # noqa: E402
+from triageflow.sources import profile as PR  # noqa: E402
+from triageflow.sources.tables import TABLES  # noqa: E402
+from triageflow.session import checkpoint_root  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+PROCESSED_SCHEMA = T.StructType([
+    T.StructField("Id", T.LongType()), T.StructField("IncidentId", T.LongType()),
+    T.StructField("AlertId", T.LongType()), T.StructField("Timestamp", T.StringType()),
+    T.StructField("alert_text", T.StringType()), T.StructField("label", T.StringType()),
+])
+
+
+@register("csv_roundtrip", "S1 S3 S5",
+          sql=O.with_ctes(O.ALERTS_CTE) + "SELECT Id, IncidentId, AlertId, Timestamp, alert_text, label FROM alerts")
+def q_csv_roundtrip(spark, sf_dir):
+    import uuid
+    path = f"{checkpoint_root(spark)}/processed-csv-{uuid.uuid4().hex}"
+    IO.write_csv(_alerts(spark, sf_dir), path)
+    return IO.read_csv(spark, path, PROCESSED_SCHEMA)
+
+
+@register("profile_tables", "S4", sql=O.PROFILE_SQL)
+def q_profile_tables(spark, sf_dir):
+    configure(spark)
+    prof, _errors = PR.profile_tables(spark, sf_dir, TABLES)
+    return prof.drop("data_type")
