@@ -310,3 +310,19 @@ hyb_join AS (SELECT s.Id, s.IncidentId, s.AlertId, s.Timestamp, s.alert_text, s.
                s.predicted_label AS ml_predicted_label, h.raw_response, h.request_error, h.latency_seconds
              FROM scored s LEFT JOIN hybrid_answers h ON s.Id = h.Id),
 """ + guidance_ctes("hyb_join", "hyb")
+
+
+# --- text features -----------------------------------------------------------
+TOKENS_SQL = "regexp_extract_all(lower(coalesce(alert_text, '')), '\\b\\w\\w+\\b')"
+TERMS_CTE = ALERTS_CTE + f""",
+docs AS (SELECT Id, {TOKENS_SQL} AS toks FROM alerts),
+doc_terms AS (SELECT Id, unnest(toks || list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))
+              AS term FROM docs),
+tf AS (SELECT Id, term, count(*) AS tf FROM doc_terms GROUP BY Id, term),
+term_stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term),
+vocab AS (SELECT *, row_number() OVER (ORDER BY total DESC, term) AS term_rank FROM
+          (SELECT * FROM term_stats WHERE df >= 2 ORDER BY total DESC, term LIMIT 20000)),
+ndocs AS (SELECT count(*) AS n FROM alerts),
+tfw AS (SELECT tf.Id, tf.term, tf.tf * (ln((1.0 + n) / (1.0 + v.df)) + 1.0) AS w
+        FROM tf JOIN vocab v ON tf.term = v.term CROSS JOIN ndocs),
+tfidf AS (SELECT Id, term, w / sqrt(sum(w * w) OVER (PARTITION BY Id)) AS weight FROM tfw)"""

@@ -569,3 +569,63 @@ def q_profile_tables(spark, sf_dir):
     configure(spark)
     prof, _errors = PR.profile_tables(spark, sf_dir, TABLES)
     return prof.drop("data_type")
+
+
+# ===========================================================================
+# Text ML (M1-M8)
+# ===========================================================================
+from triageflow.operators import textml as TM  # noqa: E402
+
+
+@register("tokens", "M1",
+          sql=O.with_ctes(O.ALERTS_CTE) + f"""
+SELECT Id, CAST(len({O.TOKENS_SQL}) AS INTEGER) AS n_tokens, CAST(to_json({O.TOKENS_SQL}) AS VARCHAR) AS tokens_json
+FROM alerts""")
+def q_tokens(spark, sf_dir):
+    t = TM.tokens("alert_text")
+    return _alerts(spark, sf_dir).select("Id", F.size(t).alias("n_tokens"), F.to_json(t).alias("tokens_json"))
+
+
+@register("term_counts", "M2", sql=O.with_ctes(O.TERMS_CTE) + "SELECT term, df, total FROM term_stats")
+def q_term_counts(spark, sf_dir):
+    return TM.term_stats(TM.term_frequencies(_alerts(spark, sf_dir)))
+
+
+@register("vocabulary", "M3", sql=O.with_ctes(O.TERMS_CTE) + "SELECT term, df, total, term_rank FROM vocab")
+def q_vocabulary(spark, sf_dir):
+    return TM.vocabulary(TM.term_frequencies(_alerts(spark, sf_dir)))
+
+
+@register("tfidf_terms", "M4", sql=O.with_ctes(O.TERMS_CTE) + "SELECT Id, term, round(weight, 6) AS weight FROM tfidf")
+def q_tfidf_terms(spark, sf_dir):
+    t = TM.tfidf_terms(_alerts(spark, sf_dir))
+    return t.select("Id", "term", F.round("weight", DIGITS).alias("weight"))
+
+
+@register("class_weights", "M5",
+          sql=O.with_ctes(O.SPLIT_CTE) + """
+SELECT label, n, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 6) AS weight
+FROM (SELECT label, count(*) AS n FROM split_alerts WHERE split = 'train' GROUP BY label)""")
+def q_class_weights(spark, sf_dir):
+    train = jobs.corpus_split(_alerts(spark, sf_dir)).where(F.col("split") == "train")
+    return TM.class_weight_table(train).select("label", "n", F.round("weight", DIGITS).alias("weight"))
+
+
+def _lr_job(spark, sf_dir):
+    """M8: fit on the train split, score the test split."""
+    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    model = TM.fit_tfidf_lr(split.where(F.col("split") == "train"))
+    test = split.where(F.col("split") == "test")
+    return TM.predict(model, test, keep=["Id", "label"])
+
+
+@register("lr_predict", "M6 M7 S7")
+def q_lr_predict(spark, sf_dir):
+    return _lr_job(spark, sf_dir)
+
+
+@register("lr_metrics", "M8 A4 A11 A12")
+def q_lr_metrics(spark, sf_dir):
+    p = _lr_job(spark, sf_dir)
+    return _rounded_summary(M.confusion_cells(
+        M.long_predictions(p, "label", "predicted_label", "TF-IDF + Logistic Regression")))
