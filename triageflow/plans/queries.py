@@ -629,3 +629,42 @@ def q_lr_metrics(spark, sf_dir):
     p = _lr_job(spark, sf_dir)
     return _rounded_summary(M.confusion_cells(
         M.long_predictions(p, "label", "predicted_label", "TF-IDF + Logistic Regression")))
+
+
+# ===========================================================================
+# Streaming (R1 R2) and the responder hook
+# ===========================================================================
+from triageflow.operators import responders  # noqa: E402
+from triageflow.streaming import classify as ST  # noqa: E402
+
+
+def _staged_raw_alerts(spark, sf_dir, n_files=4):
+    configure(spark)
+    src = ST.scratch(spark, "incoming-alerts")
+    return ST.stage_files(fixtures.raw_alerts(spark, sf_dir), src, n_files)
+
+
+@register("stream_rule_predictions", "R1 P10",
+          sql=O.with_ctes(O.SCORED_CTE)
+          + "SELECT Id, label, tp_score, benign_score, fp_score, predicted_label FROM scored")
+def q_stream_rule_predictions(spark, sf_dir):
+    src = _staged_raw_alerts(spark, sf_dir)
+    sink, ckpt = ST.scratch(spark, "stream-sink"), ST.scratch(spark, "stream-ckpt")
+    ST.run_rule_stream(spark, src, sink, ckpt, max_files_per_trigger=1)
+    return spark.read.parquet(sink).select("Id", "label", "tp_score", "benign_score", "fp_score", "predicted_label")
+
+
+@register("stream_triage", "R2 L20 L3 L14")
+def q_stream_triage(spark, sf_dir):
+    src = _staged_raw_alerts(spark, sf_dir)
+    out, ckpt = ST.scratch(spark, "triage-out"), ST.scratch(spark, "triage-ckpt")
+    ST.run_triage_stream(spark, src, out, ckpt, responders.guidance_stub, max_files_per_trigger=2)
+    return spark.read.parquet(out)
+
+
+@register("responder_stub", "L20 L18")
+def q_responder_stub(spark, sf_dir):
+    scored = feat.score_rules(_alerts(spark, sf_dir), keep_scores=False)
+    prompts = scored.select("Id", P.hybrid_prompt("alert_text", "predicted_label").alias("prompt"))
+    answers = H.materialize(spark, H.respond(prompts, responders.guidance_stub), "responder-answers")
+    return H.hybrid_records(scored, "predicted_label", answers)
