@@ -17,7 +17,7 @@ no precision. Accuracy counts every row; invalid predictions are wrong.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triageflow.constants import LABELS
@@ -50,29 +50,24 @@ def confusion_cells(long_df: DataFrame) -> DataFrame:
     return long_df.groupBy(MODEL, TRUE, PRED).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _labels_array(labels: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in labels])
-
-
-def _models(cells: DataFrame) -> DataFrame:
-    return cells.select(MODEL).distinct()
-
-
 def confusion_matrix_long(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
     """Every ``labels x labels`` cell per model, zero cells included.
 
-    Cells with either side outside ``labels`` are dropped. The cell grid is
-    a literal array of ``len(labels)^2`` pairs exploded per model (no join
-    that multiplies rows), then matched to the observed counts.
+    Cells with either side outside ``labels`` are dropped. Each observed cell
+    explodes into one contribution per grid cell (its count on its own cell,
+    zero elsewhere), so the grid appears without a join and ``cells`` is read
+    by a single chain.
     """
-    grid_pairs = F.array(*[F.struct(F.lit(i * len(labels) + j).alias("cell_order"),
-                                    F.lit(t).alias(TRUE), F.lit(p).alias(PRED))
-                           for i, t in enumerate(labels) for j, p in enumerate(labels)])
-    grid = (_models(cells).select(MODEL, F.explode(grid_pairs).alias("_g"))
-            .select(MODEL, "_g.cell_order", "_g." + TRUE, "_g." + PRED))
-    return (grid.join(cells, [MODEL, TRUE, PRED], "left")
-                .select(MODEL, TRUE, PRED, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"),
-                        "cell_order"))
+    k = len(labels)
+    grid = [(i * k + j, t, p) for i, t in enumerate(labels) for j, p in enumerate(labels)]
+    contrib = F.array(*[F.struct(F.lit(o).alias("cell_order"), F.lit(t).alias(TRUE), F.lit(p).alias(PRED),
+                                 F.when((F.col(TRUE) == F.lit(t)) & (F.col(PRED) == F.lit(p)), F.col("n"))
+                                  .otherwise(F.lit(0)).cast("long").alias("n"))
+                        for o, t, p in grid])
+    return (cells.select(MODEL, F.explode(contrib).alias("_g"))
+                 .groupBy(MODEL, "_g.cell_order", "_g." + TRUE, "_g." + PRED)
+                 .agg(F.sum("_g.n").alias("n"))
+                 .select(MODEL, TRUE, PRED, "n", "cell_order"))
 
 
 def confusion_matrix_wide(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
@@ -82,31 +77,6 @@ def confusion_matrix_wide(cells: DataFrame, labels: list[str] = LABELS) -> DataF
     return wide.fillna(0, subset=labels)
 
 
-def per_class(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
-    """``(model, label, label_order, tp, n_pred, support, precision, recall, f1)``."""
-    contrib = cells.select(
-        MODEL,
-        F.explode(F.array(
-            F.struct(F.col(TRUE).alias("label"),
-                     F.when(F.col(TRUE) == F.col(PRED), F.col("n")).otherwise(F.lit(0)).alias("tp"),
-                     F.lit(0).cast("long").alias("n_pred"), F.col("n").alias("support")),
-            F.struct(F.col(PRED).alias("label"), F.lit(0).cast("long").alias("tp"),
-                     F.col("n").alias("n_pred"), F.lit(0).cast("long").alias("support")),
-        )).alias("_c"))
-    sums = (contrib.groupBy(MODEL, F.col("_c.label").alias("label"))
-                   .agg(F.sum("_c.tp").alias("tp"), F.sum("_c.n_pred").alias("n_pred"),
-                        F.sum("_c.support").alias("support")))
-    order = F.array(*[F.struct(F.lit(i).alias("label_order"), F.lit(x).alias("label"))
-                      for i, x in enumerate(labels)])
-    grid = _models(cells).select(MODEL, F.explode(order).alias("_l")).select(MODEL, "_l.label", "_l.label_order")
-    j = grid.join(sums, [MODEL, "label"], "left")
-    tp = F.coalesce(F.col("tp"), F.lit(0)).cast("long")
-    n_pred = F.coalesce(F.col("n_pred"), F.lit(0)).cast("long")
-    support = F.coalesce(F.col("support"), F.lit(0)).cast("long")
-    return j.select(MODEL, "label", "label_order", tp.alias("tp"), n_pred.alias("n_pred"), support.alias("support")) \
-            .select("*", *_prf(F.col("tp"), F.col("n_pred"), F.col("support")))
-
-
 def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
@@ -116,39 +86,68 @@ def _prf(tp: Column, n_pred: Column, support: Column) -> list[Column]:
             _ratio(tp * 2, n_pred + support).alias("f1")]
 
 
-def model_totals(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
-    """Per model: rows, correct rows, rows with both sides in ``labels``."""
-    in_list = F.col(TRUE).isin(labels) & F.col(PRED).isin(labels)
-    return cells.groupBy(MODEL).agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col(TRUE) == F.col(PRED), F.col("n")).otherwise(F.lit(0))).alias("n_correct"),
-        F.sum(F.when(F.coalesce(in_list, F.lit(False)), F.lit(0)).otherwise(F.col("n"))).alias("n_out_of_list"),
-    )
+def per_class(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
+    """``(model, label, label_order, tp, n_pred, support, precision, recall, f1,
+    n_rows, n_correct, n_out_of_list)``; the last three are per-model totals.
+
+    Each cell contributes (a) to its true label: tp, support, row totals;
+    (b) to its predicted label: n_pred; (c) a zero row to every listed label so
+    labels without rows still appear. One group-by, then a per-model window
+    for the totals: ``cells`` is consumed by a single chain.
+    """
+    t, p, n = F.col(TRUE), F.col(PRED), F.col("n")
+    zero = F.lit(0).cast("long")
+    in_list = F.coalesce(t.isin(labels) & p.isin(labels), F.lit(False))
+    hit = F.coalesce(t == p, F.lit(False))
+
+    def part(label, tp, n_pred, support, rows, correct, out):
+        return F.struct(label.alias("label"), tp.cast("long").alias("tp"), n_pred.cast("long").alias("n_pred"),
+                        support.cast("long").alias("support"), rows.cast("long").alias("rows"),
+                        correct.cast("long").alias("correct"), out.cast("long").alias("out"))
+
+    parts = [part(t, F.when(hit, n).otherwise(zero), zero, n, n, F.when(hit, n).otherwise(zero),
+                  F.when(in_list, zero).otherwise(n)),
+             part(p, zero, n, zero, zero, zero, zero)]
+    parts += [part(F.lit(x), zero, zero, zero, zero, zero, zero) for x in labels]
+    sums = (cells.select(MODEL, F.explode(F.array(*parts)).alias("_c"))
+                 .groupBy(MODEL, F.col("_c.label").alias("label"))
+                 .agg(*[F.sum("_c." + c).alias(c) for c in ["tp", "n_pred", "support", "rows", "correct", "out"]]))
+    w = Window.partitionBy(MODEL)
+    order = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
+    with_tot = sums.select(
+        "*", F.sum("rows").over(w).alias("n_rows"), F.sum("correct").over(w).alias("n_correct"),
+        F.sum("out").over(w).alias("n_out_of_list"))
+    return (with_tot.where(F.col("label").isin(labels))
+                    .select(MODEL, "label", order[F.col("label")].alias("label_order"), "tp", "n_pred", "support",
+                            *_prf(F.col("tp"), F.col("n_pred"), F.col("support")),
+                            "n_rows", "n_correct", "n_out_of_list"))
+
+
+def _model_aggregates(pc: DataFrame) -> list[Column]:
+    sup = F.col("support").cast("double")
+    return [
+        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
+        F.avg("f1").alias("macro_f1"),
+        F.sum(F.col("precision") * sup).alias("_wp"), F.sum(F.col("recall") * sup).alias("_wr"),
+        F.sum(F.col("f1") * sup).alias("_wf"), F.sum(sup).alias("_sup"),
+        F.sum("tp").alias("_stp"), F.sum("n_pred").alias("_spred"),
+        F.first("n_rows").alias("n_rows"), F.first("n_correct").alias("n_correct"),
+        F.first("n_out_of_list").alias("n_out_of_list"),
+    ]
+
+
+def _weighted(name: str) -> Column:
+    return F.when(F.col("_sup") > 0, F.col(name) / F.col("_sup")).otherwise(F.lit(0.0))
 
 
 def model_summary(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
     """One row per model: accuracy, macro P/R/F1, weighted P/R/F1 (full precision)."""
-    pc = per_class(cells, labels)
-    sup = F.col("support").cast("double")
-    agg = pc.groupBy(MODEL).agg(
-        F.avg("precision").alias("macro_precision"),
-        F.avg("recall").alias("macro_recall"),
-        F.avg("f1").alias("macro_f1"),
-        F.sum(F.col("precision") * sup).alias("_wp"),
-        F.sum(F.col("recall") * sup).alias("_wr"),
-        F.sum(F.col("f1") * sup).alias("_wf"),
-        F.sum(sup).alias("_sup"),
-    )
-    tot = model_totals(cells, labels)
-    return agg.join(tot, MODEL).select(
-        MODEL,
-        _ratio(F.col("n_correct"), F.col("n_rows")).alias("accuracy"),
+    agg = per_class(cells, labels).groupBy(MODEL).agg(*_model_aggregates(None))
+    return agg.select(
+        MODEL, _ratio(F.col("n_correct"), F.col("n_rows")).alias("accuracy"),
         "macro_precision", "macro_recall", "macro_f1",
-        F.when(F.col("_sup") > 0, F.col("_wp") / F.col("_sup")).otherwise(0.0).alias("weighted_precision"),
-        F.when(F.col("_sup") > 0, F.col("_wr") / F.col("_sup")).otherwise(0.0).alias("weighted_recall"),
-        F.when(F.col("_sup") > 0, F.col("_wf") / F.col("_sup")).otherwise(0.0).alias("weighted_f1"),
-        F.col("n_rows").alias("n_rows"),
-    )
+        _weighted("_wp").alias("weighted_precision"), _weighted("_wr").alias("weighted_recall"),
+        _weighted("_wf").alias("weighted_f1"), "n_rows")
 
 
 def classification_report(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
@@ -157,52 +156,44 @@ def classification_report(cells: DataFrame, labels: list[str] = LABELS) -> DataF
 
     Columns ``(model, row_order, row_name, precision, recall, f1, support)``;
     the ``accuracy`` row carries only f1 (= accuracy) and the total support.
+    Per-class rows ride along the per-model aggregate as a list of at most
+    ``len(labels)`` structs, so the whole report is one chain.
     """
-    pc = per_class(cells, labels)
     k = len(labels)
-    class_rows = pc.select(MODEL, F.col("label_order").alias("row_order"), F.col("label").alias("row_name"),
-                           "precision", "recall", "f1", "support")
-    sup = F.col("support").cast("double")
-    agg = pc.groupBy(MODEL).agg(
-        F.sum("tp").alias("s_tp"), F.sum("n_pred").alias("s_pred"), F.sum("support").alias("s_sup"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum(F.col("precision") * sup).alias("wp"), F.sum(F.col("recall") * sup).alias("wr"),
-        F.sum(F.col("f1") * sup).alias("wf"),
-    ).join(model_totals(cells, labels), MODEL)
+    row = lambda order, name, pr, rc, f1, sup: F.struct(
+        F.lit(order).alias("row_order") if isinstance(order, int) else order.alias("row_order"),
+        (F.lit(name) if isinstance(name, str) else name).alias("row_name"),
+        pr.cast("double").alias("precision"), rc.cast("double").alias("recall"), f1.cast("double").alias("f1"),
+        sup.cast("long").alias("support"))
+    pc = per_class(cells, labels)
+    class_row = row(F.col("label_order"), F.col("label"), F.col("precision"), F.col("recall"), F.col("f1"),
+                    F.col("support"))
+    agg = pc.groupBy(MODEL).agg(F.collect_list(class_row).alias("_rows"), *_model_aggregates(None))
     is_acc = F.col("n_out_of_list") == 0
-    micro = agg.select(
-        MODEL, F.lit(k).alias("row_order"),
-        F.when(is_acc, F.lit("accuracy")).otherwise(F.lit("micro avg")).alias("row_name"),
-        F.when(is_acc, F.lit(None).cast("double")).otherwise(_ratio(F.col("s_tp"), F.col("s_pred"))).alias("precision"),
-        F.when(is_acc, F.lit(None).cast("double")).otherwise(_ratio(F.col("s_tp"), F.col("s_sup"))).alias("recall"),
-        F.when(is_acc, _ratio(F.col("n_correct"), F.col("n_rows")))
-         .otherwise(_ratio(F.col("s_tp") * 2, F.col("s_pred") + F.col("s_sup"))).alias("f1"),
-        F.when(is_acc, F.col("n_rows")).otherwise(F.col("s_sup")).alias("support"),
-    )
-    macro = agg.select(MODEL, F.lit(k + 1).alias("row_order"), F.lit("macro avg").alias("row_name"),
-                       F.col("mp").alias("precision"), F.col("mr").alias("recall"), F.col("mf").alias("f1"),
-                       F.col("s_sup").alias("support"))
-    wden = F.col("s_sup").cast("double")
-    weighted = agg.select(MODEL, F.lit(k + 2).alias("row_order"), F.lit("weighted avg").alias("row_name"),
-                          F.when(wden > 0, F.col("wp") / wden).otherwise(0.0).alias("precision"),
-                          F.when(wden > 0, F.col("wr") / wden).otherwise(0.0).alias("recall"),
-                          F.when(wden > 0, F.col("wf") / wden).otherwise(0.0).alias("f1"),
-                          F.col("s_sup").alias("support"))
-    return class_rows.unionByName(micro).unionByName(macro).unionByName(weighted)
-
-
-def model_comparison(cells: DataFrame, roles: DataFrame | dict[str, str] | None = None,
+    null = F.lit(None).cast("double")
+    micro = row(k, F.when(is_acc, F.lit("accuracy")).otherwise(F.lit("micro avg")),
+                F.when(is_acc, null).otherwise(_ratio(F.col("_stp"), F.col("_spred"))),
+                F.when(is_acc, null).otherwise(_ratio(F.col("_stp"), F.col("_sup"))),
+                F.when(is_acc, _ratio(F.col("n_correct"), F.col("n_rows")))
+                 .otherwise(_ratio(F.col("_stp") * 2, F.col("_spred") + F.col("_sup"))),
+                F.when(is_acc, F.col("n_rows")).otherwise(F.col("_sup")))
+    macro = row(k + 1, "macro avg", F.col("macro_precision"), F.col("macro_recall"), F.col("macro_f1"),
+                F.col("_sup"))
+    weighted = row(k + 2, "weighted avg", _weighted("_wp"), _weighted("_wr"), _weighted("_wf"), F.col("_sup"))
+    rows = F.concat(F.col("_rows"), F.array(micro, macro, weighted))
+    return agg.select(MODEL, F.explode(rows).alias("_r")).select(
+        MODEL, "_r.row_order", "_r.row_name", "_r.precision", "_r.recall", "_r.f1", "_r.support")
+
+
+def model_comparison(cells: DataFrame, roles: dict[str, str] | None = None,
                      labels: list[str] = LABELS, digits: int = 4) -> DataFrame:
     """Comparison table: model, role, accuracy, macro P/R/F1, weighted F1, rounded."""
     s = model_summary(cells, labels)
-    out = s.select(MODEL, *[F.round(c, digits).alias(c) for c in
-                            ["accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1"]])
-    if roles is None:
-        return out.withColumn("role", F.lit(None).cast("string"))
-    if isinstance(roles, dict):
-        role_map = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])
-        return out.withColumn("role", role_map[F.col(MODEL)])
-    return out.join(roles, MODEL, "left")
+    role = (F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])[F.col(MODEL)] if roles
+            else F.lit(None).cast("string"))
+    return s.select(MODEL, role.alias("role"), *[F.round(c, digits).alias(c) for c in
+                                                 ["accuracy", "macro_precision", "macro_recall", "macro_f1",
+                                                  "weighted_f1"]])
 
 
 def label_distribution(df: DataFrame, col: str) -> DataFrame:

@@ -31,9 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triageflow.constants import LR_C, LR_MAX_ITER, TFIDF_MAX_FEATURES, TFIDF_MIN_DF
+from triageflow.functions.text import let
 from triageflow.operators.sampling import class_counts
 
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
+# Word tokens of >= 2 characters. A ``\b\w\w+\b`` match is exactly a maximal run
+# of >= 2 word characters, so the pattern is the run itself; word characters
+# are letters, numbers and underscore (Python's Unicode ``\w``), which also
+# keeps combining marks out of tokens as Python does.
+TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
 # ---------------------------------------------------------------------------
@@ -45,14 +50,14 @@ def tokens(text: Column | str) -> Column:
 
 
 def bigrams(toks: Column) -> Column:
+    """Adjacent token pairs joined by a space (``toks`` should be a bound value)."""
     n = F.greatest(F.size(toks) - 1, F.lit(0))
     return F.transform(F.slice(toks, 1, n), lambda x, i: F.concat(x, F.lit(" "), F.element_at(toks, i + 2)))
 
 
 def terms(text: Column | str) -> Column:
-    """Unigrams followed by bigrams."""
-    t = tokens(text)
-    return F.concat(t, bigrams(t))
+    """Unigrams followed by bigrams; the token array is computed once per row."""
+    return let(tokens(text), lambda t: F.concat(t, bigrams(t)))
 
 
 # ---------------------------------------------------------------------------
@@ -61,9 +66,11 @@ def terms(text: Column | str) -> Column:
 def term_frequencies(df: DataFrame, id_col: str = "Id", text_col: str = "alert_text") -> DataFrame:
     """``(id, term, tf)``: one shuffle of the compact documents by id, then the
     exploded terms are counted where they are."""
-    docs = df.select(F.col(id_col), terms(text_col).alias("_terms")).repartition(id_col)
-    return (docs.select(id_col, F.explode("_terms").alias("term"))
-                .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    docs = df.select(id_col, text_col).repartition(id_col)
+    # explode_outer: no inferred ``size(terms) > 0`` pre-filter, so the
+    # term array is computed once; documents without terms yield no rows.
+    exploded = docs.select(id_col, F.explode_outer(terms(text_col)).alias("term")).where(F.col("term").isNotNull())
+    return exploded.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(tf: DataFrame, id_col: str = "Id") -> DataFrame:

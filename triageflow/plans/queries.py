@@ -308,9 +308,12 @@ from triageflow.constants import (HYBRID_TEMPLATE, SFT_INPUT_PREFIX, SFT_INPUT_S
                                   SFT_SYSTEM_PROMPT, ZERO_SHOT_TEMPLATE)
 
 
-def _prompt_query(col):
-    return lambda spark, sf_dir: _alerts(spark, sf_dir).select(
-        "Id", F.md5(col).alias("prompt_md5"), F.length(col).alias("prompt_chars"))
+def _prompt_query(make_col):
+    def build(spark, sf_dir):
+        a = _alerts(spark, sf_dir)
+        col = make_col()
+        return a.select("Id", F.md5(col).alias("prompt_md5"), F.length(col).alias("prompt_chars"))
+    return build
 
 
 def _prompt_sql(expr_sql):
@@ -319,9 +322,9 @@ SELECT Id, md5({expr_sql}) AS prompt_md5, CAST(length({expr_sql}) AS INTEGER) AS
 
 
 register("prompts_zero_shot", "L1", sql=_prompt_sql(O.render_sql(ZERO_SHOT_TEMPLATE, alert_text="alert_text")))(
-    _prompt_query(P.zero_shot_prompt("alert_text")))
+    _prompt_query(lambda: P.zero_shot_prompt("alert_text")))
 register("prompts_few_shot", "L2", sql=_prompt_sql(O.render_sql(P.few_shot_template(), alert_text="alert_text")))(
-    _prompt_query(P.few_shot_prompt("alert_text")))
+    _prompt_query(lambda: P.few_shot_prompt("alert_text")))
 
 
 @register("prompts_hybrid", "L3",
