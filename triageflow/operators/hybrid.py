@@ -9,7 +9,6 @@ answers, and parsing back in (``operators.answers``).
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triageflow.operators import answers as A
-from triageflow.session import checkpoint_root
+from triageflow.session import materialize as _materialize
 
 ANSWER_SCHEMA = T.StructType([
     T.StructField("Id", T.LongType()),
@@ -96,12 +95,7 @@ def respond(prompts: DataFrame, responder: Callable[[str], str], prompt_col: str
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to Parquet in the shared checkpoint folder and read it back.
-
-    Used for responder output: the external calls run exactly once, and every
-    downstream plan (filters, projections, retries after a lost executor)
-    reads the stored answers instead of re-running the hook.
-    """
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Responder output is written once to the shared folder before parsing, so
+    the external calls run exactly once and every downstream plan (filters,
+    projections, retries after a lost executor) reads the stored answers."""
+    return _materialize(spark, df, name)

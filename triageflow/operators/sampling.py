@@ -9,14 +9,13 @@ Scale design. A plain ``row_number() OVER (PARTITION BY class ORDER BY key)``
 puts a whole class in one task; with three classes and 100 TB that is a
 third of the data in one sort. Instead:
 
-1. one aggregate pass counts rows per class (one row per class, capped);
-2. quotas are derived from those counts (largest remainder, exact integers);
-3. one aggregate pass builds a histogram ``(class, key-prefix bucket) -> n``
-   (at most ``classes x 16^d`` rows; ``d`` is chosen from the largest class
-   so a bucket holds ~``bucket_rows`` rows); a running sum over the small
-   histogram finds each class's boundary bucket;
-4. rows below their class's boundary are in, rows above are out; only the
-   rows of the single boundary bucket per class are ranked.
+1. one aggregate pass builds a histogram ``(class, key-prefix bucket) -> n``
+   (at most ``classes x 16^5`` rows), written once to the shared folder;
+2. per-class totals (one row per class, capped) come from the histogram and
+   give the quotas (largest remainder, exact integers);
+3. a running sum over the small histogram finds each class's boundary bucket;
+4. a second pass keeps rows below their class's boundary, drops rows above,
+   and ranks only the rows of the single boundary bucket per class.
 
 Every step is a Spark aggregate or a filter; the only values on the driver
 are per-class scalars (row counts, quotas, boundary buckets).
@@ -92,10 +91,7 @@ def balanced_quotas(counts: dict, total: int) -> dict:
     return {c: min(k, n) for c, n in real.items()}
 
 
-def _bucket_digits(max_class_rows: int, bucket_rows: int) -> int:
-    if max_class_rows <= bucket_rows:
-        return 1
-    return min(12, max(1, math.ceil(math.log(max_class_rows / bucket_rows, 16))))
+BUCKET_DIGITS = 5  # 16^5 buckets per class: a boundary bucket of a 10^12-row class holds ~10^6 rows
 
 
 def _lookup(class_col: str, values: dict) -> Column:
@@ -108,28 +104,43 @@ def _lookup(class_col: str, values: dict) -> Column:
     return expr
 
 
+def key_histogram(df: DataFrame, class_col: str, key: Column, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """``(class, bucket, n)``: rows per class and key-prefix bucket. Partial
+    aggregation keeps the shuffle at <= classes x 16^digits rows per task."""
+    keyed = df.select(F.col(class_col), F.substring(key, 1, digits).alias(BUCKET))
+    return keyed.groupBy(class_col, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _store_histogram(df: DataFrame, class_col: str, key: Column, digits: int) -> tuple[DataFrame, dict]:
+    """Histogram written once to the shared folder (it is read twice) and the
+    per-class totals summed from it (one row per class, capped)."""
+    from triageflow.session import materialize
+    hist = materialize(df.sparkSession, key_histogram(df, class_col, key, digits), "key-histogram")
+    rows = hist.groupBy(class_col).agg(F.sum("_n").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{class_col!r} has more than {MAX_CLASSES} classes")
+    return hist, {r[0]: int(r[1]) for r in rows}
+
+
 def select_by_quota(df: DataFrame, class_col: str, quotas: dict, key: Column,
-                    tiebreak: Sequence[str], flag: str = "selected",
-                    bucket_rows: int = 200_000, max_class_rows: int | None = None) -> DataFrame:
+                    tiebreak: Sequence[str], flag: str = "selected", digits: int = BUCKET_DIGITS,
+                    hist: DataFrame | None = None) -> DataFrame:
     """All rows of ``df`` plus boolean ``flag``: True for the ``quotas[c]`` rows of
     class ``c`` with the lowest ``(key, *tiebreak)``."""
-    max_rows = max_class_rows if max_class_rows is not None else max(quotas.values() or [0])
-    d = _bucket_digits(max(max_rows, 1), bucket_rows)
-    keyed = df.withColumn(KEY, key).withColumn(BUCKET, F.substring(F.col(KEY), 1, d))
-
+    keyed = df.withColumn(KEY, key).withColumn(BUCKET, F.substring(F.col(KEY), 1, digits))
     active = {c: q for c, q in quotas.items() if q > 0}
     if not active:
         return keyed.withColumn(flag, F.lit(False)).drop(KEY, BUCKET)
+    if hist is None:
+        hist = key_histogram(df, class_col, key, digits)
 
-    # Histogram of (class, bucket) -> running count -> boundary bucket per class.
-    quota_of = _lookup(class_col, active)
-    hist = (keyed.groupBy(class_col, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-                 .withColumn("_quota", quota_of).where(F.col("_quota").isNotNull()))
+    # Running count over the (small) histogram -> boundary bucket per class.
     w = Window.partitionBy(class_col).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_n").over(w))
-    bounds = (hist.where((F.col("_cum") - F.col("_n") < F.col("_quota")) & (F.col("_quota") <= F.col("_cum")))
-                  .select(class_col, BUCKET, (F.col("_quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
-                  .collect())
+    h = (hist.withColumn("_quota", _lookup(class_col, active)).where(F.col("_quota").isNotNull())
+             .withColumn("_cum", F.sum("_n").over(w)))
+    bounds = (h.where((F.col("_cum") - F.col("_n") < F.col("_quota")) & (F.col("_quota") <= F.col("_cum")))
+               .select(class_col, BUCKET, (F.col("_quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
+               .collect())
     # One row per class with a positive quota (bounded by the class cap).
     bucket_of = _lookup(class_col, {r[0]: r[1] for r in bounds})
     need = _lookup(class_col, {r[0]: int(r[2]) for r in bounds})
@@ -148,27 +159,27 @@ def select_by_quota(df: DataFrame, class_col: str, quotas: dict, key: Column,
 def stratified_split(df: DataFrame, class_col: str, test_size: float | int, id_col: str = "Id",
                      seed: int = RANDOM_STATE, salt: str = "split", tiebreak: Sequence[str] | None = None,
                      split_col: str = "split", names: tuple[str, str] = ("train", "test"),
-                     bucket_rows: int = 200_000) -> DataFrame:
+                     digits: int = BUCKET_DIGITS) -> DataFrame:
     """Every row with ``split_col`` = train/test; test is ``test_size`` (fraction
     or row count) of the rows, class shares kept, disjoint and complete."""
-    counts = class_counts(df, class_col)
+    key = order_key(id_col, seed, salt)
+    hist, counts = _store_histogram(df, class_col, key, digits)
     quotas = split_quotas(counts, test_size)
     tb = list(tiebreak) if tiebreak is not None else [id_col]
-    flagged = select_by_quota(df, class_col, quotas, order_key(id_col, seed, salt), tb, "_held",
-                              bucket_rows=bucket_rows, max_class_rows=max(counts.values()))
+    flagged = select_by_quota(df, class_col, quotas, key, tb, "_held", digits, hist)
     return flagged.withColumn(split_col, F.when(F.col("_held"), F.lit(names[1])).otherwise(F.lit(names[0]))) \
                   .drop("_held")
 
 
 def balanced_sample(df: DataFrame, class_col: str, total: int, id_col: str = "Id",
                     seed: int = RANDOM_STATE, salt: str = "balanced", tiebreak: Sequence[str] | None = None,
-                    bucket_rows: int = 200_000) -> DataFrame:
+                    digits: int = BUCKET_DIGITS) -> DataFrame:
     """``min(total // n_classes, class size)`` rows per class, without replacement."""
-    counts = class_counts(df, class_col)
+    key = order_key(id_col, seed, salt)
+    hist, counts = _store_histogram(df, class_col, key, digits)
     quotas = balanced_quotas(counts, total)
     tb = list(tiebreak) if tiebreak is not None else [id_col]
-    flagged = select_by_quota(df, class_col, quotas, order_key(id_col, seed, salt), tb, "_take",
-                              bucket_rows=bucket_rows, max_class_rows=max(counts.values() or [0]))
+    flagged = select_by_quota(df, class_col, quotas, key, tb, "_take", digits, hist)
     return flagged.where(F.col("_take")).drop("_take")
 
 

@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer,
-                                RegexTokenizer, SQLTransformer, StringIndexer)
+                                RegexTokenizer, SQLTransformer)
+from pyspark import StorageLevel
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,31 +145,37 @@ def fit_tfidf_lr(train: DataFrame, text_col: str = "alert_text", label_col: str
     to n), without standardisation, intercept unpenalised in both.
     """
     clean = train.where(F.col(label_col).isNotNull()).withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    counts = {k: v for k, v in class_counts(clean, label_col).items() if k is not None}
+    labels = sorted(counts)
     tok, ngram, concat, cv = _feature_stages(text_col, max_features, min_df)
     base = Pipeline(stages=[tok, ngram, concat, cv]).fit(clean)
-    tf_df = base.transform(clean)
-    idf_model = IDF(inputCol="_tf", outputCol="_idf_unused").fit(tf_df)
-    scale = DenseVector([v + 1.0 for v in idf_model.idf.toArray()])  # <= max_features values
-    product = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf")
-    normalizer = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-    indexer = StringIndexer(inputCol=label_col, outputCol="_label_idx", stringOrderType="alphabetAsc").fit(clean)
-
-    feats = normalizer.transform(product.transform(tf_df))
-    feats = indexer.transform(feats)
-    if class_weight == "balanced":
-        weights = balanced_class_weights(clean, label_col)
-        feats = with_class_weight(feats, weights, label_col, "_weight")
-        total_w = float(sum(weights[k] * n for k, n in class_counts(clean, label_col).items() if k in weights))
-    else:
-        feats = feats.withColumn("_weight", F.lit(1.0))
-        total_w = float(clean.count())
-    lr = LogisticRegression(featuresCol="features", labelCol="_label_idx", weightCol="_weight",
-                            family="multinomial", regParam=1.0 / (c * total_w), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=tol, fitIntercept=True,
-                            predictionCol="_pred_idx", probabilityCol="probability",
-                            rawPredictionCol="_raw")
-    lr_model = lr.fit(feats.select("features", "_label_idx", "_weight"))
-    to_label = IndexToString(inputCol="_pred_idx", outputCol="predicted_label", labels=indexer.labels)
+    # Count vectors are reused by the IDF fit and every L-BFGS pass: persist
+    # them (spilling to disk if needed) for the duration of the fit.
+    tf_df = base.transform(clean).select("_tf", label_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        idf_model = IDF(inputCol="_tf", outputCol="_idf_unused").fit(tf_df)
+        scale = DenseVector([v + 1.0 for v in idf_model.idf.toArray()])  # <= max_features values
+        product = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf")
+        normalizer = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
+        index_of = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(float(i)))])
+        feats = normalizer.transform(product.transform(tf_df)).withColumn("_label_idx", index_of[F.col(label_col)])
+        if class_weight == "balanced":
+            n, k = sum(counts.values()), len(counts)
+            weights = {c: n / (k * m) for c, m in counts.items()}
+            feats = with_class_weight(feats, weights, label_col, "_weight")
+            total_w = float(sum(weights[c] * m for c, m in counts.items()))
+        else:
+            feats = feats.withColumn("_weight", F.lit(1.0))
+            total_w = float(sum(counts.values()))
+        lr = LogisticRegression(featuresCol="features", labelCol="_label_idx", weightCol="_weight",
+                                family="multinomial", regParam=1.0 / (c * total_w), elasticNetParam=0.0,
+                                standardization=False, maxIter=max_iter, tol=tol, fitIntercept=True,
+                                predictionCol="_pred_idx", probabilityCol="probability",
+                                rawPredictionCol="_raw")
+        lr_model = lr.fit(feats.select("features", "_label_idx", "_weight"))
+    finally:
+        tf_df.unpersist()
+    to_label = IndexToString(inputCol="_pred_idx", outputCol="predicted_label", labels=labels)
     return PipelineModel(stages=[*base.stages, product, normalizer, lr_model, to_label])
 
 

@@ -14,7 +14,7 @@ from triageflow.constants import (EVAL_SUBSET_SIZE, RANDOM_STATE, SFT_MAX_TRAIN_
                                   TEST_FRACTION)
 from triageflow.operators import features as feat
 from triageflow.operators import sampling as S
-from triageflow.session import configure
+from triageflow.session import configure, materialize
 from triageflow.sources import fixtures
 
 
@@ -28,6 +28,13 @@ def corpus_split(alerts: DataFrame, test_size: float = TEST_FRACTION, seed: int
     return S.stratified_split(alerts, "label", test_size, id_col="Id", seed=seed, salt="split")
 
 
+def stored_split(spark: SparkSession, sf_dir: str, test_size: float = TEST_FRACTION,
+                 seed: int = RANDOM_STATE) -> DataFrame:
+    """E1 output: the split corpus written once (Parquet, shared folder); every
+    later step (subset, SFT corpus, model training) scans it."""
+    return materialize(spark, corpus_split(processed_alerts(spark, sf_dir), test_size, seed), "split-corpus")
+
+
 def eval_subset(split_df: DataFrame, size: int = EVAL_SUBSET_SIZE, seed: int = RANDOM_STATE) -> DataFrame:
     """T3 over the test split: the shared balanced evaluation subset, with its
     shuffle key (T4) for sinks that need the shuffled order."""
@@ -44,6 +51,9 @@ def sft_corpus(split_df: DataFrame, eval_df: DataFrame, max_train_rows: int = SF
     train = split_df.where(F.col("split") == "train").drop("split")
     clean = S.exclude_ids(train, eval_df, "Id", "Id")
     balanced = S.balanced_sample(clean, "label", max_train_rows, id_col="Id", seed=seed, salt="sft")
+    # At most ``max_train_rows`` rows: stored once so the val split's passes
+    # do not repeat the anti join and the balancing.
+    balanced = materialize(balanced.sparkSession, balanced, "sft-balanced")
     tv = S.stratified_split(balanced, "label", val_size, id_col="Id", seed=seed, salt="sft-val",
                             split_col="sft_split", names=("train", "val"))
     tv = S.with_shuffle_key(tv, "Id", seed, salt="sft-shuffle")

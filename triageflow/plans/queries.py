@@ -142,7 +142,7 @@ def q_stratified_split(spark, sf_dir):
           sql=O.with_ctes(O.EVAL_CTE)
           + "SELECT Id, IncidentId, AlertId, Timestamp, alert_text, label FROM eval_subset")
 def q_balanced_subset(spark, sf_dir):
-    return jobs.eval_subset(jobs.corpus_split(_alerts(spark, sf_dir))).select(
+    return jobs.eval_subset(jobs.stored_split(spark, sf_dir)).select(
         "Id", "IncidentId", "AlertId", "Timestamp", "alert_text", "label")
 
 
@@ -150,7 +150,7 @@ def q_balanced_subset(spark, sf_dir):
 @register("shuffled_order", "T4 T5",
           sql=O.with_ctes(O.EVAL_CTE) + "SELECT Id, shuffle_key FROM eval_subset")
 def q_shuffled_order(spark, sf_dir):
-    return jobs.eval_subset(jobs.corpus_split(_alerts(spark, sf_dir))).select("Id", "shuffle_key")
+    return jobs.eval_subset(jobs.stored_split(spark, sf_dir)).select("Id", "shuffle_key")
 
 
 # --- J1: leakage-free training rows -----------------------------------------
@@ -158,7 +158,7 @@ def q_shuffled_order(spark, sf_dir):
           sql=O.with_ctes(O.SFT_CTE) + "SELECT Id, label FROM clean_train")
 def q_leakage_free_train(spark, sf_dir):
     from triageflow.operators import sampling as S
-    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    split = jobs.stored_split(spark, sf_dir)
     train = split.where(F.col("split") == "train")
     return S.exclude_ids(train, jobs.eval_subset(split)).select("Id", "label")
 
@@ -168,7 +168,7 @@ def q_leakage_free_train(spark, sf_dir):
           sql=O.with_ctes(O.SFT_CTE) + """
 SELECT sft_split, label, count(*) AS n FROM sft_all GROUP BY sft_split, label""")
 def q_sft_corpus_counts(spark, sf_dir):
-    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    split = jobs.stored_split(spark, sf_dir)
     corpus = jobs.sft_corpus(split, jobs.eval_subset(split))
     return corpus.groupBy("sft_split", "label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -176,7 +176,7 @@ def q_sft_corpus_counts(spark, sf_dir):
 @register("sft_split", "T2",
           sql=O.with_ctes(O.SFT_CTE) + "SELECT Id, label, sft_split, shuffle_key FROM sft_all")
 def q_sft_split(spark, sf_dir):
-    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    split = jobs.stored_split(spark, sf_dir)
     return jobs.sft_corpus(split, jobs.eval_subset(split)).select("Id", "label", "sft_split", "shuffle_key")
 
 
@@ -354,7 +354,7 @@ SELECT Id, sft_split, md5({O.q(SFT_SYSTEM_PROMPT)}) AS instruction_md5,
   {O.q(SFT_INPUT_PREFIX)} || alert_text || {O.q(SFT_INPUT_SUFFIX)} AS input,
   '{{"predicted_label": "' || label || '"}}' AS output, shuffle_key FROM sft_all""")
 def q_sft_records(spark, sf_dir):
-    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    split = jobs.stored_split(spark, sf_dir)
     corpus = jobs.sft_corpus(split, jobs.eval_subset(split))
     rec = P.instruction_records(corpus, keep=["Id", "sft_split", "shuffle_key"])
     return rec.select("Id", "sft_split", F.md5("instruction").alias("instruction_md5"), "input", "output",
@@ -610,13 +610,13 @@ def q_tfidf_terms(spark, sf_dir):
 SELECT label, n, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 6) AS weight
 FROM (SELECT label, count(*) AS n FROM split_alerts WHERE split = 'train' GROUP BY label)""")
 def q_class_weights(spark, sf_dir):
-    train = jobs.corpus_split(_alerts(spark, sf_dir)).where(F.col("split") == "train")
+    train = jobs.stored_split(spark, sf_dir).where(F.col("split") == "train")
     return TM.class_weight_table(train).select("label", "n", F.round("weight", DIGITS).alias("weight"))
 
 
 def _lr_job(spark, sf_dir):
     """M8: fit on the train split, score the test split."""
-    split = jobs.corpus_split(_alerts(spark, sf_dir))
+    split = jobs.stored_split(spark, sf_dir)
     model = TM.fit_tfidf_lr(split.where(F.col("split") == "train"))
     test = split.where(F.col("split") == "test")
     return TM.predict(model, test, keep=["Id", "label"])

@@ -68,3 +68,17 @@ def checkpoint_root(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def materialize(spark: SparkSession, df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage at a stage boundary that several later jobs reuse (the
+    split corpus, stored model answers): downstream jobs scan columnar files
+    with pushdown instead of recomputing joins, and a lost executor costs a
+    re-read, not a recomputation of everything upstream.
+    """
+    import uuid
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -30,7 +30,7 @@ def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     dimension, a proven bound, so it is broadcast explicitly.
     """
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                               "o_orderdate", "o_orderpriority"])
+                                               "o_orderdate", "o_orderpriority"], spread=True)
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     j = (o.join(c, o.o_custkey == c.c_custkey, "left")
@@ -104,7 +104,7 @@ def triage_answers(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFram
 
     ``shift`` rotates the shapes so a second model's answers differ.
     """
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey"], spread=True)
     key = F.col("o_orderkey") + F.lit(shift)
     failed = F.col("o_orderkey") % 13 == 12
     return o.select(
@@ -116,7 +116,7 @@ def triage_answers(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFram
 
 
 def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey"], spread=True)
     key = F.col("o_orderkey")
     failed = key % 13 == 12
     return o.select(

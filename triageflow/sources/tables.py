@@ -15,7 +15,27 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet scan; ``columns`` keeps ReadSchema narrow even before Catalyst prunes."""
+def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has cores.
+
+    A parquet file with one row group is one split, so its whole downstream
+    pipeline (text assembly, JSON parsing, scoring) would run in one task. A
+    scan that small is cheap to redistribute; a large input already has at
+    least that many splits and is returned untouched (no shuffle at scale).
+    The partition count comes from planning the scan, not from running it.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               spread: bool = False) -> DataFrame:
+    """Parquet scan; ``columns`` keeps ReadSchema narrow even before Catalyst prunes.
+    ``spread`` applies :func:`spread_small_input` (for fact tables that feed
+    per-row CPU work)."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    return spread_small_input(df) if spread else df
