@@ -57,16 +57,16 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for materialised stages and checkpoints.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    runs, tests) a fresh scratch folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir`` (the SparkContext picks it
+    up at start). Only when it is unset (local runs, tests) a fresh scratch
+    folder is created and registered with ``setCheckpointDir``.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="triageflow-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        sc.setCheckpointDir(root)
+        root = sc.getCheckpointDir() or root
     return root.rstrip("/")
 
 
