@@ -65,13 +65,20 @@ def terms(text: Column | str) -> Column:
 # Relational TF-IDF
 # ---------------------------------------------------------------------------
 def term_frequencies(df: DataFrame, id_col: str = "Id", text_col: str = "alert_text") -> DataFrame:
-    """``(id, term, tf)``: one shuffle of the compact documents by id, then the
-    exploded terms are counted where they are."""
-    docs = df.select(id_col, text_col).repartition(id_col)
-    # explode_outer: no inferred ``size(terms) > 0`` pre-filter, so the
-    # term array is computed once; documents without terms yield no rows.
-    exploded = docs.select(id_col, F.explode_outer(terms(text_col)).alias("term")).where(F.col("term").isNotNull())
-    return exploded.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(_doc, id, term, tf)`` with one ``_doc`` per input row.
+
+    Every row is its own document (ids may repeat), keyed by a row-unique
+    ``_doc``. The compact ``(key, id, text)`` rows are hash-partitioned by that
+    key once, so no id can become a hot partition; the exploded terms keep that
+    partitioning, so counting and the per-document norm need no further shuffle.
+    """
+    docs = (df.select(F.monotonically_increasing_id().alias("_doc"), id_col, text_col)
+              .repartition("_doc"))
+    # explode_outer: no inferred ``size(terms) > 0`` pre-filter, so the term
+    # array is computed once; documents without terms yield no rows.
+    exploded = (docs.select("_doc", id_col, F.explode_outer(terms(text_col)).alias("term"))
+                    .where(F.col("term").isNotNull()))
+    return exploded.groupBy("_doc", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(tf: DataFrame, id_col: str = "Id") -> DataFrame:
@@ -101,7 +108,7 @@ def tfidf_terms(df: DataFrame, id_col: str = "Id", text_col: str = "alert_text",
     vocab = vocabulary(fit_tf, max_features, min_df).select(
         "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     w = tf.join(F.broadcast(vocab), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_doc")))
     return w.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
 
 

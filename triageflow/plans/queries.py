@@ -671,3 +671,40 @@ def q_responder_stub(spark, sf_dir):
     prompts = scored.select("Id", P.hybrid_prompt("alert_text", "predicted_label").alias("prompt"))
     answers = H.materialize(spark, H.respond(prompts, responders.guidance_stub), "responder-answers")
     return H.hybrid_records(scored, "predicted_label", answers)
+
+
+# ===========================================================================
+# Jobs that need the trained classifier (rows-only: no SQL twin for L-BFGS)
+# ===========================================================================
+def _subset_with_models(spark, sf_dir):
+    """E2 on the shared evaluation subset: rule and TF-IDF+LR predictions side by
+    side (the two-prediction table), LR trained on the train split."""
+    split = jobs.stored_split(spark, sf_dir)
+    model = TM.fit_tfidf_lr(split.where(F.col("split") == "train"))
+    subset = jobs.eval_subset(split)
+    lr = TM.predict(model, subset).withColumnRenamed("predicted_label", "logreg_prediction")
+    return feat.score_rules(lr, pred_col="rule_based_prediction", keep_scores=False)
+
+
+@register("subset_baselines", "M9 A14 J2")
+def q_subset_baselines(spark, sf_dir):
+    both = _subset_with_models(spark, sf_dir)
+    long_df = M.melt_predictions(both, "label", {"Rule-Based Baseline": "rule_based_prediction",
+                                                 "TF-IDF + Logistic Regression": "logreg_prediction"})
+    return M.model_summary(M.confusion_cells(long_df)).drop("n_rows")
+
+
+@register("model_comparison_subset", "A15 A16 O5 L18")
+def q_model_comparison_subset(spark, sf_dir):
+    """The five-row comparison on the evaluation subset: rule, LR, zero-shot,
+    few-shot, and the hybrid row (its label is the LR label by construction)."""
+    both = _subset_with_models(spark, sf_dir)
+    zero = A.parse_triage_answers(_triage_answers(spark, sf_dir), with_details=False) \
+            .select("Id", F.col("llm_predicted_label").alias("zero_pred"))
+    few = A.parse_triage_answers(_triage_answers(spark, sf_dir, shift=5), with_details=False) \
+           .select("Id", F.col("llm_predicted_label").alias("few_pred"))
+    j = both.join(zero, "Id", "left").join(few, "Id", "left")
+    long_df = M.melt_predictions(j, "label", {
+        "Rule-Based Baseline": "rule_based_prediction", "TF-IDF + Logistic Regression": "logreg_prediction",
+        "Qwen Zero-Shot": "zero_pred", "Qwen Few-Shot": "few_pred", "Hybrid ML + Qwen": "logreg_prediction"})
+    return M.model_comparison(M.confusion_cells(long_df), MODEL_ROLES)
