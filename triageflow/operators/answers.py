@@ -65,6 +65,23 @@ def parse_triage_answers(df: DataFrame, raw_col: str = "raw_response", error_col
     return out.withColumn(raw_col, F.coalesce(raw, error)).drop("_parsed")
 
 
+def answer_labels(df: DataFrame, profiles: dict[str, tuple[bool, dict[str, str]]],
+                  raw_col: str = "raw_response", error_col: str = "request_error") -> DataFrame:
+    """Normalised labels of several answer profiles from one scan: ``profiles``
+    maps output column -> (greedy, alias map). Adds one column per profile."""
+    raw = F.col(raw_col)
+    error = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")
+    cols = []
+    for name, (greedy, aliases) in profiles.items():
+        parsed = J.extract_answer(raw, greedy)
+        label_raw = let(F.struct(_status(raw, error, parsed).alias("s"), parsed.alias("p")), lambda x: (
+            F.when(x["s"] == REQUEST_ERROR, F.lit(REQUEST_ERROR))
+             .when(x["s"] == PARSE_ERROR, F.lit(PARSE_ERROR))
+             .otherwise(F.coalesce(J.field_text(x["p"], "predicted_label"), F.lit(INVALID_LABEL)))))
+        cols.append(normalize_label(label_raw, aliases).alias(name))
+    return df.select("*", *cols)
+
+
 def parse_sft_answers(df: DataFrame, raw_col: str = "raw_response", error_col: str = "request_error") -> DataFrame:
     """Fine-tuned-model profile: non-greedy span, narrow alias map, label only."""
     return parse_triage_answers(df, raw_col, error_col, greedy=False, aliases=LABEL_ALIASES_NARROW,

@@ -50,6 +50,18 @@ def confusion_cells(long_df: DataFrame) -> DataFrame:
     return long_df.groupBy(MODEL, TRUE, PRED).agg(F.count(F.lit(1)).alias("n"))
 
 
+def valid_prediction_cells(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
+    """Cells restricted to rows whose prediction is a valid label.
+
+    Expressed as a projection (counts of invalid predictions become 0), not a
+    row filter: a filter on the predicted label would be pushed below the
+    projection that parses the answers and make Catalyst evaluate the whole
+    parse chain twice (once in the filter, once in the projection).
+    """
+    valid = F.coalesce(F.col(PRED).isin(labels), F.lit(False))
+    return cells.withColumn("n", F.when(valid, F.col("n")).otherwise(F.lit(0)).cast("long"))
+
+
 def confusion_matrix_long(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
     """Every ``labels x labels`` cell per model, zero cells included.
 

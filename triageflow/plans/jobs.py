@@ -30,9 +30,11 @@ def corpus_split(alerts: DataFrame, test_size: float = TEST_FRACTION, seed: int
 
 def stored_split(spark: SparkSession, sf_dir: str, test_size: float = TEST_FRACTION,
                  seed: int = RANDOM_STATE) -> DataFrame:
-    """E1 output: the split corpus written once (Parquet, shared folder); every
-    later step (subset, SFT corpus, model training) scans it."""
-    return materialize(spark, corpus_split(processed_alerts(spark, sf_dir), test_size, seed), "split-corpus")
+    """E1 output, written once (Parquet, shared folder): the processed alerts
+    (the split reads them in two passes: histogram, then selection) and the
+    split corpus that every later step (subset, SFT corpus, training) scans."""
+    alerts = materialize(spark, processed_alerts(spark, sf_dir), "processed-alerts")
+    return materialize(spark, corpus_split(alerts, test_size, seed), "split-corpus")
 
 
 def eval_subset(split_df: DataFrame, size: int = EVAL_SUBSET_SIZE, seed: int = RANDOM_STATE) -> DataFrame:

@@ -279,9 +279,9 @@ LLM_VALID_PREDS_SQL = """SELECT 'Qwen Zero-Shot' AS model, true_label, llm_predi
 @register("llm_eval", "L16 A8 A13",
           sql=O.with_ctes(O.LLM_PRED_CTE, O.metric_ctes(LLM_VALID_PREDS_SQL)) + REPORT_SQL)
 def q_llm_eval(spark, sf_dir):
-    p = _llm_predictions(spark, sf_dir).where(F.col("llm_predicted_label").isin(LABELS))
-    return _rounded_report(M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label",
-                                                                "Qwen Zero-Shot")))
+    p = _llm_predictions(spark, sf_dir)
+    cells = M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label", "Qwen Zero-Shot"))
+    return _rounded_report(M.valid_prediction_cells(cells))
 
 
 SFT_PREDS_SQL = O.ALERTS_CTE + ",\n" + O.TRIAGE_ANSWERS_CTE + """,
@@ -420,13 +420,13 @@ def _comparison_long(spark, sf_dir):
     """Rule, zero-shot, few-shot and fine-tuned-profile predictions over every
     labelled alert, melted to (model, true, pred) in one pass."""
     scored = feat.score_rules(_alerts(spark, sf_dir), keep_scores=False)
-    zero = A.parse_triage_answers(_triage_answers(spark, sf_dir), with_details=False) \
-            .select("Id", F.col("llm_predicted_label").alias("zero_pred"))
-    sft = A.parse_sft_answers(_triage_answers(spark, sf_dir)) \
-           .select("Id", F.col("llm_predicted_label").alias("sft_pred"))
-    few = A.parse_triage_answers(_triage_answers(spark, sf_dir, shift=5), with_details=False) \
-           .select("Id", F.col("llm_predicted_label").alias("few_pred"))
-    j = scored.join(zero, "Id", "left").join(few, "Id", "left").join(sft, "Id", "left")
+    # one scan of the stored answers yields both parse profiles
+    zero_sft = A.answer_labels(_triage_answers(spark, sf_dir), {
+        "zero_pred": (True, O.LABEL_ALIASES_WIDE), "sft_pred": (False, O.LABEL_ALIASES_NARROW)}) \
+        .select("Id", "zero_pred", "sft_pred")
+    few = A.answer_labels(_triage_answers(spark, sf_dir, shift=5), {"few_pred": (True, O.LABEL_ALIASES_WIDE)}) \
+        .select("Id", "few_pred")
+    j = scored.join(zero_sft, "Id", "left").join(few, "Id", "left")
     return M.melt_predictions(j, "label", {"Rule-Based Baseline": "predicted_label", "Qwen Zero-Shot": "zero_pred",
                                            "Qwen Few-Shot": "few_pred", "LoRA-SFT": "sft_pred"})
 
