@@ -81,16 +81,30 @@ def term_frequencies(df: DataFrame, id_col: str = "Id", text_col: str = "alert_t
     return exploded.groupBy("_doc", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_stats(tf: DataFrame, id_col: str = "Id") -> DataFrame:
-    """``(term, df, total)``: documents containing the term, corpus count."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+def term_stats(df: DataFrame, text_col: str = "alert_text") -> DataFrame:
+    """``(term, df, total)``: documents containing the term and its corpus count.
 
-
-def vocabulary(tf: DataFrame, max_features: int = TFIDF_MAX_FEATURES, min_df: int = TFIDF_MIN_DF) -> DataFrame:
+    Row-local: each document emits its distinct terms (document frequency)
+    and all its terms (corpus count) from one generator; a group-by on the
+    term with map-side partial aggregation follows. No document shuffle, and a
+    term present in every document (a hot key) is pre-aggregated per task.
+    """
+    def contributions(t: Column) -> Column:
+        distinct = F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(1).alias("d"),
+                                                                        F.lit(0).alias("c")))
+        every = F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
+        return F.concat(distinct, every)
+    rows = df.select(F.explode_outer(let(terms(text_col), contributions)).alias("_t")).where(F.col("_t").isNotNull())
+    return rows.groupBy(F.col("_t.term").alias("term")).agg(F.sum("_t.d").cast("long").alias("df"),
+                                                             F.sum("_t.c").cast("long").alias("total"))
+
+
+def vocabulary(df: DataFrame, text_col: str = "alert_text", max_features: int = TFIDF_MAX_FEATURES,
+               min_df: int = TFIDF_MIN_DF) -> DataFrame:
     """``(term, df, total, term_rank)``: df >= min_df, top ``max_features`` by
     (total desc, term). The cap is the feature; ``orderBy().limit()`` plans as a
     distributed top-k and the result has at most ``max_features`` rows."""
-    top = (term_stats(tf).where(F.col("df") >= min_df)
+    top = (term_stats(df, text_col).where(F.col("df") >= min_df)
            .orderBy(F.desc("total"), F.col("term")).limit(max_features))
     return top.withColumn("term_rank", F.row_number().over(Window.orderBy(F.desc("total"), F.col("term"))))
 
@@ -103,9 +117,9 @@ def tfidf_terms(df: DataFrame, id_col: str = "Id", text_col: str = "alert_text",
     The vocabulary and idf come from ``fit_df`` (default: ``df`` itself).
     """
     tf = term_frequencies(df, id_col, text_col)
-    fit_tf = tf if fit_df is None else term_frequencies(fit_df, id_col, text_col)
-    n_docs = (fit_df if fit_df is not None else df).agg(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(fit_tf, max_features, min_df).select(
+    fit = fit_df if fit_df is not None else df
+    n_docs = fit.agg(F.count(F.lit(1))).scalar()
+    vocab = vocabulary(fit, text_col, max_features, min_df).select(
         "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     w = tf.join(F.broadcast(vocab), "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_doc")))

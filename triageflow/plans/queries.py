@@ -591,12 +591,12 @@ def q_tokens(spark, sf_dir):
 
 @register("term_counts", "M2", sql=O.with_ctes(O.TERMS_CTE) + "SELECT term, df, total FROM term_stats")
 def q_term_counts(spark, sf_dir):
-    return TM.term_stats(TM.term_frequencies(_alerts(spark, sf_dir)))
+    return TM.term_stats(_alerts(spark, sf_dir))
 
 
 @register("vocabulary", "M3", sql=O.with_ctes(O.TERMS_CTE) + "SELECT term, df, total, term_rank FROM vocab")
 def q_vocabulary(spark, sf_dir):
-    return TM.vocabulary(TM.term_frequencies(_alerts(spark, sf_dir)))
+    return TM.vocabulary(_alerts(spark, sf_dir))
 
 
 @register("tfidf_terms", "M4", sql=O.with_ctes(O.TERMS_CTE) + "SELECT Id, term, round(weight, 6) AS weight FROM tfidf")
