@@ -326,3 +326,12 @@ ndocs AS (SELECT count(*) AS n FROM alerts),
 tfw AS (SELECT tf.Id, tf.term, tf.tf * (ln((1.0 + n) / (1.0 + v.df)) + 1.0) AS w
         FROM tf JOIN vocab v ON tf.term = v.term CROSS JOIN ndocs),
 tfidf AS (SELECT Id, term, w / sqrt(sum(w * w) OVER (PARTITION BY Id)) AS weight FROM tfw)"""
+
+
+# --- multilingual documents (Unicode tokeniser on whole texts) --------------
+DOC_TOKENS_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN_]{2,}')"
+DOC_TERMS_CTE = f"""ddocs AS (SELECT doc_id, {DOC_TOKENS_SQL} AS toks FROM documents),
+ddoc_terms AS (SELECT doc_id, unnest(toks || list_transform(range(1, len(toks)),
+                 lambda i: toks[i] || ' ' || toks[i + 1])) AS term FROM ddocs),
+dtf AS (SELECT doc_id, term, count(*) AS tf FROM ddoc_terms GROUP BY doc_id, term),
+dterm_stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM dtf GROUP BY term)"""

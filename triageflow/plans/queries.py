@@ -708,3 +708,50 @@ def q_model_comparison_subset(spark, sf_dir):
         "Rule-Based Baseline": "rule_based_prediction", "TF-IDF + Logistic Regression": "logreg_prediction",
         "Qwen Zero-Shot": "zero_pred", "Qwen Few-Shot": "few_pred", "Hybrid ML + Qwen": "logreg_prediction"})
     return M.model_comparison(M.confusion_cells(long_df), MODEL_ROLES)
+
+
+# ===========================================================================
+# Same operators on other driver tables (FIXTURES 2.3)
+# ===========================================================================
+from triageflow.sources.tables import read_table  # noqa: E402
+
+
+@register("document_tokens", "M1",
+          sql=f"""SELECT doc_id, CAST(len({O.DOC_TOKENS_SQL}) AS INTEGER) AS n_tokens,
+  md5(array_to_string({O.DOC_TOKENS_SQL}, ' ')) AS tokens_md5 FROM documents""")
+def q_document_tokens(spark, sf_dir):
+    """Word tokens of whole multilingual texts (Unicode letters/numbers)."""
+    configure(spark)
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True)
+    t = TM.tokens("text")
+    return d.select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+@register("document_term_stats", "M2 M3",
+          sql=O.with_ctes(O.DOC_TERMS_CTE) + "SELECT term, df, total FROM dterm_stats")
+def q_document_term_stats(spark, sf_dir):
+    configure(spark)
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True)
+    return TM.term_stats(d, "text")
+
+
+BINARY_PREDS_SQL = "SELECT 'quality vs toxic' AS model, CAST(quality AS VARCHAR) AS true_label, " \
+                   "CAST(toxic AS VARCHAR) AS pred_label FROM labels"
+
+
+@register("binary_report", "A10 A13",
+          sql=O.with_ctes(O.metric_ctes(BINARY_PREDS_SQL, ["0", "1"]))
+          + REPORT_SQL.replace("SELECT model, 3,", "SELECT model, 2,").replace("SELECT model, 4,", "SELECT model, 3,")
+                      .replace("SELECT model, 5,", "SELECT model, 4,"))
+def q_binary_report(spark, sf_dir):
+    """Two-label report over the ``labels`` table (quality as truth, toxic as
+    prediction): the metric operators with a label list other than the three
+    triage grades."""
+    configure(spark)
+    lab = read_table(spark, sf_dir, "labels", ["quality", "toxic"])
+    long_df = lab.select(F.lit("quality vs toxic").alias("model"), F.col("quality").cast("string").alias("true_label"),
+                         F.col("toxic").cast("string").alias("pred_label"))
+    r = M.classification_report(M.confusion_cells(long_df), ["0", "1"])
+    return r.select("model", "row_order", "row_name", *[F.round(c, DIGITS).alias(c) for c in
+                                                        ["precision", "recall", "f1"]],
+                    F.col("support").cast("long").alias("support"))
