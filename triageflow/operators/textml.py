@@ -64,21 +64,29 @@ def terms(text: Column | str) -> Column:
 # ---------------------------------------------------------------------------
 # Relational TF-IDF
 # ---------------------------------------------------------------------------
-def term_frequencies(df: DataFrame, id_col: str = "Id", text_col: str = "alert_text") -> DataFrame:
-    """``(_doc, id, term, tf)`` with one ``_doc`` per input row.
+DOC = "_doc"
+COPIES = "_copies"
+
 
-    Every row is its own document (ids may repeat), keyed by a row-unique
-    ``_doc``. The compact ``(key, id, text)`` rows are hash-partitioned by that
-    key once, so no id can become a hot partition; the exploded terms keep that
-    partitioning, so counting and the per-document norm need no further shuffle.
+def term_frequencies(df: DataFrame, id_col: str = "Id", text_col: str = "alert_text") -> DataFrame:
+    """``(id, _doc, _copies, term, tf)`` per distinct document.
+
+    Every input row is a document. Rows are grouped by ``(id, md5(text))``
+    first: identical copies collapse into one document with a ``_copies``
+    count, and map-side partial aggregation collapses them inside each task,
+    so even a copy group holding a third of all rows cannot skew a partition.
+    The key is deterministic (recomputation after a lost executor yields the
+    same keys). That one exchange partitions by the document, and the exploded
+    terms, the per-document count and the norm window all reuse it.
     """
-    docs = (df.select(F.monotonically_increasing_id().alias("_doc"), id_col, text_col)
-              .repartition("_doc"))
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    docs = (df.groupBy(F.col(id_col), key.alias(DOC))
+              .agg(F.first(text_col).alias(text_col), F.count(F.lit(1)).alias(COPIES)))
     # explode_outer: no inferred ``size(terms) > 0`` pre-filter, so the term
     # array is computed once; documents without terms yield no rows.
-    exploded = (docs.select("_doc", id_col, F.explode_outer(terms(text_col)).alias("term"))
+    exploded = (docs.select(id_col, DOC, COPIES, F.explode_outer(terms(text_col)).alias("term"))
                     .where(F.col("term").isNotNull()))
-    return exploded.groupBy("_doc", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded.groupBy(id_col, DOC, COPIES, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(df: DataFrame, text_col: str = "alert_text") -> DataFrame:
@@ -122,8 +130,11 @@ def tfidf_terms(df: DataFrame, id_col: str = "Id", text_col: str = "alert_text",
     vocab = vocabulary(fit, text_col, max_features, min_df).select(
         "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     w = tf.join(F.broadcast(vocab), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_doc")))
-    return w.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col, DOC)))
+    out = w.select(id_col, "term", (F.col("_w") / norm).alias("weight"), COPIES)
+    # one output row set per input row: copies are re-emitted after the math
+    return out.select(id_col, "term", "weight", F.explode(F.sequence(F.lit(1), F.col(COPIES))).alias("_c")) \
+              .drop("_c")
 
 
 # ---------------------------------------------------------------------------
