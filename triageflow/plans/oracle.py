@@ -320,7 +320,7 @@ doc_terms AS (SELECT Id, unnest(toks || list_transform(range(1, len(toks)), lamb
               AS term FROM docs),
 tf AS (SELECT Id, term, count(*) AS tf FROM doc_terms GROUP BY Id, term),
 term_stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term),
-vocab AS (SELECT *, row_number() OVER (ORDER BY total DESC, term) AS term_rank FROM
+vocab AS (SELECT *, CAST(row_number() OVER (ORDER BY total DESC, term) AS INTEGER) AS term_rank FROM
           (SELECT * FROM term_stats WHERE df >= 2 ORDER BY total DESC, term LIMIT 20000)),
 ndocs AS (SELECT count(*) AS n FROM alerts),
 tfw AS (SELECT tf.Id, tf.term, tf.tf * (ln((1.0 + n) / (1.0 + v.df)) + 1.0) AS w

@@ -110,7 +110,7 @@ def q_rule_report(spark, sf_dir):
 # --- A2: value counts --------------------------------------------------------
 @register("label_distribution", "A2",
           sql=O.with_ctes(O.ALERTS_CTE) + """
-SELECT label, count, row_number() OVER (ORDER BY count DESC, label) AS rank
+SELECT label, count, CAST(row_number() OVER (ORDER BY count DESC, label) AS INTEGER) AS rank
 FROM (SELECT label, count(*) AS count FROM alerts WHERE label IS NOT NULL GROUP BY label)""")
 def q_label_distribution(spark, sf_dir):
     return M.label_distribution(_alerts(spark, sf_dir), "label")
@@ -119,7 +119,7 @@ def q_label_distribution(spark, sf_dir):
 # --- A3 / O4: sorted distinct -------------------------------------------------
 @register("label_domain", "A3 O4",
           sql=O.with_ctes(O.ALERTS_CTE) + """
-SELECT label, row_number() OVER (ORDER BY label) AS label_order
+SELECT label, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS label_order
 FROM (SELECT DISTINCT label FROM alerts WHERE label IS NOT NULL)""")
 def q_label_domain(spark, sf_dir):
     from pyspark.sql import Window
@@ -413,7 +413,7 @@ CARD_SQL = """'## Example ' || CAST(example AS VARCHAR) || chr(10) || chr(10) ||
           sql=O.with_ctes(O.HYBRID_CTE) + f"""
 SELECT example, Id, {CARD_SQL} AS card FROM (
   SELECT *, coalesce(true_label = ml_predicted_label, false) AS is_correct,
-    row_number() OVER (ORDER BY Id) AS example FROM (SELECT * FROM hyb ORDER BY Id LIMIT 5))""")
+    CAST(row_number() OVER (ORDER BY Id) AS INTEGER) AS example FROM (SELECT * FROM hyb ORDER BY Id LIMIT 5))""")
 def q_example_cards(spark, sf_dir):
     return H.example_cards(_hybrid(spark, sf_dir), 5, ["Id"])
 
