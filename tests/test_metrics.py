@@ -102,3 +102,29 @@ def test_label_distribution_ties(spark):
     assert got == [("a", 2, 1), ("b", 2, 2), ("c", 1, 3)]
     with pytest.raises(ValueError):
         M.distinct_values(spark.range(20).withColumn("id", F.col("id").cast("string")), "id", max_values=5)
+
+
+def test_per_operator_queries_consistent(spark, queries):
+    """Strict accuracy, per-class metrics, the fixed-list matrix and the report of
+    the four-model comparison agree with each other (sf0.001)."""
+    sf = "/root/testdata/sf0.001"
+    acc = {r.model: r for r in queries["accuracy_strict"](spark, sf).collect()}
+    assert len(acc) == 4 and all(r.n_rows == 1470 for r in acc.values())
+    cm = queries["confusion_matrix"](spark, sf).collect()
+    assert len(cm) == 4 * 9
+    for model, a in acc.items():
+        diag = sum(r.n for r in cm if r.model == model and r.true_label == r.pred_label)
+        assert diag == a.n_correct
+    pc = queries["model_metrics"](spark, sf).collect()
+    for model in acc:
+        rows = [r for r in pc if r.model == model]
+        assert [r.label for r in sorted(rows, key=lambda r: r.label_order)] == LABELS
+        assert sum(r.tp for r in rows) == acc[model].n_correct
+    rep = queries["class_report"](spark, sf).collect()
+    rule = {r.row_name: r for r in rep if r.model == "Rule-Based Baseline"}
+    assert rule["accuracy"].f1 == acc["Rule-Based Baseline"].accuracy
+
+
+def test_preprocess_shape(spark, queries):
+    r = queries["preprocess_alerts"](spark, "/root/testdata/sf0.001").collect()[0]
+    assert r.labelled_rows == 1470 and r.raw_rows == r.labelled_rows + r.dropped_rows

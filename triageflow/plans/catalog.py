@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from triageflow.plans import queries  # noqa: F401
+from triageflow.plans import metric_queries  # noqa: F401
 from triageflow.plans.registry import QUERIES, Query
 
 
