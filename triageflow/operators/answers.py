@@ -72,12 +72,13 @@ def answer_labels(df: DataFrame, profiles: dict[str, tuple[bool, dict[str, str]]
     raw = F.col(raw_col)
     error = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")
     cols = []
+    failed = error.isNotNull() | raw.isNull()
     for name, (greedy, aliases) in profiles.items():
-        parsed = J.extract_answer(raw, greedy)
-        label_raw = let(F.struct(_status(raw, error, parsed).alias("s"), parsed.alias("p")), lambda x: (
-            F.when(x["s"] == REQUEST_ERROR, F.lit(REQUEST_ERROR))
-             .when(x["s"] == PARSE_ERROR, F.lit(PARSE_ERROR))
-             .otherwise(F.coalesce(J.field_text(x["p"], "predicted_label"), F.lit(INVALID_LABEL)))))
+        # a request error needs no parse; the parse result is bound once (the
+        # status test and the field read share it)
+        label_raw = F.when(failed, F.lit(REQUEST_ERROR)).otherwise(let(J.extract_answer(raw, greedy), lambda p: (
+            F.when(p.isNull(), F.lit(PARSE_ERROR))
+             .otherwise(F.coalesce(J.field_text(p, "predicted_label"), F.lit(INVALID_LABEL))))))
         cols.append(normalize_label(label_raw, aliases).alias(name))
     return df.select("*", *cols)
 
