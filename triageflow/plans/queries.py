@@ -582,7 +582,7 @@ def q_profile_tables(spark, sf_dir):
 from triageflow.operators import textml as TM  # noqa: E402
 
 
-@register("tokens", "M1",
+@register("tokens", "M1 P6",
           sql=O.with_ctes(O.ALERTS_CTE) + f"""
 SELECT Id, CAST(len({O.TOKENS_SQL}) AS INTEGER) AS n_tokens, CAST(to_json({O.TOKENS_SQL}) AS VARCHAR) AS tokens_json
 FROM alerts""")
@@ -624,7 +624,7 @@ def _lr_job(spark, sf_dir):
     return TM.predict(model, test, keep=["Id", "label"])
 
 
-@register("lr_predict", "M6 M7 S7")
+@register("lr_predict", "M6 M7 S7 P6")
 def q_lr_predict(spark, sf_dir):
     return _lr_job(spark, sf_dir)
 
