@@ -504,10 +504,11 @@ def alert_preview(df: DataFrame, limit: int = 20, order_col: str = "Id") -> Data
 
 
 def alert_at_position(df: DataFrame, index: int, order_col: str = "Id") -> DataFrame:
-    """Row at 0-based ``index`` in ``order_col`` order; empty when out of range."""
-    if index < 0:
-        return df.limit(0)
-    return df.orderBy(order_col).offset(index).limit(1)
+    """Row at 0-based ``index`` in ``order_col`` order; empty when out of range.
+    Exact at any index without holding ``index + 1`` rows in one task
+    (``operators.position``)."""
+    from triageflow.operators.position import row_at_position
+    return row_at_position(df, index, order_col)
 
 
 @register("alert_preview", "P2 O1 O3",
