@@ -227,15 +227,19 @@ def distinct_values(df: DataFrame, col: str, max_values: int = 10000) -> list:
     return [r[0] for r in rows]
 
 
-def validity_summary(df: DataFrame, true_col: str, pred_col: str, labels: list[str] = LABELS) -> DataFrame:
-    """One row: total, valid, invalid, strict accuracy, accuracy on valid rows (null if none)."""
+def validity_summary(df: DataFrame, true_col: str, pred_col: str, labels: list[str] = LABELS,
+                     extra: list[Column] | None = None) -> DataFrame:
+    """One row: total, valid, invalid, strict accuracy, accuracy on valid rows (null if none).
+    ``extra`` aggregates (aliased) ride along in the same single pass."""
     valid = F.coalesce(F.col(pred_col).isin(labels), F.lit(False))
     correct = F.coalesce(F.col(true_col) == F.col(pred_col), F.lit(False))
+    extra = extra or []
     agg = df.agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(valid.cast("long")).alias("valid"),
         F.sum(correct.cast("long")).alias("correct"),
         F.sum((valid & correct).cast("long")).alias("valid_correct"),
+        *extra,
     )
     return agg.select(
         "total",
@@ -243,4 +247,5 @@ def validity_summary(df: DataFrame, true_col: str, pred_col: str, labels: list[s
         (F.col("total") - F.coalesce(F.col("valid"), F.lit(0))).alias("invalid"),
         F.when(F.col("total") > 0, F.col("correct") / F.col("total")).alias("strict_accuracy"),
         F.when(F.col("valid") > 0, F.col("valid_correct") / F.col("valid")).alias("valid_accuracy"),
+        *[F.col(c) for c in agg.columns[4:]],
     )
