@@ -34,7 +34,9 @@ def stored_split(spark: SparkSession, sf_dir: str, test_size: float = TEST_FRACT
     (the split reads them in two passes: histogram, then selection) and the
     split corpus that every later step (subset, SFT corpus, training) scans."""
     alerts = materialize(spark, processed_alerts(spark, sf_dir), "processed-alerts")
-    return materialize(spark, corpus_split(alerts, test_size, seed), "split-corpus")
+    # one directory per split value: readers of one side (the test split for the
+    # evaluation subset, the train split for training) prune the other at planning
+    return materialize(spark, corpus_split(alerts, test_size, seed), "split-corpus", partition_by=["split"])
 
 
 def eval_subset(split_df: DataFrame, size: int = EVAL_SUBSET_SIZE, seed: int = RANDOM_STATE) -> DataFrame:

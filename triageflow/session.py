@@ -70,15 +70,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(spark: SparkSession, df, name: str):
+def materialize(spark: SparkSession, df, name: str, partition_by: list[str] | None = None):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage at a stage boundary that several later jobs reuse (the
     split corpus, stored model answers): downstream jobs scan columnar files
     with pushdown instead of recomputing joins, and a lost executor costs a
     re-read, not a recomputation of everything upstream.
+
+    ``partition_by`` writes one directory per value of those (low-cardinality)
+    columns, so a later filter on them prunes whole directories at planning time
+    instead of scanning every file. Column order is kept as in ``df``.
     """
     import uuid
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.parquet(path).select(*df.columns)
