@@ -65,16 +65,20 @@ def example_cards(hybrid: DataFrame, n: int = 5, order_cols: list[str] | None =
 
 
 def respond(prompts: DataFrame, responder: Callable[[str], str], prompt_col: str = "prompt",
-            id_col: str = "Id", concurrency: int | None = None) -> DataFrame:
+            id_col: str = "Id", concurrency: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Responder hook: call ``responder(prompt)`` for every row inside the tasks.
 
     ``mapInPandas`` streams Arrow batches through the function; each call is
     timed; an exception is kept as ``request_error`` and the batch continues.
-    ``concurrency`` (optional) repartitions first to bound parallel calls.
+    ``keep`` columns ride along with their answer (no join back to the prompts).
+    ``concurrency`` (optional) round-robins the prompts into that many tasks to
+    bound parallel calls (no key: a repeated id cannot pile up in one task).
     """
-    src = prompts.select(F.col(id_col).cast("long").alias("Id"), F.col(prompt_col).alias("prompt"))
+    keep = [c for c in (keep or []) if c not in (id_col, prompt_col)]
+    src = prompts.select(F.col(id_col).cast("long").alias("Id"), F.col(prompt_col).alias("prompt"), *keep)
     if concurrency:
-        src = src.repartition(concurrency, "Id")
+        src = src.repartition(concurrency)
+    schema = T.StructType(ANSWER_SCHEMA.fields + [prompts.schema[c] for c in keep])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -89,9 +93,9 @@ def respond(prompts: DataFrame, responder: Callable[[str], str], prompt_col: str
                     err.append(str(e))
                 lat.append(time.time() - t0)
             yield pd.DataFrame({"Id": pdf["Id"], "raw_response": raw, "request_error": err,
-                                "latency_seconds": lat})
+                                "latency_seconds": lat, **{c: pdf[c] for c in keep}})
 
-    return src.mapInPandas(run, ANSWER_SCHEMA)
+    return src.mapInPandas(run, schema)
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -87,8 +87,10 @@ def triage_batch(batch: DataFrame, batch_id: int, responder: Callable[[str], str
     spark = batch.sparkSession
     prompts = batch.select("Id", "alert_text", F.col(ml_pred_col).alias("ml_predicted_label"),
                            P.hybrid_prompt("alert_text", ml_pred_col, HYBRID_TEMPLATE_SERVICE).alias("prompt"))
-    answers = H.materialize(spark, H.respond(prompts, responder), f"answers-batch{batch_id}")
-    parsed = A.parse_guidance_answers(prompts.join(answers, "Id", "left"))
+    # the batch's text and ML label ride along with each answer: no join back
+    answers = H.materialize(spark, H.respond(prompts, responder, keep=["alert_text", "ml_predicted_label"]),
+                            f"answers-batch{batch_id}")
+    parsed = A.parse_guidance_answers(answers)
     out = parsed.select("Id", "alert_text", "ml_predicted_label", "analyst_summary", "risk_explanation",
                         "mitre_interpretation", "recommended_actions", "containment_priority",
                         F.col("raw_response").alias("raw_llm_response"), "latency_seconds", "status")
