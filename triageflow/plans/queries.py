@@ -669,14 +669,56 @@ def q_stream_triage(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("responder_stub", "L20 L18")
-def q_responder_stub(spark, sf_dir):
+def _responder_run(spark, sf_dir):
+    """Hybrid prompts -> responder hook (deterministic stub) -> stored answers ->
+    hybrid records joined back by ``Id``."""
     scored = feat.score_rules(_alerts(spark, sf_dir), keep_scores=False)
     prompts = scored.select("Id", P.hybrid_prompt("alert_text", "predicted_label").alias("prompt"))
     answers = H.materialize(spark, H.respond(prompts, responders.guidance_stub), "responder-answers")
     return H.hybrid_records(scored, "predicted_label", answers)
 
 
+@register("responder_stub", "L20 L18")
+def q_responder_stub(spark, sf_dir):
+    return _responder_run(spark, sf_dir)
+
+
+# SQL twin of ``responders.guidance_stub`` (its answer is a function of the
+# prompt text), so the hook's output, all but wall-clock latency, is checked.
+_HYBRID_PROMPT_SQL = O.render_sql(HYBRID_TEMPLATE, ml_prediction="predicted_label", alert_text="alert_text")
+STUB_ANSWERS_CTE = f"""stub_p AS (SELECT Id, {_HYBRID_PROMPT_SQL} AS prompt FROM scored),
+stub_d AS (SELECT Id, prompt, md5(prompt) AS d, coalesce(nullif(regexp_extract(prompt,
+             '(?m)^\\s*(TruePositive|FalsePositive|BenignPositive)\\s*$', 1), ''), 'unknown') AS lab FROM stub_p),
+stub_b AS (SELECT *, CASE lab WHEN 'TruePositive' THEN 'High' WHEN 'FalsePositive' THEN 'Low' ELSE 'Medium' END AS prio,
+             CAST('0x' || substr(d, 1, 4) AS INTEGER) % 17 = 0 AS failed,
+             CAST('0x' || substr(d, 5, 2) AS INTEGER) % 3 AS wrap FROM stub_d),
+stub_j AS (SELECT *, '{{"analyst_summary": "Alert classified as ' || lab || '.", '
+             || '"risk_explanation": "derived from the alert fields", "mitre_interpretation": '
+             || CASE WHEN contains(prompt, 'T1110') THEN '["T1110"]' ELSE '[]' END || ', "recommended_actions": '
+             || CASE WHEN prio <> 'Low' THEN '["review alert", "check entity"]' ELSE '"close alert"' END
+             || ', "containment_priority": "' || prio || '"}}' AS body FROM stub_b),
+stub_answers AS (SELECT Id,
+    CASE WHEN NOT failed THEN (CASE WHEN wrap <> 0 THEN body
+      ELSE 'Here is the JSON:' || chr(10) || body || chr(10) || 'Thanks.' END) END AS raw_response,
+    CASE WHEN failed THEN 'stub responder: simulated timeout' END AS request_error FROM stub_j),
+stub_join AS (SELECT s.Id, s.label AS true_label, s.predicted_label AS ml_predicted_label, a.raw_response,
+                a.request_error FROM scored s LEFT JOIN stub_answers a ON s.Id = a.Id),
+""" + O.guidance_ctes("stub_join", "stub_hyb")
+
+
+@register("responder_records", "L20 L18 J2",
+          sql=O.with_ctes(O.SCORED_CTE, STUB_ANSWERS_CTE) + """
+SELECT Id, true_label, ml_predicted_label, coalesce(true_label = ml_predicted_label, false) AS is_correct, status,
+  analyst_summary, risk_explanation, mitre_json, actions_json, containment_priority,
+  md5(coalesce(raw_response, request_error)) AS raw_md5 FROM stub_hyb""")
+def q_responder_records(spark, sf_dir):
+    h = _responder_run(spark, sf_dir)
+    return h.select("Id", "true_label", "ml_predicted_label", "is_correct", "status", "analyst_summary",
+                    "risk_explanation", F.to_json("mitre_interpretation").alias("mitre_json"),
+                    F.to_json("recommended_actions").alias("actions_json"), "containment_priority",
+                    F.md5("raw_llm_response").alias("raw_md5"))
+
+
 # ===========================================================================
 # Jobs that need the trained classifier (rows-only: no SQL twin for L-BFGS)
 # ===========================================================================
