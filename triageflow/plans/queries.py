@@ -367,7 +367,7 @@ def q_sft_records(spark, sf_dir):
 # ===========================================================================
 # Hybrid records, cards, comparison
 # ===========================================================================
-from triageflow.constants import MODEL_ROLES  # noqa: E402
+from triageflow.constants import HYBRID_TEMPLATE_SERVICE, MODEL_ROLES  # noqa: E402
 from triageflow.operators import hybrid as H  # noqa: E402
 
 
@@ -685,25 +685,32 @@ def q_responder_stub(spark, sf_dir):
 
 # SQL twin of ``responders.guidance_stub`` (its answer is a function of the
 # prompt text), so the hook's output, all but wall-clock latency, is checked.
-_HYBRID_PROMPT_SQL = O.render_sql(HYBRID_TEMPLATE, ml_prediction="predicted_label", alert_text="alert_text")
-STUB_ANSWERS_CTE = f"""stub_p AS (SELECT Id, {_HYBRID_PROMPT_SQL} AS prompt FROM scored),
-stub_d AS (SELECT Id, prompt, md5(prompt) AS d, coalesce(nullif(regexp_extract(prompt,
-             '(?m)^\\s*(TruePositive|FalsePositive|BenignPositive)\\s*$', 1), ''), 'unknown') AS lab FROM stub_p),
-stub_b AS (SELECT *, CASE lab WHEN 'TruePositive' THEN 'High' WHEN 'FalsePositive' THEN 'Low' ELSE 'Medium' END AS prio,
+def stub_answers_cte(src: str, template: str, prefix: str) -> str:
+    """CTEs ``{prefix}_join`` (alerts of ``src`` with the stub's answers) and
+    ``{prefix}_hyb`` (parsed guidance)."""
+    prompt = O.render_sql(template, ml_prediction="predicted_label", alert_text="alert_text")
+    x = prefix
+    return f"""{x}_p AS (SELECT Id, {prompt} AS prompt FROM {src}),
+{x}_d AS (SELECT Id, prompt, md5(prompt) AS d, coalesce(nullif(regexp_extract(prompt,
+             '(?m)^\\s*(TruePositive|FalsePositive|BenignPositive)\\s*$', 1), ''), 'unknown') AS lab FROM {x}_p),
+{x}_b AS (SELECT *, CASE lab WHEN 'TruePositive' THEN 'High' WHEN 'FalsePositive' THEN 'Low' ELSE 'Medium' END AS prio,
              CAST('0x' || substr(d, 1, 4) AS INTEGER) % 17 = 0 AS failed,
-             CAST('0x' || substr(d, 5, 2) AS INTEGER) % 3 AS wrap FROM stub_d),
-stub_j AS (SELECT *, '{{"analyst_summary": "Alert classified as ' || lab || '.", '
+             CAST('0x' || substr(d, 5, 2) AS INTEGER) % 3 AS wrap FROM {x}_d),
+{x}_j AS (SELECT *, '{{"analyst_summary": "Alert classified as ' || lab || '.", '
              || '"risk_explanation": "derived from the alert fields", "mitre_interpretation": '
              || CASE WHEN contains(prompt, 'T1110') THEN '["T1110"]' ELSE '[]' END || ', "recommended_actions": '
              || CASE WHEN prio <> 'Low' THEN '["review alert", "check entity"]' ELSE '"close alert"' END
-             || ', "containment_priority": "' || prio || '"}}' AS body FROM stub_b),
-stub_answers AS (SELECT Id,
+             || ', "containment_priority": "' || prio || '"}}' AS body FROM {x}_b),
+{x}_answers AS (SELECT Id,
     CASE WHEN NOT failed THEN (CASE WHEN wrap <> 0 THEN body
       ELSE 'Here is the JSON:' || chr(10) || body || chr(10) || 'Thanks.' END) END AS raw_response,
-    CASE WHEN failed THEN 'stub responder: simulated timeout' END AS request_error FROM stub_j),
-stub_join AS (SELECT s.Id, s.label AS true_label, s.predicted_label AS ml_predicted_label, a.raw_response,
-                a.request_error FROM scored s LEFT JOIN stub_answers a ON s.Id = a.Id),
-""" + O.guidance_ctes("stub_join", "stub_hyb")
+    CASE WHEN failed THEN 'stub responder: simulated timeout' END AS request_error FROM {x}_j),
+{x}_join AS (SELECT s.Id, s.label AS true_label, s.predicted_label AS ml_predicted_label, a.raw_response,
+                a.request_error FROM {src} s LEFT JOIN {x}_answers a ON s.Id = a.Id),
+""" + O.guidance_ctes(f"{x}_join", f"{x}_hyb")
+
+
+STUB_ANSWERS_CTE = stub_answers_cte("scored", HYBRID_TEMPLATE, "stub")
 
 
 @register("responder_records", "L20 L18 J2",
@@ -719,6 +726,21 @@ def q_responder_records(spark, sf_dir):
                     F.md5("raw_llm_response").alias("raw_md5"))
 
 
+@register("stream_triage_records", "R2 L20 L3 L14",
+          sql=O.with_ctes(O.SCORED_CTE, "accepted AS (SELECT * FROM scored WHERE coalesce(length("
+                          + O.strip_sql("alert_text") + ") > 0, false)),\n"
+                          + stub_answers_cte("accepted", HYBRID_TEMPLATE_SERVICE, "svc")) + """
+SELECT Id, ml_predicted_label, status, analyst_summary, risk_explanation, mitre_json, actions_json,
+  containment_priority, md5(coalesce(raw_response, request_error)) AS raw_md5 FROM svc_hyb""")
+def q_stream_triage_records(spark, sf_dir):
+    """The R2 stream's rows, all but micro-batch id and wall-clock latency."""
+    out = q_stream_triage(spark, sf_dir)
+    return out.select("Id", "ml_predicted_label", "status", "analyst_summary", "risk_explanation",
+                      F.to_json("mitre_interpretation").alias("mitre_json"),
+                      F.to_json("recommended_actions").alias("actions_json"), "containment_priority",
+                      F.md5("raw_llm_response").alias("raw_md5"))
+
+
 # ===========================================================================
 # Jobs that need the trained classifier (rows-only: no SQL twin for L-BFGS)
 # ===========================================================================
