@@ -144,3 +144,35 @@ def test_responder_keeps_columns_without_join(spark):
     ans = H.respond(prompts, lambda p: p.upper(), keep=["note"]).collect()
     # a repeated id keeps one answer per prompt row (no join multiplies them)
     assert sorted((r.raw_response, r.note) for r in ans) == [("A", "x"), ("B", "y")]
+
+
+def test_lr_solution_is_stationary_for_the_reference_objective(spark):
+    """Brute-force check of the regularisation mapping (M6): at Spark's solution,
+    the gradient of ``C * sum_i w_i * CE_i + 0.5 * ||W||^2`` (balanced weights,
+    intercepts unpenalised) is ~0 relative to its size at W = 0."""
+    import numpy as np
+    split = jobs.stored_split(spark, SF)
+    train = split.where("split = 'train'")
+    model = TM.fit_tfidf_lr(train)
+    lr = model.stages[-2]
+    rows = model.transform(train.withColumn("alert_text", F.coalesce("alert_text", F.lit("")))) \
+                .select(vector_to_array("features").alias("x"), "label").collect()
+    X = np.array([r.x for r in rows])
+    labels = sorted({r.label for r in rows})
+    y = np.array([labels.index(r.label) for r in rows])
+    counts = np.bincount(y)
+    w = (len(y) / (len(labels) * counts))[y]
+    Y = np.eye(len(labels))[y]
+
+    def grad(W, b):
+        z = X @ W.T + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        r = (p - Y) * w[:, None]
+        return np.concatenate([(r.T @ X + W).ravel(), r.sum(axis=0)])
+
+    W = lr.coefficientMatrix.toArray()
+    b = lr.interceptVector.toArray()
+    g_sol = np.linalg.norm(grad(W, b))
+    g_zero = np.linalg.norm(grad(np.zeros_like(W), np.zeros_like(b)))
+    assert g_sol < 1e-2 * g_zero, (g_sol, g_zero)
