@@ -531,7 +531,7 @@ def q_alert_at_position(spark, sf_dir):
 SELECT Id, IncidentGrade AS label FROM (SELECT * FROM raw_alerts ORDER BY Id LIMIT 1000) WHERE IncidentGrade IS NOT NULL""")
 def q_first_n_alerts(spark, sf_dir):
     configure(spark)
-    raw = fixtures.raw_alerts(spark, sf_dir).orderBy("Id").limit(1000)
+    raw = fixtures.raw_alerts(spark, sf_dir, first_n=1000).orderBy("Id").limit(1000)
     return feat.preprocess_alerts(raw).select("Id", "label")
 
 
