@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from triageflow.operators.sampling import order_key
 
+RANK_ROWS = 100_000  # largest candidate set ranked with a bounded top-k
 _ROW_KEY = "_row_key"
 _BUCKET = "_pos_bucket"
 
@@ -66,7 +67,7 @@ def _count_below(v: Column, bounds: list) -> Column:
 
 
 def row_at_position(df: DataFrame, index: int, order_col: str, tiebreak: list[str] | None = None,
-                    max_rank_rows: int = 100_000, n_buckets: int = 256, max_rounds: int = 64) -> DataFrame:
+                    max_rank_rows: int = RANK_ROWS, n_buckets: int = 256, max_rounds: int = 64) -> DataFrame:
     """The row at 0-based ``index`` (empty when out of range), columns of ``df``."""
     cols = df.columns
     if index < 0:

@@ -28,6 +28,13 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.preprocess_alerts(fixtures.raw_alerts(spark, sf_dir))
 
 
+def _first_alerts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Processed alerts restricted to the ``n`` lowest labelled ids, cut before
+    the joins: enough for any ordered top-``n`` by ``Id`` (previews, cards)."""
+    configure(spark)
+    return feat.preprocess_alerts(fixtures.raw_alerts(spark, sf_dir, first_n=n, labelled_only=True))
+
+
 def _rounded_summary(cells: DataFrame) -> DataFrame:
     s = M.model_summary(cells)
     return s.select("model", *[F.round(c, DIGITS).alias(c) for c in SUMMARY_COLS], "n_rows")
@@ -416,7 +423,13 @@ SELECT example, Id, {CARD_SQL} AS card FROM (
   SELECT *, coalesce(true_label = ml_predicted_label, false) AS is_correct,
     CAST(row_number() OVER (ORDER BY Id) AS INTEGER) AS example FROM (SELECT * FROM hyb ORDER BY Id LIMIT 5))""")
 def q_example_cards(spark, sf_dir):
-    return H.example_cards(_hybrid(spark, sf_dir), 5, ["Id"])
+    # the first 5 labelled alerts only; their answers are found by a semi join
+    # against the (<= 5, broadcast) ids instead of joining every answer
+    from triageflow.session import materialize
+    # stored once (5 rows): the cards and the broadcast id set read the same rows
+    scored = materialize(spark, feat.score_rules(_first_alerts(spark, sf_dir, 5), keep_scores=False), "card-alerts")
+    answers = fixtures.hybrid_answers(spark, sf_dir).join(F.broadcast(scored.select("Id")), "Id", "left_semi")
+    return H.example_cards(H.hybrid_records(scored, "predicted_label", answers), 5, ["Id"])
 
 
 def _comparison_long(spark, sf_dir):
@@ -516,14 +529,18 @@ def alert_at_position(df: DataFrame, index: int, order_col: str = "Id") -> DataF
           sql=O.with_ctes(O.ALERTS_CTE) + "SELECT Id, IncidentId, AlertId, Timestamp, alert_text, label FROM alerts "
                                          "ORDER BY Id LIMIT 20")
 def q_alert_preview(spark, sf_dir):
-    return alert_preview(_alerts(spark, sf_dir), 20)
+    return alert_preview(_first_alerts(spark, sf_dir, 20), 20)
 
 
 @register("alert_at_position", "O2",
           sql=O.with_ctes(O.ALERTS_CTE) + "SELECT Id, IncidentId, AlertId, Timestamp, alert_text, label FROM alerts "
                                          "ORDER BY Id LIMIT 1 OFFSET 7")
 def q_alert_at_position(spark, sf_dir):
-    return alert_at_position(_alerts(spark, sf_dir), 7)
+    from triageflow.operators.position import RANK_ROWS
+    index = 7
+    # a small index only needs the first index + 1 alerts; a large one searches all
+    src = _first_alerts(spark, sf_dir, index + 1) if index < RANK_ROWS else _alerts(spark, sf_dir)
+    return alert_at_position(src, index)
 
 
 @register("first_n_alerts", "S2 P5",

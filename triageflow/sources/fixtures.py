@@ -22,7 +22,8 @@ def _case(col: Column, mapping: list[tuple], default=None) -> Column:
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
-def raw_alerts(spark: SparkSession, sf_dir: str, first_n: int | None = None) -> DataFrame:
+def raw_alerts(spark: SparkSession, sf_dir: str, first_n: int | None = None,
+               labelled_only: bool = False) -> DataFrame:
     """``raw_alert`` shape: orders LEFT JOIN customer LEFT JOIN nation.
 
     ``customer`` grows with the data, so its join strategy is left to the
@@ -34,9 +35,16 @@ def raw_alerts(spark: SparkSession, sf_dir: str, first_n: int | None = None) ->
     ``first_n`` rows by ``Id`` of the full result come from those orders; the
     caller's ordered limit then gives exactly the same rows, without joining
     the whole table (Catalyst does not push a sort + limit below a join).
+    ``labelled_only`` drops unlabelled orders first (the grade depends on
+    ``orders`` alone), so ``first_n`` then counts labelled alerts.
     """
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                                "o_orderdate", "o_orderpriority"], spread=first_n is None)
+    key = F.col("o_orderkey")
+    grade = _case(F.col("o_orderstatus"), [("F", "TruePositive"), ("O", "FalsePositive")], "BenignPositive")
+    o = o.withColumn("_grade", F.when(key % 50 != 49, grade))
+    if labelled_only:
+        o = o.where(F.col("_grade").isNotNull())
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     if first_n is not None:
         o = o.orderBy("o_orderkey").limit(first_n)  # distributed top-k: <= first_n rows per task
@@ -47,8 +55,7 @@ def raw_alerts(spark: SparkSession, sf_dir: str, first_n: int | None = None) ->
     n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     j = (o.join(c, o.o_custkey == c.c_custkey, "left")
           .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left"))
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    grade = _case(F.col("o_orderstatus"), [("F", "TruePositive"), ("O", "FalsePositive")], "BenignPositive")
+    cust = F.col("o_custkey")
     return j.select(
         key.alias("Id"),
         cust.alias("IncidentId"),
@@ -70,7 +77,7 @@ def raw_alerts(spark: SparkSession, sf_dir: str, first_n: int | None = None) ->
         (cust % 101).alias("City"),
         (key % 6).alias("OSFamily"),
         (key % 67).alias("OSVersion"),
-        F.when(key % 50 != 49, grade).alias("IncidentGrade"),
+        F.col("_grade").alias("IncidentGrade"),
     )
 
 
