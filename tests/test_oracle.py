@@ -7,7 +7,7 @@ from scripts.check_oracle import compare
 
 SF = "/root/testdata/sf0.001"
 ORACLE = sorted(E.oracle_sql())
-SKIP_HEAVY = {"lr_predict", "lr_metrics", "stream_triage", "responder_stub", "subset_baselines",
+SKIP_HEAVY = {"lr_predict", "lr_metrics", "stream_triage", "subset_baselines",
               "model_comparison_subset"}
 
 
