@@ -23,6 +23,14 @@ def processed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.preprocess_alerts(fixtures.raw_alerts(spark, sf_dir))
 
 
+def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 step 1 written once to the shared folder: jobs that read the processed
+    alerts in several passes (split histogram + selection, TF-IDF document
+    count + vocabulary + term frequencies) scan it instead of re-running the
+    orders/customer join and the text assembly per pass."""
+    return materialize(spark, processed_alerts(spark, sf_dir), "processed-alerts")
+
+
 def corpus_split(alerts: DataFrame, test_size: float = TEST_FRACTION, seed: int = RANDOM_STATE) -> DataFrame:
     """All processed alerts with ``split`` in {train, test}."""
     return S.stratified_split(alerts, "label", test_size, id_col="Id", seed=seed, salt="split")
@@ -33,7 +41,7 @@ def stored_split(spark: SparkSession, sf_dir: str, test_size: float = TEST_FRACT
     """E1 output, written once (Parquet, shared folder): the processed alerts
     (the split reads them in two passes: histogram, then selection) and the
     split corpus that every later step (subset, SFT corpus, training) scans."""
-    alerts = materialize(spark, processed_alerts(spark, sf_dir), "processed-alerts")
+    alerts = stored_alerts(spark, sf_dir)
     # one directory per split value: readers of one side (the test split for the
     # evaluation subset, the train split for training) prune the other at planning
     return materialize(spark, corpus_split(alerts, test_size, seed), "split-corpus", partition_by=["split"])

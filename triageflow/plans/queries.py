@@ -622,7 +622,8 @@ def q_vocabulary(spark, sf_dir):
 
 @register("tfidf_terms", "M4", sql=O.with_ctes(O.TERMS_CTE) + "SELECT Id, term, round(weight, 6) AS weight FROM tfidf")
 def q_tfidf_terms(spark, sf_dir):
-    t = TM.tfidf_terms(_alerts(spark, sf_dir))
+    # three passes (document count, vocabulary, term frequencies) over one stored input
+    t = TM.tfidf_terms(jobs.stored_alerts(spark, sf_dir))
     return t.select("Id", "term", F.round("weight", DIGITS).alias("weight"))
 
 
