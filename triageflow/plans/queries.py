@@ -484,9 +484,13 @@ SELECT 'Qwen Zero-Shot' AS model, t.label AS true_label, p.label AS pred_label,
   CAST(t.label_order * (SELECT count(*) FROM lbl) + p.label_order AS INTEGER) AS cell_order
 FROM lbl t CROSS JOIN lbl p LEFT JOIN cells c ON c.true_label = t.label AND c.pred_label = p.label""")
 def q_confusion_matrix_dynamic(spark, sf_dir):
+    from triageflow.session import materialize
     p = _llm_predictions(spark, sf_dir)
-    labels = M.distinct_values(p, "true_label")
-    cells = M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label", "Qwen Zero-Shot"))
+    # one pass over the predictions: the (tiny) cell table is stored, and both
+    # the label list (distinct true labels) and the matrix read it
+    cells = materialize(spark, M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label",
+                                                                     "Qwen Zero-Shot")), "llm-cells")
+    labels = M.distinct_values(cells, M.TRUE)
     return M.confusion_matrix_long(cells, labels)
 
 
