@@ -76,27 +76,35 @@ def row_at_position(df: DataFrame, index: int, order_col: str, tiebreak: list[st
     if index < max_rank_rows:  # each task keeps <= index + 1 rows: bounded
         return _rank_small(cand, order_col, index).select(*cols)
     remaining = index
-    # nulls sort first: settle them as their own range
-    n_null = cand.where(F.col(order_col).isNull()).count()
-    if remaining < n_null:
-        cand = cand.where(F.col(order_col).isNull())
-    else:
-        remaining -= n_null
-        cand = cand.where(F.col(order_col).isNotNull())
     is_string = isinstance(df.schema[order_col].dataType, T.StringType)
-    prefix_len, level, tie = 0, 0, False
+    probs = [k / n_buckets for k in range(1, n_buckets)]
+    prefix_len, level, tie, first = 0, 0, False, True
     for _ in range(max_rounds):
-        n = cand.count()
+        # one pass per round for count and range statistics (min, max and the
+        # sketch ignore nulls); the first round also counts the nulls
+        proxy = _sort_proxy(order_col, is_string, level)
+        aggs = [F.count(F.lit(1)).alias("n")]
+        if first:
+            aggs.append(F.count_if(F.col(order_col).isNull()).alias("n_null"))
+        if not tie:
+            aggs += [F.min(proxy).alias("lo"), F.max(proxy).alias("hi"),
+                     (F.min(order_col) == F.max(order_col)).alias("one_value"),
+                     F.percentile_approx(proxy, probs, 10 * n_buckets).alias("q")]
+        st = cand.agg(*aggs).first()
+        n = st.n
+        if first:
+            first = False
+            if st.n_null:  # nulls sort first and form their own range
+                if remaining < st.n_null:
+                    cand, n, tie = cand.where(F.col(order_col).isNull()), st.n_null, True
+                else:
+                    remaining -= st.n_null
+                    cand, n = cand.where(F.col(order_col).isNotNull()), n - st.n_null
         if remaining >= n:
             return df.limit(0)
         if n <= max_rank_rows:
             return _rank_small(cand, order_col, remaining).select(*cols)
         if not tie:
-            proxy = _sort_proxy(order_col, is_string, level)
-            probs = [k / n_buckets for k in range(1, n_buckets)]
-            st = cand.agg(F.min(proxy).alias("lo"), F.max(proxy).alias("hi"),
-                          (F.min(order_col) == F.max(order_col)).alias("one_value"),
-                          F.percentile_approx(proxy, probs, 10 * n_buckets).alias("q")).first()
             if st.one_value:
                 tie = True  # one shared value: order ties by the row key
                 continue
