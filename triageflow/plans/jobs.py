@@ -52,7 +52,11 @@ def eval_subset(split_df: DataFrame, size: int = EVAL_SUBSET_SIZE, seed: int = R
     shuffle key (T4) for sinks that need the shuffled order."""
     test = split_df.where(F.col("split") == "test").drop("split")
     sub = S.balanced_sample(test, "label", size, id_col="Id", seed=seed, salt="subset")
-    return S.with_shuffle_key(sub, "Id", seed, salt="subset-shuffle")
+    # stored once (<= size rows, like the reference's subset file): the SFT
+    # anti join, the SFT test part and the subset scoring read it instead of
+    # each re-running the selection pass over the test split
+    return materialize(split_df.sparkSession, S.with_shuffle_key(sub, "Id", seed, salt="subset-shuffle"),
+                       "eval-subset")
 
 
 def sft_corpus(split_df: DataFrame, eval_df: DataFrame, max_train_rows: int = SFT_MAX_TRAIN_ROWS,
