@@ -209,7 +209,11 @@ def model_comparison(cells: DataFrame, roles: dict[str, str] | None = None,
 
 
 def label_distribution(df: DataFrame, col: str) -> DataFrame:
-    """Value counts: nulls excluded; ``rank`` = descending count, ties by value."""
+    """Value counts: nulls excluded; ``rank`` = descending count, ties by value.
+
+    Meant for class columns (A2 over labels): the rank window runs over the
+    count table, one row per distinct value, after the partially aggregated
+    group-by, so its size is the label domain, not the input."""
     from pyspark.sql import Window
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     # The count table has one row per distinct value (small); ranking it needs no big sort.
