@@ -3,10 +3,13 @@ with production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triageflow.llm import bpe, decontaminate, langid, pii, simhash
+from triageflow.llm import bpe, decontaminate, fingerprint, htmlextract, langid, license, pii, simhash, urlfilter, warc
 from triageflow.llm.common import bound_batches
+from triageflow.session import checkpoint_root
 from triageflow.sources.tables import table_path
 
 
@@ -14,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_root(spark)}/llm-warc-{uuid.uuid4().hex}"
+    warc.write_archives(spark, _table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
@@ -35,15 +44,63 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", bpe.bpe_digest(spark)("text").alias("p")).select("doc_id", "p.*")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fingerprint.with_next(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), "text",
+                       fingerprint.edited("text", "next_text").alias("edited"), "next_text")
+    docs = docs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint.vector("text").alias("own"),
+                       fingerprint.vector("edited").alias("other"), fingerprint.vector("next_text").alias("next"))
+    return docs.select("doc_id", "n_chars", "edited_sha256", fingerprint.as_hex("own").alias("fingerprint"), fingerprint.as_hex("other").alias("edited_fingerprint"),
+                       fingerprint.likeness("own", "other").alias("near_edited"), fingerprint.likeness("own", "next").alias("near_next"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
     return near.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark, _table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", htmlextract.main_text(spark, htmlextract.fit(pages))("html").alias("m")).select("page_id", "url", "m.*")
+
+
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_pii, op4_langid, op5_bpe, op7_simhash, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_pii, op4_langid, op5_bpe, op6_fingerprint, op7_simhash, op8_urlfilter,
+                                   op9_html, op10_license, pipeline)}
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
+_PHRASES = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license.BASE)
+
+#: DuckDB twins of what SQL can express. Records, digests and verdicts need no
+#: model; the other operators are tested against brute force in tests/llm/.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS x FROM p),
+f AS (SELECT x, min(page_id) AS first_id FROM d WHERE n >= 100 AND page_id IS NOT NULL GROUP BY x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, x AS payload_digest,
+  CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f USING (x)""",
+    "op8_urlfilter": f"""
+WITH rules(rule_host, rule_path, v) AS (VALUES {_RULES}),
+u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*', 0, 's') ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM u),
+m AS (SELECT page_id, host, path, rule_host || rule_path AS rule, v, row_number() OVER (
+    PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
+}
