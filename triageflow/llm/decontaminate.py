@@ -138,6 +138,9 @@ def _matches(base: DataFrame, items: DataFrame, k: int, n_items: int, similarity
                .select("doc_id", "text_key", "len", start.alias("start"), F.least("len", "n_words").alias("n_window"),
                        F.slice("shingles", start + 1, F.least("len", "n_words") - k + 1).alias("window"))
                .distinct())
+    # stored, or a filter on the fingerprint would move into this join and take it,
+    # with the exploded rows, out of the generated code
+    windows = stored(base.sparkSession, windows, "windows")
     prints = windows.withColumn("fp", simhash("window"))
     # multi-index: an item under every block value within the block's share of the radius
     share = RADIUS // BLOCKS
