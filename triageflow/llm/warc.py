@@ -11,7 +11,7 @@ the smallest id is a response and the others are revisits without a block.
 Spark's text writer puts the records out, with the two line ends that close a
 record as line separator, and its reader finds them again by the line end and
 version line that open one, also inside large files that are read in splits. A
-chunk is cut wherever the payload spells that version line, so no block can pass
+chunk is cut wherever the payload spells that version mark, so no block can pass
 for a record; Content-Length is checked on every block. ``read_archives``
 deals the segments of a record to one task in order and feeds them through one
 running digest, which must equal the digest in the header.
@@ -34,20 +34,22 @@ CHUNK_BYTES = 1 << 16
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 20_000
 DATE = "1970-01-01T00:00:00Z"
-VERSION = b"WARC/1.1\r\n"
+MARK = b"WARC/1.1"
+VERSION = MARK + b"\r\n"
 OPENS = "\r\nWARC/1.1\r\n"
 CLOSES = "\r\n\r\n"
 
 
-def chunk_ends(payload: memoryview | bytes, size: int = CHUNK_BYTES) -> list[int]:
+def chunk_ends(payload: bytes, size: int = CHUNK_BYTES) -> list[int]:
     """Ends of the chunks: every ``size`` bytes, and two bytes into every
-    version line that the payload spells."""
-    cuts, at = [], (raw := bytes(payload) if isinstance(payload, memoryview) else payload).find(VERSION)
+    version mark that the payload spells (the line ends around it may be the
+    header's or the closing ones)."""
+    cuts, at = [], payload.find(MARK)
     while at >= 0:
         cuts.append(at + 2)
-        at = raw.find(VERSION, at + 2)
+        at = payload.find(MARK, at + 2)
     out, start = [], 0
-    for end in [*cuts, len(raw)]:
+    for end in [*cuts, len(payload)]:
         out += [*range(start + size, end, size), end]
         start = end
     return out
