@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 DENSE = 8
-LEVELS = 6
+LEVELS = 12
 WIDTH = 16
 LANES = 1 + DENSE + LEVELS * WIDTH
 SEGMENTS = 64
