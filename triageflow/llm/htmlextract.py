@@ -35,7 +35,7 @@ DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 HIDDEN = 16
 TRAIN_PAGES = 120
 TRAIN_BLOCKS = 200
-STEPS, BATCH = 160, 24
+STEPS, BATCH = 360, 24
 GROUP_STEPS = 1 << 14
 
 # HTML's element classes.
