@@ -20,6 +20,7 @@ import codecs
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -29,10 +30,10 @@ from triageflow.llm.common import struct_udf
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE_CHARS = 1 << 16
-CACHED_PIECES = 1 << 19
+CACHED_PIECES = 1 << 18
 LOCKSTEP = 64
 ROWS = 1 << 14
-GROUP_CHARS = 1 << 22
+GROUP_CHARS = 1 << 20
 NO_RANK = 1 << 28
 _FREE = 1 << 60
 
@@ -346,9 +347,9 @@ def bpe_encode(spark, path: str | None = None):
 
     def run(texts):
         c = coder(path, shared.value)
-        ids = [[] for _ in texts]
+        ids = [array("i") for _ in texts]  # 4 bytes an id, not a list of objects
         for n, s in c.encoded(texts):
-            ids[n] += map(int, s.split(","))
-        return ((i, c.decode(i)) for i in ids)
+            ids[n].extend(map(int, s.split(",")))
+        return ((np.frombuffer(i, np.int32) if i else [], c.decode(i)) for i in ids)
 
     return struct_udf("ids array<int>, decoded string", run)

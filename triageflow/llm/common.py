@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from triageflow.session import materialize
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at a time.
-BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
