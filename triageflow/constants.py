@@ -291,6 +291,7 @@ MODEL_ROLES = {
     "TF-IDF + Logistic Regression": "Classical ML classifier",
     "Qwen Zero-Shot": "Direct LLM classification",
     "Qwen Few-Shot": "Prompt-engineered LLM classification",
+    "LoRA-SFT": "Task-specific fine-tuned LLM classifier",
     "Hybrid ML + Qwen": "ML prediction with LLM explanation and playbook generation",
 }
 

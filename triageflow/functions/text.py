@@ -32,11 +32,11 @@ def py_strip(col: Column | str) -> Column:
 
 
 def value_text(df: DataFrame, name: str) -> Column:
-    """One field value as text; null -> ``unknown``; integral floats print as integers."""
+    """One field value as text; null and NaN -> ``unknown``; integral floats print as integers."""
     dtype = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
+        text = F.when(F.isnan(c), F.lit(None)).when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit(NULL_VALUE_TEXT))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triageflow.constants import (HYBRID_DEFAULT_PRIORITY, HYBRID_PARSE_FALLBACK_SUMMARY, INVALID_LABEL,
+from triageflow.constants import (HYBRID_DEFAULT_PRIORITY, HYBRID_PARSE_FALLBACK_SUMMARY, ID_COLUMNS, INVALID_LABEL,
                                   LABEL_ALIASES_NARROW, LABEL_ALIASES_WIDE, LABELS, PARSE_ERROR,
                                   REQUEST_ERROR, TRIAGE_PARSE_FALLBACK_SUMMARY,
                                   TRIAGE_REQUEST_FAILED_PREFIX)
@@ -116,9 +116,15 @@ def parse_guidance_answers(df: DataFrame, raw_col: str = "raw_response", error_c
 
 
 def attach_answers(alerts: DataFrame, answers: DataFrame, id_col: str = "Id") -> DataFrame:
-    """Alerts LEFT JOIN stored answers on the id (never by position). Both sides
-    grow with the data, so this is a shuffle join on ``Id`` chosen by the planner."""
-    return alerts.join(answers, id_col, "left")
+    """Alerts LEFT JOIN stored answers on the id (never by position), and on the
+    other id columns where both sides have them. Answers are first brought to
+    one per key (the smallest of several), so every alert stays one row even
+    if ids repeat; a null key has no answer. Both sides grow with the data: a
+    shuffle join chosen by the planner."""
+    keys = [id_col, *(c for c in ID_COLUMNS if c != id_col and c in alerts.columns and c in answers.columns)]
+    rest = [c for c in answers.columns if c not in keys]
+    one = answers.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_a")).select(*keys, "_a.*")
+    return alerts.join(one, keys, "left")
 
 
 def llm_prediction_table(alerts: DataFrame, answers: DataFrame, greedy: bool = True,

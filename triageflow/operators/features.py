@@ -34,6 +34,14 @@ def preprocess_alerts(raw: DataFrame, target_col: str = TARGET_COL,
                            F.col(target_col).alias("label"))
 
 
+def online_alerts(raw: DataFrame, target_col: str = TARGET_COL, feature_columns: list[str] = FEATURE_COLUMNS) -> DataFrame:
+    """Alerts as they arrive: ids, ``alert_text`` and the label where there is
+    one (null, or the column missing, until an analyst has graded the alert)."""
+    label = F.col(target_col) if target_col in raw.columns else F.lit(None).cast("string")
+    keep = [c for c in ID_COLUMNS if c in raw.columns]
+    return raw.select(*keep, alert_text(raw, feature_columns).alias("alert_text"), label.alias("label"))
+
+
 def split_non_empty(df: DataFrame, text_col: str = "alert_text") -> tuple[DataFrame, DataFrame]:
     """Accepted / rejected rows by the strip-then-non-empty input check (null rejected)."""
     ok = is_non_empty(text_col)

@@ -65,21 +65,20 @@ def valid_prediction_cells(cells: DataFrame, labels: list[str] = LABELS) -> Data
 def confusion_matrix_long(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:
     """Every ``labels x labels`` cell per model, zero cells included.
 
-    Cells with either side outside ``labels`` are dropped. Each observed cell
-    explodes into one contribution per grid cell (its count on its own cell,
-    zero elsewhere), so the grid appears without a join and ``cells`` is read
-    by a single chain.
+    Cells with either side outside ``labels`` are dropped. A model's observed
+    cells (at most one per grid cell) and a zero for every grid cell are summed
+    by place, so the work is the grid plus the cells, and ``cells`` is read by a
+    single chain.
     """
     k = len(labels)
-    grid = [(i * k + j, t, p) for i, t in enumerate(labels) for j, p in enumerate(labels)]
-    contrib = F.array(*[F.struct(F.lit(o).alias("cell_order"), F.lit(t).alias(TRUE), F.lit(p).alias(PRED),
-                                 F.when((F.col(TRUE) == F.lit(t)) & (F.col(PRED) == F.lit(p)), F.col("n"))
-                                  .otherwise(F.lit(0)).cast("long").alias("n"))
-                        for o, t, p in grid])
-    return (cells.select(MODEL, F.explode(contrib).alias("_g"))
-                 .groupBy(MODEL, "_g.cell_order", "_g." + TRUE, "_g." + PRED)
-                 .agg(F.sum("_g.n").alias("n"))
-                 .select(MODEL, TRUE, PRED, "n", "cell_order"))
+    at = lambda c: F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(c)) - 1
+    listed = F.coalesce(F.col(TRUE).isin(labels) & F.col(PRED).isin(labels), F.lit(False))
+    seen = F.collect_list(F.when(listed, F.struct((at(TRUE) * k + at(PRED)).cast("int").alias("cell_order"), F.col("n").cast("long").alias("n"))))
+    zeros = F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), lambda i: F.struct(i.alias("cell_order"), F.lit(0).cast("long").alias("n")))
+    grid = (cells.groupBy(MODEL).agg(seen.alias("_s")).select(MODEL, F.explode(F.concat("_s", zeros)).alias("_g"))
+                 .groupBy(MODEL, F.col("_g.cell_order").alias("cell_order")).agg(F.sum("_g.n").alias("n")))
+    name = lambda i: F.get(F.array(*[F.lit(x) for x in labels]), i.cast("int"))
+    return grid.select(MODEL, name(F.floor(F.col("cell_order") / k)).alias(TRUE), name(F.col("cell_order") % k).alias(PRED), "n", "cell_order")
 
 
 def confusion_matrix_wide(cells: DataFrame, labels: list[str] = LABELS) -> DataFrame:

@@ -115,6 +115,8 @@ def row_at_position(df: DataFrame, index: int, order_col: str, tiebreak: list[st
             # (doubles), and a bucket of the minimum alone guarantees progress
             bucket = _count_below(proxy, sorted(set(st.q or []) | {st.lo, st.hi}))
         else:
+            if prefix_len >= 32:  # the whole key is shared: the rows are equal, any of them is the one
+                return cand.select(*cols).limit(1)
             prefix_len += 3
             bucket = F.substring(F.col(_ROW_KEY), 1, prefix_len)
         counts = (cand.groupBy(bucket.alias(_BUCKET)).agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,8 @@
 
 Contract (``SURVEY`` 2.5.1): quota-exact per class, seeded, independent of
 partitioning and input order. Row order inside a class is the seeded key
-``md5("<seed>:<salt>:<id>")`` with the id (and optional extra columns) as
-tie-break; the lowest ``quota_c`` keys of class ``c`` are selected.
+``md5("<seed>:<salt>:<id>")`` with the id, then all other columns, as
+tie-break, so rows that share an id are told apart; the lowest ``quota_c`` keys of class ``c`` are selected.
 
 Scale design. A plain ``row_number() OVER (PARTITION BY class ORDER BY key)``
 puts a whole class in one task; with three classes and 100 TB that is a
@@ -165,7 +165,7 @@ def stratified_split(df: DataFrame, class_col: str, test_size: float | int, id_c
     key = order_key(id_col, seed, salt)
     hist, counts = _store_histogram(df, class_col, key, digits)
     quotas = split_quotas(counts, test_size)
-    tb = list(tiebreak) if tiebreak is not None else [id_col]
+    tb = list(tiebreak) if tiebreak is not None else [id_col, *(c for c in df.columns if c != id_col)]
     flagged = select_by_quota(df, class_col, quotas, key, tb, "_held", digits, hist)
     return flagged.withColumn(split_col, F.when(F.col("_held"), F.lit(names[1])).otherwise(F.lit(names[0]))) \
                   .drop("_held")
@@ -178,7 +178,7 @@ def balanced_sample(df: DataFrame, class_col: str, total: int, id_col: str = "Id
     key = order_key(id_col, seed, salt)
     hist, counts = _store_histogram(df, class_col, key, digits)
     quotas = balanced_quotas(counts, total)
-    tb = list(tiebreak) if tiebreak is not None else [id_col]
+    tb = list(tiebreak) if tiebreak is not None else [id_col, *(c for c in df.columns if c != id_col)]
     flagged = select_by_quota(df, class_col, quotas, key, tb, "_take", digits, hist)
     return flagged.where(F.col("_take")).drop("_take")
 

@@ -58,6 +58,16 @@ scored0 AS (
 scored AS (SELECT *, {RULE_PRED_SQL} AS predicted_label FROM scored0)"""
 
 
+# The online path: every alert, graded or not, that has any text.
+ONLINE_CTE = RAW_ALERTS_CTE + f""",
+online0 AS (SELECT Id, IncidentGrade AS label, {ALERT_TEXT_SQL} AS alert_text FROM raw_alerts),
+online1 AS (SELECT *, {keyword_sum('lower(alert_text)', TRUE_POSITIVE_KEYWORDS)} AS tp_score,
+    {keyword_sum('lower(alert_text)', BENIGN_KEYWORDS)} AS benign_score,
+    {keyword_sum('lower(alert_text)', FALSE_POSITIVE_KEYWORDS)} AS fp_score FROM online0
+  WHERE length(trim(alert_text, ' ' || chr(9) || chr(10) || chr(13))) > 0),
+online AS (SELECT *, {RULE_PRED_SQL} AS predicted_label FROM online1)"""
+
+
 def labels_values(labels: list[str] = LABELS) -> str:
     return "(VALUES " + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(labels)) + ") AS lbl(label_order, label)"
 

@@ -374,7 +374,7 @@ def q_sft_records(spark, sf_dir):
 # ===========================================================================
 # Hybrid records, cards, comparison
 # ===========================================================================
-from triageflow.constants import HYBRID_TEMPLATE_SERVICE, MODEL_ROLES  # noqa: E402
+from triageflow.constants import HYBRID_TEMPLATE_SERVICE, MODEL_ROLES, SERVICE_PARSE_FALLBACK_SUMMARY  # noqa: E402
 from triageflow.operators import hybrid as H  # noqa: E402
 
 
@@ -674,8 +674,8 @@ def _staged_raw_alerts(spark, sf_dir, n_files=4):
 
 
 @register("stream_rule_predictions", "R1 P10",
-          sql=O.with_ctes(O.SCORED_CTE)
-          + "SELECT Id, label, tp_score, benign_score, fp_score, predicted_label FROM scored")
+          sql=O.with_ctes(O.ONLINE_CTE)
+          + "SELECT Id, label, tp_score, benign_score, fp_score, predicted_label FROM online")
 def q_stream_rule_predictions(spark, sf_dir):
     src = _staged_raw_alerts(spark, sf_dir)
     sink, ckpt = ST.scratch(spark, "stream-sink"), ST.scratch(spark, "stream-ckpt")
@@ -707,7 +707,7 @@ def q_responder_stub(spark, sf_dir):
 
 # SQL twin of ``responders.guidance_stub`` (its answer is a function of the
 # prompt text), so the hook's output, all but wall-clock latency, is checked.
-def stub_answers_cte(src: str, template: str, prefix: str) -> str:
+def stub_answers_cte(src: str, template: str, prefix: str, parse_fallback: str = O.HYBRID_PARSE_FALLBACK_SUMMARY) -> str:
     """CTEs ``{prefix}_join`` (alerts of ``src`` with the stub's answers) and
     ``{prefix}_hyb`` (parsed guidance)."""
     prompt = O.render_sql(template, ml_prediction="predicted_label", alert_text="alert_text")
@@ -729,7 +729,7 @@ def stub_answers_cte(src: str, template: str, prefix: str) -> str:
     CASE WHEN failed THEN 'stub responder: simulated timeout' END AS request_error FROM {x}_j),
 {x}_join AS (SELECT s.Id, s.label AS true_label, s.predicted_label AS ml_predicted_label, a.raw_response,
                 a.request_error FROM {src} s LEFT JOIN {x}_answers a ON s.Id = a.Id),
-""" + O.guidance_ctes(f"{x}_join", f"{x}_hyb")
+""" + O.guidance_ctes(f"{x}_join", f"{x}_hyb", parse_fallback)
 
 
 STUB_ANSWERS_CTE = stub_answers_cte("scored", HYBRID_TEMPLATE, "stub")
@@ -749,9 +749,8 @@ def q_responder_records(spark, sf_dir):
 
 
 @register("stream_triage_records", "R2 L20 L3 L14",
-          sql=O.with_ctes(O.SCORED_CTE, "accepted AS (SELECT * FROM scored WHERE coalesce(length("
-                          + O.strip_sql("alert_text") + ") > 0, false)),\n"
-                          + stub_answers_cte("accepted", HYBRID_TEMPLATE_SERVICE, "svc")) + """
+          sql=O.with_ctes(O.ONLINE_CTE, stub_answers_cte("online", HYBRID_TEMPLATE_SERVICE, "svc",
+                                                         SERVICE_PARSE_FALLBACK_SUMMARY)) + """
 SELECT Id, ml_predicted_label, status, analyst_summary, risk_explanation, mitre_json, actions_json,
   containment_priority, md5(coalesce(raw_response, request_error)) AS raw_md5 FROM svc_hyb""")
 def q_stream_triage_records(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,8 +16,6 @@ RUNTIME_CONFS = {
     # Python's json keeps the last of duplicate keys; Spark's variant parser
     # returns null for the whole document unless this is on.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Map-side top-k (WindowGroupLimit) for per-class rank filters up to this k.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 
@@ -26,8 +25,9 @@ def configure(spark: SparkSession) -> SparkSession:
         try:
             if spark.conf.get(key, None) != value:
                 spark.conf.set(key, value)
-        except Exception:  # a locked conf in a managed session: keep going
-            pass
+        except Exception:  # a locked conf in a managed session
+            if key == "spark.sql.variant.allowDuplicateKeys":
+                raise  # JSON results would change silently without it
     return spark
 
 
@@ -58,12 +58,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for materialised stages and checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir`` (the SparkContext picks it
-    up at start). Only when it is unset (local runs, tests) a fresh scratch
-    folder is created and registered with ``setCheckpointDir``.
+    up at start). Only when it is unset and the master is a local one (tests) a
+    fresh scratch folder is created and registered with ``setCheckpointDir``; on
+    a cluster a machine-local folder would be another one on every executor, so
+    the job is refused.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set and {sc.master!r} is not a local master: "
+                               "name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="triageflow-ckpt-", dir="/tmp")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root

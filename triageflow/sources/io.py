@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triageflow.constants import CSV_NULL_TOKENS
+from triageflow.operators.features import require_columns
 
 
 def null_tokens_to_null(df: DataFrame, tokens: list[str] = CSV_NULL_TOKENS) -> DataFrame:
@@ -25,35 +26,49 @@ def null_tokens_to_null(df: DataFrame, tokens: list[str] = CSV_NULL_TOKENS) -> D
     return df.select(*cols)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             glob: str | None = "*.csv", max_rows: int | None = None, order_by: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+             glob: str | None = None, max_rows: int | None = None, order_by: str | None = None,
+             multi_line: bool = False) -> DataFrame:
     """Header CSV with an explicit schema (no inference pass over the data).
 
-    Quoted fields may span lines (model answers do), so ``multiLine`` is on.
-    ``glob`` keeps only matching files of a directory. ``max_rows`` is the
+    Columns are taken by header name: files may order them otherwise and hold
+    more. Values are read as text and cast, ``242.0`` to an integer as well; one
+    that does not fit its type fails the read, naming it. ``multi_line`` reads quoted
+    fields that span lines (model answers do), one file a task; without it
+    files are split. ``glob`` keeps only matching files of a directory. ``max_rows`` is the
     bounded scan: the first rows by ``order_by`` (file order is not a Spark
     concept); default is the whole input.
     """
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("mode", "PERMISSIVE"))
+    reader = (spark.read.option("header", True).option("multiLine", multi_line)
+              .option("escape", '"').option("mode", "FAILFAST"))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if schema is not None:
-        reader = reader.schema(schema)
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        df = null_tokens_to_null(reader.option("inferSchema", False).csv(path))
+        df = require_columns(df, schema.fieldNames()).select(*[_cast(df, f) for f in schema.fields])
     else:
-        reader = reader.option("inferSchema", True)
-    df = null_tokens_to_null(reader.csv(path))
+        df = null_tokens_to_null(reader.option("inferSchema", True).csv(path))
     if max_rows is not None:
         df = df.orderBy(order_by or df.columns[0]).limit(max_rows)
     return df
 
 
+def _cast(df: DataFrame, field: T.StructField):
+    """A text column as the field's type; whole numbers may end in ``.0``."""
+    text = F.col(field.name)
+    if isinstance(field.dataType, T.IntegralType):
+        text = F.regexp_replace(F.trim(text), r"\.0+$", "")
+    return text.cast(field.dataType).alias(field.name)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV; array columns become JSON text first (CSV has no arrays)."""
     cols = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
             else F.col(f.name) for f in df.schema.fields]
     (df.select(*cols).write.mode(mode).option("header", True).option("escape", '"')
-       .option("quoteAll", False).csv(path))
+       .option("quoteAll", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .option("emptyValue", "").csv(path))
 
 
 def write_json_records(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triageflow.constants import HYBRID_TEMPLATE_SERVICE
+from triageflow.constants import HYBRID_TEMPLATE_SERVICE, SERVICE_PARSE_FALLBACK_SUMMARY
 from triageflow.operators import answers as A
 from triageflow.operators import features as feat
 from triageflow.operators import hybrid as H
@@ -55,10 +55,9 @@ def alert_stream(spark: SparkSession, path: str, schema: T.StructType = RAW_ALER
 
 
 def classify(raw: DataFrame) -> DataFrame:
-    """Per-row scoring shared by batch and stream: labelled rows -> text ->
-    non-empty check -> rule scores."""
-    processed = feat.preprocess_alerts(raw)
-    accepted, _ = feat.split_non_empty(processed)
+    """Per-row scoring shared by batch and stream: every alert, graded or not
+    -> text -> non-empty check -> rule scores."""
+    accepted, _ = feat.split_non_empty(feat.online_alerts(raw))
     return feat.score_rules(accepted)
 
 
@@ -90,7 +89,7 @@ def triage_batch(batch: DataFrame, batch_id: int, responder: Callable[[str], str
     # the batch's text and ML label ride along with each answer: no join back
     answers = H.materialize(spark, H.respond(prompts, responder, keep=["alert_text", "ml_predicted_label"]),
                             f"answers-batch{batch_id}")
-    parsed = A.parse_guidance_answers(answers)
+    parsed = A.parse_guidance_answers(answers, parse_fallback=SERVICE_PARSE_FALLBACK_SUMMARY)
     out = parsed.select("Id", "alert_text", "ml_predicted_label", "analyst_summary", "risk_explanation",
                         "mitre_interpretation", "recommended_actions", "containment_priority",
                         F.col("raw_response").alias("raw_llm_response"), "latency_seconds", "status")
