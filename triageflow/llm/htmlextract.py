@@ -7,7 +7,8 @@ A block is described by a hashed vector of its tag path (tags, classes, ids and
 roles of all open elements), a hashed vector of its words and a few shape
 figures. A bidirectional LSTM in numpy reads the page's blocks in order, so every
 label rests on the whole document, and labels each block as main text or not.
-The main text is the labelled blocks in page order, joined by one space.
+The main text is the labelled blocks in page order, joined by one space, without
+those that stand in an element that is plainly something else (``outside``).
 
 Training takes the blocks of at most ``TRAIN_PAGES`` pages (by hash of the page),
 labelled by their semantic elements (inside article or main, and not inside nav,
@@ -180,6 +181,23 @@ def semantic_label(path: tuple) -> bool:
     return inside
 
 
+_SHELL = frozenset("content main article post entry story text body page wrapper container site layout has with".split())
+_vetoes: dict[tuple, bool] = {}
+
+
+def outside(path: tuple) -> bool:
+    """Exact check behind the labeller: some open element is a menu, footer,
+    sidebar, form or dialog, or is named as such and not as a shell of the text."""
+    v = _vetoes.get(path)
+    if v is None:
+        if len(_vetoes) > 1 << 14:
+            _vetoes.clear()
+        v = _vetoes[path] = any(
+            f[0] in ("<nav", "<footer", "<aside", "<form", "<menu", "<dialog")
+            or (len(f) > 1 and not _SHELL & set(f[1:]) and bool(_NOT_MAIN.search(" ".join(f[1:])))) for f in path)
+    return v
+
+
 # How made-up pages name what they lay out.
 MAIN_NAMES = ["content", "main", "post", "entry", "story", "article body", "main content", "post content", "text", "entry content", "page body"]
 OTHER_NAMES = ["menu", "navbar", "navigation", "sidebar", "footer", "site header", "ad", "advert", "advertisement", "sponsored", "promo", "banner",
@@ -303,7 +321,7 @@ def extract(p: dict, htmls: list[str | None]):
     for k in range(0, len(htmls), 256):
         pages = [blocks(h) for h in htmls[k:k + 256]]
         for page, keep in zip(pages, labelled(p, pages)):
-            yield " ".join(b[0] for b, yes in zip(page, keep) if yes)
+            yield " ".join(b[0] for b, yes in zip(page, keep) if yes and not outside(b[1]))
 
 
 def training_pages(pages: DataFrame, html: str = "html", rows: int = TRAIN_PAGES, most: int = TRAIN_BLOCKS) -> list[list]:
