@@ -29,11 +29,9 @@ def test_relational_tfidf_equals_ml_pipeline(spark):
     alerts = jobs.processed_alerts(spark, SF)
     rel = {(r.Id, r.term): r.weight for r in TM.tfidf_terms(alerts).collect()}
     # ML path: same corpus through CountVectorizer -> (idf + 1) -> L2
-    from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import DenseVector
-    stages = TM._feature_stages("alert_text", 20000, 2)
-    base = Pipeline(stages=list(stages)).fit(alerts)
+    base = TM._count_model(alerts, "alert_text", 20000, 2)
     tf = base.transform(alerts)
     idf = IDF(inputCol="_tf", outputCol="_i").fit(tf).idf.toArray()
     prod = ElementwiseProduct(scalingVec=DenseVector(idf + 1.0), inputCol="_tf", outputCol="_p")
@@ -47,6 +45,29 @@ def test_relational_tfidf_equals_ml_pipeline(spark):
                 assert rel[(r.Id, vocab[i])] == pytest.approx(v, rel=1e-9)
 
 
+def test_both_forms_cut_tied_terms_alike(spark):
+    rows = [(f"{w} common {w}", "TruePositive" if i % 2 else "FalsePositive") for i, w in enumerate(f"w{k:02d}" for k in range(24) for _ in range(2))]
+    df = spark.createDataFrame(rows, "alert_text string, label string")
+    want = [r.term for r in TM.vocabulary(df, max_features=10).orderBy("term_rank").collect()]
+    for n in (1, 5):
+        assert TM._count_model(df.repartition(n), "alert_text", 10, 2).stages[-1].vocabulary == want
+    assert len(want) == 10
+
+
+def test_online_alerts_scored_by_a_saved_model(spark):
+    """With a model the stream's label is the model's; ungraded alerts are scored too."""
+    from triageflow.sources import fixtures
+    from triageflow.streaming import classify as ST
+    split = jobs.stored_split(spark, SF)
+    model = jobs.saved_classifier(split)
+    want = {r.Id: r.predicted_label for r in TM.predict(model, split, keep=["Id"]).collect()}
+    src = ST.stage_files(fixtures.raw_alerts(spark, SF), ST.scratch(spark, "model-src"), 2)
+    out, ckpt = ST.scratch(spark, "model-out"), ST.scratch(spark, "model-ckpt")
+    ST.run_triage_stream(spark, src, out, ckpt, responders.guidance_stub, model=model)
+    got = {r.Id: r.ml_predicted_label for r in spark.read.parquet(out).collect()}
+    assert len(got) == 1500 and all(got[i] == label for i, label in want.items())
+
+
 def test_lr_fit_predict_save_load(spark):
     split = jobs.stored_split(spark, SF)
     model = TM.fit_tfidf_lr(split.where("split = 'train'"), max_iter=50)

@@ -13,18 +13,18 @@ Two forms, same numbers:
     partitioning, so per-document counting and normalisation run without
     another shuffle. The vocabulary (<= ``max_features`` rows, a proven
     bound) is broadcast.
-  * Spark ML (``fit_tfidf_lr``): RegexTokenizer -> NGram -> CountVectorizer ->
-    (IDF + 1) -> Normalizer -> multinomial LogisticRegression, all row-local
-    transforms plus distributed fits (word count, df vector, L-BFGS
+  * Spark ML (``fit_tfidf_lr``): RegexTokenizer -> NGram -> counts over the
+    relational vocabulary -> (IDF + 1) -> Normalizer -> multinomial
+    LogisticRegression, all row-local transforms plus distributed fits (df vector, L-BFGS
     tree-aggregates). Spark's IDF is ``ln((n+1)/(df+1))`` without the +1, so
     the weights are scaled by ``idf + 1`` with ElementwiseProduct.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer,
+from pyspark.ml.feature import (IDF, CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer,
                                 RegexTokenizer, SQLTransformer)
 from pyspark import StorageLevel
 from pyspark.ml.linalg import DenseVector
@@ -155,13 +155,17 @@ def with_class_weight(df: DataFrame, weights: dict, label_col: str = "label", we
 # ---------------------------------------------------------------------------
 # Spark ML pipeline
 # ---------------------------------------------------------------------------
-def _feature_stages(text_col: str, max_features: int, min_df: int):
+def _count_model(train: DataFrame, text_col: str, max_features: int, min_df: int) -> PipelineModel:
+    """Text to term counts over :func:`vocabulary`, so that terms tied at the cap
+    are the same ones in both forms, whatever the partitioning."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False,
                          toLowercase=True, minTokenLength=1)
     ngram = NGram(n=2, inputCol="_tokens", outputCol="_bigrams")
     concat = SQLTransformer(statement="SELECT *, concat(_tokens, _bigrams) AS _terms FROM __THIS__")
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=float(min_df))
-    return tok, ngram, concat, cv
+    rows = vocabulary(train, text_col, max_features, min_df).select("term", "term_rank").collect()  # <= max_features
+    ranked = [r["term"] for r in sorted(rows, key=lambda r: r["term_rank"])]
+    cv = CountVectorizerModel.from_vocabulary(ranked, inputCol="_terms", outputCol="_tf")
+    return PipelineModel(stages=[tok, ngram, concat, cv])
 
 
 def fit_tfidf_lr(train: DataFrame, text_col: str = "alert_text", label_col: str = "label",
@@ -179,8 +183,7 @@ def fit_tfidf_lr(train: DataFrame, text_col: str = "alert_text", label_col: str
     clean = train.where(F.col(label_col).isNotNull()).withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
     counts = {k: v for k, v in class_counts(clean, label_col).items() if k is not None}
     labels = sorted(counts)
-    tok, ngram, concat, cv = _feature_stages(text_col, max_features, min_df)
-    base = Pipeline(stages=[tok, ngram, concat, cv]).fit(clean)
+    base = _count_model(clean, text_col, max_features, min_df)
     # Count vectors are reused by the IDF fit and every L-BFGS pass: persist
     # them (spilling to disk if needed) for the duration of the fit.
     tf_df = base.transform(clean).select("_tf", label_col).persist(StorageLevel.MEMORY_AND_DISK)

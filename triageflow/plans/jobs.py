@@ -7,6 +7,9 @@ modules and are wired here.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ from triageflow.constants import (EVAL_SUBSET_SIZE, RANDOM_STATE, SFT_MAX_TRAIN_
                                   TEST_FRACTION)
 from triageflow.operators import features as feat
 from triageflow.operators import sampling as S
-from triageflow.session import configure, materialize
+from triageflow.operators import textml as TM
+from triageflow.session import checkpoint_root, configure, materialize
 from triageflow.sources import fixtures
 
 
@@ -47,6 +51,14 @@ def stored_split(spark: SparkSession, sf_dir: str, test_size: float = TEST_FRACT
     return materialize(spark, corpus_split(alerts, test_size, seed), "split-corpus", partition_by=["split"])
 
 
+def saved_classifier(split_df: DataFrame) -> PipelineModel:
+    """The classifier fitted on the train split, saved to the shared
+    folder and loaded from there, as every job that scores with it does."""
+    path = f"{checkpoint_root(split_df.sparkSession)}/tfidf-lr-{uuid.uuid4().hex}"
+    TM.save_model(TM.fit_tfidf_lr(split_df.where(F.col("split") == "train")), path)
+    return TM.load_model(path)
+
+
 def eval_subset(split_df: DataFrame, size: int = EVAL_SUBSET_SIZE, seed: int = RANDOM_STATE) -> DataFrame:
     """T3 over the test split: the shared balanced evaluation subset, with its
     shuffle key (T4) for sinks that need the shuffled order."""

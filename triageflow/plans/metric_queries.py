@@ -43,7 +43,7 @@ SELECT count(*) AS raw_rows, count(IncidentGrade) AS labelled_rows,
   count(*) - count(IncidentGrade) AS dropped_rows FROM raw_alerts""")
 def q_preprocess_alerts(spark, sf_dir):
     configure(spark)
-    raw = fixtures.raw_alerts(spark, sf_dir)
+    raw = fixtures.alert_grades(spark, sf_dir)
     # one global aggregate; only the columns behind the target are scanned
     return raw.agg(F.count(F.lit(1)).alias("raw_rows"), F.count("IncidentGrade").alias("labelled_rows")) \
               .select("raw_rows", "labelled_rows", (F.col("raw_rows") - F.col("labelled_rows")).alias("dropped_rows"))

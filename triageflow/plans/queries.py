@@ -35,6 +35,13 @@ def _first_alerts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return feat.preprocess_alerts(fixtures.raw_alerts(spark, sf_dir, first_n=n, labelled_only=True))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(Id, label)`` of the labelled alerts, without the joins behind their text."""
+    configure(spark)
+    g = fixtures.alert_grades(spark, sf_dir).withColumnRenamed("IncidentGrade", "label")
+    return g.where(F.col("label").isNotNull())
+
+
 def _rounded_summary(cells: DataFrame) -> DataFrame:
     s = M.model_summary(cells)
     return s.select("model", *[F.round(c, DIGITS).alias(c) for c in SUMMARY_COLS], "n_rows")
@@ -120,7 +127,7 @@ def q_rule_report(spark, sf_dir):
 SELECT label, count, CAST(row_number() OVER (ORDER BY count DESC, label) AS INTEGER) AS rank
 FROM (SELECT label, count(*) AS count FROM alerts WHERE label IS NOT NULL GROUP BY label)""")
 def q_label_distribution(spark, sf_dir):
-    return M.label_distribution(_alerts(spark, sf_dir), "label")
+    return M.label_distribution(_labels(spark, sf_dir), "label")
 
 
 # --- A3 / O4: sorted distinct -------------------------------------------------
@@ -130,7 +137,7 @@ SELECT label, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS label_order
 FROM (SELECT DISTINCT label FROM alerts WHERE label IS NOT NULL)""")
 def q_label_domain(spark, sf_dir):
     from pyspark.sql import Window
-    d = _alerts(spark, sf_dir).where(F.col("label").isNotNull()).select("label").distinct()
+    d = _labels(spark, sf_dir).select("label").distinct()
     return d.withColumn("label_order", F.row_number().over(Window.orderBy("label")))
 
 
@@ -641,9 +648,9 @@ def q_class_weights(spark, sf_dir):
 
 
 def _lr_job(spark, sf_dir):
-    """M8: fit on the train split, score the test split."""
+    """M8: fit on the train split, save, load and score the test split."""
     split = jobs.stored_split(spark, sf_dir)
-    model = TM.fit_tfidf_lr(split.where(F.col("split") == "train"))
+    model = jobs.saved_classifier(split)
     test = split.where(F.col("split") == "test")
     return TM.predict(model, test, keep=["Id", "label"])
 
@@ -769,7 +776,7 @@ def _subset_with_models(spark, sf_dir):
     """E2 on the shared evaluation subset: rule and TF-IDF+LR predictions side by
     side (the two-prediction table), LR trained on the train split."""
     split = jobs.stored_split(spark, sf_dir)
-    model = TM.fit_tfidf_lr(split.where(F.col("split") == "train"))
+    model = jobs.saved_classifier(split)
     subset = jobs.eval_subset(split)
     lr = TM.predict(model, subset).withColumnRenamed("predicted_label", "logreg_prediction")
     return feat.score_rules(lr, pred_col="rule_based_prediction", keep_scores=False)
@@ -799,6 +806,31 @@ def q_model_comparison_subset(spark, sf_dir):
     return M.model_comparison(M.confusion_cells(long_df), MODEL_ROLES)
 
 
+# What SQL can say about the classifier's rows: which alerts it scores, that every
+# prediction is a learned label, and everything of its records but that label.
+@register("lr_scored_rows", "M6 M7 M8 S7",
+          sql=O.with_ctes(O.SPLIT_CTE) + "SELECT Id, label, true AS is_known FROM split_alerts WHERE split = 'test'")
+def q_lr_scored_rows(spark, sf_dir):
+    p = _lr_job(spark, sf_dir)
+    return p.select("Id", "label", F.col("predicted_label").isin(LABELS).alias("is_known"))
+
+
+@register("hybrid_records_lr", "L18 J2 M7 S7",
+          sql=O.with_ctes(O.HYBRID_CTE, O.EVAL_CTE[len(O.ALERTS_CTE) + 2:]) + """
+SELECT Id, true_label, true AS is_known, status, analyst_summary, risk_explanation, mitre_json, actions_json,
+  containment_priority, round(coalesce(latency_seconds, 0.0), 6) AS latency_seconds
+FROM hyb WHERE Id IN (SELECT Id FROM eval_subset)""")
+def q_hybrid_records_lr(spark, sf_dir):
+    """Hybrid records of the evaluation subset with the trained classifier's label."""
+    split = jobs.stored_split(spark, sf_dir)
+    scored = TM.predict(jobs.saved_classifier(split), jobs.eval_subset(split))
+    h = H.hybrid_records(scored, "predicted_label", fixtures.hybrid_answers(spark, sf_dir))
+    return h.select("Id", "true_label", F.col("ml_predicted_label").isin(LABELS).alias("is_known"), "status",
+                    "analyst_summary", "risk_explanation", F.to_json("mitre_interpretation").alias("mitre_json"),
+                    F.to_json("recommended_actions").alias("actions_json"), "containment_priority",
+                    F.round("latency_seconds", DIGITS).alias("latency_seconds"))
+
+
 # ===========================================================================
 # Same operators on other driver tables (FIXTURES 2.3)
 # ===========================================================================

@@ -17,6 +17,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,7 @@ from triageflow.operators import answers as A
 from triageflow.operators import features as feat
 from triageflow.operators import hybrid as H
 from triageflow.operators import prompts as P
+from triageflow.operators import textml as TM
 from triageflow.session import checkpoint_root
 
 RAW_ALERT_SCHEMA = T.StructType([
@@ -54,11 +56,12 @@ def alert_stream(spark: SparkSession, path: str, schema: T.StructType = RAW_ALER
     return reader.parquet(path)
 
 
-def classify(raw: DataFrame) -> DataFrame:
+def classify(raw: DataFrame, model: PipelineModel | None = None) -> DataFrame:
     """Per-row scoring shared by batch and stream: every alert, graded or not
-    -> text -> non-empty check -> rule scores."""
+    -> text -> non-empty check -> label of the trained ``model`` (loaded by the
+    caller), or the rule scores and label without one."""
     accepted, _ = feat.split_non_empty(feat.online_alerts(raw))
-    return feat.score_rules(accepted)
+    return TM.predict(model, accepted) if model is not None else feat.score_rules(accepted)
 
 
 def run_rule_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
@@ -98,8 +101,8 @@ def triage_batch(batch: DataFrame, batch_id: int, responder: Callable[[str], str
 
 def run_triage_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
                       responder: Callable[[str], str], max_files_per_trigger: int | None = 1,
-                      timeout_s: float | None = None) -> None:
-    scored = classify(alert_stream(spark, source_dir, max_files_per_trigger=max_files_per_trigger))
+                      timeout_s: float | None = None, model: PipelineModel | None = None) -> None:
+    scored = classify(alert_stream(spark, source_dir, max_files_per_trigger=max_files_per_trigger), model)
     query = (scored.writeStream.option("checkpointLocation", checkpoint_dir)
              .foreachBatch(lambda b, i: triage_batch(b, i, responder, out_dir))
              .trigger(availableNow=True).start())
