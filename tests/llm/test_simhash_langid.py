@@ -102,6 +102,27 @@ def test_links_have_the_components_of_all_pairs(spark, monkeypatch, radius, buck
     assert {f: component.get(f, f) for f in fps} == {f: root(f) for f in fps}
 
 
+def test_a_crowded_part_loses_no_link(spark):
+    """Skew makes the program flip bits of the other parts: a bucket of one counts there."""
+    rng = random.Random(5)
+    crowd, planted = rng.getrandbits(22), []
+    fps = {(rng.getrandbits(42) << 22) | crowd for _ in range(700)} | {rng.getrandbits(64) for _ in range(1000)}
+    for f in sorted(fps)[:400]:
+        a, b = rng.sample(range(64), 2)
+        planted.append((f, f ^ (1 << a) ^ (1 << b)))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    fps = sorted({signed(f) for f in fps | {f for p in planted for f in p}})
+    df = simhash.stored(spark, spark.createDataFrame([(f,) for f in fps], "fp bigint"), "crowded")
+    _, thresholds = simhash.plan_parts(spark, df, len(fps), 2)
+    assert max(thresholds) >= 1
+    component = {r.node: r.component for r in simhash.components(spark, simhash.links(spark, df)).collect()}
+    values = np.array(fps, np.int64).view(np.uint64)
+    for k, f in enumerate(values):
+        for j in np.flatnonzero(np.bitwise_count(values[:k] ^ f) <= 2):
+            assert component.get(fps[k], fps[k]) == component.get(fps[j], fps[j])
+    assert all(component[signed(a)] == component[signed(b)] for a, b in planted)
+
+
 def test_thresholds_keep_the_pigeonhole():
     cost = [[0, 5, 9, 30], [0, 1, 2, 3], [0, 50, 60, 70]]
     total, ts = simhash.allocate(cost, 2)

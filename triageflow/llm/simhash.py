@@ -166,10 +166,13 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS) -> DataFram
             continue
         value = part_value(F.col("fp"), bits)
         index.append(fps.select("fp", F.lit(i).alias("part"), value.alias("v")))
+        # a lambda of one argument: transform() hands the position to a second one, default or not
         probes.append(fps.select("fp", F.lit(i).alias("part"), F.explode(F.transform(
-            F.lit(ball(len(bits), t)).cast("array<bigint>"), lambda w, value=value: value.bitwiseXOR(w))).alias("v")))
+            F.lit(ball(len(bits), t)).cast("array<bigint>"), value.bitwiseXOR)).alias("v")))
     index, probes = _union(index), _union(probes)
-    size = index.groupBy("part", "v").agg(F.count("*").alias("n")).where("n > 1")
+    # only a probe of threshold 0 finds nothing but itself in a bucket of one
+    flipped = [i for i, t in enumerate(thresholds) if t > 0]
+    size = index.groupBy("part", "v").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("part").isin(flipped))
     size = stored(spark, size, "buckets")
     wide = size.where(F.col("n") > BUCKET).select("part", "v")
     met = (stored(spark, index.join(size.where(F.col("n") <= BUCKET), ["part", "v"]).select("part", "v", F.col("fp").alias("b")), "index")
