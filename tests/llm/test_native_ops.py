@@ -86,6 +86,20 @@ def test_leaks_equal_brute_force(spark, leaky, monkeypatch):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {r.doc_id for r in got}
 
 
+def test_a_reordered_item_is_found(spark):
+    """Halves and thirds of an item in another order, in the middle of other text."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    run = lambda n: [word() for _ in range(n)]
+    a, b = run(100), run(150)
+    items = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(run(30)))]
+    docs = [(1, " ".join([*run(70), *a[50:], *a[:50], *run(90)])), (2, " ".join([*run(20), *b[100:], *b[50:100], *b[:50], *run(20)])),
+            (3, " ".join(run(200))), (None, " ".join([*a[50:], *a[:50]]))]
+    got = decontaminate.leaks(spark, spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (None, 1)}
+
+
 def test_no_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "a b c d e f g")], DOCS)

@@ -3,9 +3,9 @@
 Words are lower-cased runs of letters and digits; shingles are ``SHINGLE_WORDS``
 words (a shorter item: its whole word sequence). For an item of L words the
 windows are runs of L words of a document (the whole document if it is shorter)
-that place a shingle they share with some item where the item has it; a window
-without any such shingle has similarity 0 with every item, so none that counts
-is left out. Every window gets a 64-bit SimHash of its shingles.
+whose shingles that the item has, at any place, weigh at least the similarity
+times the item: an upper bound of their similarity, so none that counts is left
+out here. Every such window gets a 64-bit SimHash of its shingles.
 
 Fingerprints are cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits are
 within ``RADIUS // BLOCKS`` bits in at least one block (pigeonhole), so the items
@@ -130,17 +130,30 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id: st
 
 
 def _matches(base: DataFrame, items: DataFrame, k: int, n_items: int, similarity: float) -> DataFrame:
-    # windows: a shared shingle at the place that the item gives it
-    postings = items.select(F.col("n_words").alias("len"), F.posexplode("shingles").alias("offset", "s")).distinct()
-    hits = base.select("doc_id", "text_key", "n_words", "shingles", F.posexplode_outer("shingles").alias("at", "s"))
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n_words") - F.col("len")))
-    windows = (hits.join(F.broadcast(postings), "s")
-               .select("doc_id", "text_key", "len", start.alias("start"), F.least("len", "n_words").alias("n_window"),
-                       F.slice("shingles", start + 1, F.least("len", "n_words") - k + 1).alias("window"))
+    # shared shingles at any place: an item's weight of all of them in a window bounds
+    # their similarity from above; documents that cannot reach it are left out first
+    spark = base.sparkSession
+    weight = items.select("row", F.expr("aggregate(shingles, 0D, (x, h) -> x + weights[h])").alias("total"))
+    postings = items.select("row", F.col("n_words").alias("len"), F.explode("weights").alias("s", "w"))
+    held = (base.select("doc_id", "text_key", "n_words", F.posexplode("shingles").alias("at", "s"))
+            .join(F.broadcast(postings), "s").join(F.broadcast(weight), "row"))
+    pair = ["doc_id", "text_key", "n_words", "row", "len"]
+    enough = F.sum("w") >= (similarity - 1e-9) * F.first("total")
+    near = held.groupBy(*pair).agg(enough.alias("enough"), F.collect_set(F.struct("at", "w", "total")).alias("hits")).where("enough")
+    near = near.select(*pair, F.explode("hits").alias("h")).select(*pair, "h.*")
+    last = F.greatest(F.lit(0), F.col("n_words") - F.col("len"))
+    starts = F.sequence(F.least(last, F.greatest(F.lit(0), F.col("at") - F.col("len") + k)), F.least(F.col("at"), last))
+    near = (near.select("*", F.explode(starts).alias("start")).groupBy(*pair, "start").agg(enough.alias("enough")).where("enough")
+            .select("doc_id", "text_key", "len", "start").distinct())
+    near = stored(spark, near, "window-starts")
+    mine = near.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "len", "start")
+    windows = (base.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+               .select("doc_id", "text_key", "len", "start", F.least("len", "n_words").alias("n_window"),
+                       F.slice("shingles", F.col("start") + 1, F.least("len", "n_words") - k + 1).alias("window"))
                .distinct())
     # stored, or a filter on the fingerprint would move into this join and take it,
     # with the exploded rows, out of the generated code
-    windows = stored(base.sparkSession, windows, "windows")
+    windows = stored(spark, windows, "windows")
     prints = windows.withColumn("fp", simhash("window"))
     # multi-index: an item under every block value within the block's share of the radius
     share = RADIUS // BLOCKS
