@@ -133,6 +133,17 @@ def test_extraction_of_other_layouts(labeller):
     assert got[:1] * 2 == list(htmlextract.extract(labeller, [f"<html><body>{other[0]}<main>{body}</main>{''.join(other[1:])}</body></html>"] * 2))
 
 
+@pytest.mark.parametrize("head,inner", [
+    ("<html><body class='no-sidebar'><article>", "<p>x</p>"), ("<html class='cookies'><body><main>", "<p>x</p>"),
+    ("<html><body><div class='header-fixed'><article>", "<p>x</p>"), ("<html><body><article>", "<h2 id='related-work'>x</h2>"),
+    ("<html><body><article>", "<h3 id='social-impact'>x</h3>"), ("<html><body><article>", "<p id='notice-period'>x</p>")])
+def test_names_of_layouts_and_topics_veto_nothing(head, inner):
+    ((_, path, _),) = htmlextract.blocks(head + inner)
+    assert not htmlextract.outside(path) and htmlextract.semantic_label(path)
+    ((_, path, _),) = htmlextract.blocks(f"{head}<div class='ad'>{inner}")
+    assert htmlextract.outside(path) and not htmlextract.semantic_label(path)
+
+
 def test_long_page(labeller):
     page = "<html><body><nav><a>x</a></nav><article>" + "<p>A line of the text.</p>" * 5000 + "</article></body></html>"
     (text,) = htmlextract.extract(labeller, [page])

@@ -168,6 +168,17 @@ def features(page_blocks) -> np.ndarray:
     return x
 
 
+PROSE = frozenset("<h1 <h2 <h3 <h4 <h5 <h6 <p".split())
+
+
+def named(path: tuple) -> list[tuple[str, ...]]:
+    """Frames whose names tell what they hold: not html and body, the article or
+    main and what is round it (names of a layout), nor headings and paragraphs
+    in it (names of a topic)."""
+    at = next((k for k, f in enumerate(path) if f[0] in ("<article", "<main")), None)
+    return [f for k, f in enumerate(path) if len(f) > 1 and f[0] not in ("<html", "<body") and (at is None or (k > at and f[0] not in PROSE))]
+
+
 def semantic_label(path: tuple) -> bool:
     """Main text by semantic elements and the names around them."""
     inside = False
@@ -176,9 +187,7 @@ def semantic_label(path: tuple) -> bool:
             inside = True
         elif tokens[0] in ("<nav", "<footer", "<aside", "<form", "<menu", "<button", "<select", "<dialog") or (tokens[0] == "<header" and not inside):
             return False
-        if len(tokens) > 1 and _NOT_MAIN.search(" ".join(tokens[1:])):
-            return False
-    return inside
+    return inside and not any(_NOT_MAIN.search(" ".join(f[1:])) for f in named(path))
 
 
 _SHELL = frozenset("content main article post entry story text body page wrapper container site layout has with".split())
@@ -187,14 +196,15 @@ _vetoes: dict[tuple, bool] = {}
 
 def outside(path: tuple) -> bool:
     """Exact check behind the labeller: some open element is a menu, footer,
-    sidebar, form or dialog, or is named as such and not as a shell of the text."""
+    sidebar, form or dialog, or one that ``named`` keeps is named as such and not
+    as a shell of the text."""
     v = _vetoes.get(path)
     if v is None:
         if len(_vetoes) > 1 << 14:
             _vetoes.clear()
         v = _vetoes[path] = any(
-            f[0] in ("<nav", "<footer", "<aside", "<form", "<menu", "<dialog")
-            or (len(f) > 1 and not _SHELL & set(f[1:]) and bool(_NOT_MAIN.search(" ".join(f[1:])))) for f in path)
+            f[0] in ("<nav", "<footer", "<aside", "<form", "<menu", "<dialog") for f in path) or any(
+            not _SHELL & set(f[1:]) and bool(_NOT_MAIN.search(" ".join(f[1:]))) for f in named(path))
     return v
 
 
