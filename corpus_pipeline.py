@@ -13,16 +13,13 @@ from triageflow.llm import bpe, decontaminate, langid, pii, simhash
 from triageflow.llm.common import stored
 from triageflow.sources.tables import table_path
 
-#: A document whose best language scores less is rejected, as is one without a letter.
-MIN_LANGUAGE_SCORE = 0.2
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a recognised language."""
+    """Keep documents of a recognised language, that is all with a letter: the
+    score of a short text is small however clear its language."""
     model = langid.fit(docs.where(~langid.held_out()))
     judged = docs.withColumn("_language", langid.language(spark, model)("text"))
-    known = (F.col("_language.lang_pred") != langid.UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SCORE)
-    return judged.where(known).drop("_language")
+    return judged.where(F.col("_language.lang_pred") != langid.UNKNOWN).drop("_language")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,6 +195,22 @@ def test_stages_call_the_dealt_operators_and_take_effect(spark):
         assert r.ids == coder.encode(text) and r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_short_documents_have_a_language(spark):
+    """With many languages and long rows to learn from, short texts score next to nothing."""
+    rng = random.Random(3)
+    rows = [(-k, None, t) for k, t in enumerate(["A.", "Re.", "De.", "Avec.", "12 !", ""], 1)]
+    for k in range(20):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+        rows += [(100 * k + j, f"l{k:02}", " ".join(rng.choice(words) for _ in range(300))) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {d for d, _, t in rows if any(c.isalpha() for c in t)}
+    short = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy(F.length("text"), "doc_id").limit(200)
+    seen = np.zeros(langid.SPACE, np.uint8)
+    want = {r.doc_id for r in short.collect() if len(langid.grams(r.text, seen))}
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, short, "").collect()} == want
+
+
 def decontaminate_words(text):
     import re
     return re.findall(r"[^\W_]+", (text or "").lower())
