@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triageflow.llm import bpe, decontaminate, fingerprint, htmlextract, langid, license, pii, simhash, urlfilter, warc
+from triageflow.llm import bisector, bpe, decontaminate, fingerprint, htmlextract, langid, license, pii, simhash, urlfilter, warc
 from triageflow.llm.common import bound_batches
 from triageflow.session import checkpoint_root
 from triageflow.sources.tables import table_path
@@ -72,17 +72,49 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(spark, _table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector.with_inertia(spark, *bisector.clustered(spark, _table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_pii, op4_langid, op5_bpe, op6_fingerprint, op7_simhash, op8_urlfilter,
-                                   op9_html, op10_license, pipeline)}
+                                   op9_html, op10_license, op13_centroids, pipeline)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
 _PHRASES = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license.BASE)
 
+
+
+def _centroids_sql(k: int = bisector.CLUSTERS, rounds: int = bisector.ROUNDS, dims: int = bisector.DIMS, scale: int = bisector.SCALE) -> str:
+    """Distances to every centroid and their minimum, round by round."""
+    def nearest(i: int) -> str:
+        return f"""a{i} AS (SELECT vec_id, r, any_value(q) AS q, min(struct_pack(d := d, c := c)) AS b FROM (
+  SELECT v.vec_id, v.r, v.q, m.c, CAST(list_sum(list_transform(list_zip(v.q, m.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+  FROM v CROSS JOIN c{i} AS m) GROUP BY vec_id, r)"""
+
+    def move(i: int) -> str:
+        return f"""c{i + 1} AS (SELECT c.c, coalesce(n.q, c.q) AS q FROM c{i} AS c LEFT JOIN (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM (
+    SELECT b.c AS c, u.i AS i, CAST(sum(q[u.i]) AS HUGEINT) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, {dims + 1})) AS i) AS u GROUP BY b.c, u.i)
+  GROUP BY c) AS n USING (c))"""
+
+    steps = ",\n".join(x for i in range(rounds) for x in (nearest(i), move(i)))
+    return f"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS INTEGER) AS c, q FROM (
+  SELECT sha256('{bisector.SEED}:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT {k})),
+{steps},
+{nearest(rounds)}
+SELECT vec_id, b.c AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS m ON m.c = b.c"""
+
+
 #: DuckDB twins of what SQL can express. Records, digests and verdicts need no
 #: model; the other operators are tested against brute force in tests/llm/.
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +135,5 @@ m AS (SELECT page_id, host, path, rule_host || rule_path AS rule, v, row_number(
     PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS k
   FROM p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op13_centroids": _centroids_sql(),
 }
