@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from triageflow.session import materialize
+from triageflow.session import checkpoint_root, materialize
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at a time.
 BATCH_ROWS = 1000
@@ -43,6 +44,20 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return materialize(spark, df, f"llm-{name}")
 
 
+def stored_at(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """Like :func:`stored`, with the folder, for :func:`discard`. Read back by the
+    schema of ``df``, so that a partitioned table may be empty."""
+    path = f"{checkpoint_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_key(text: str = "text") -> Column:
     """128-bit key of a text (null: of the empty text)."""
     return F.md5(F.coalesce(F.col(text), F.lit("")))

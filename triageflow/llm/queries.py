@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triageflow.llm import bisector, bpe, decontaminate, fingerprint, htmlextract, langid, license, pii, simhash, urlfilter, warc
+from triageflow.llm import bisector, bpe, collocations, decontaminate, fingerprint, htmlextract, langid, license, multiindex, pii, simhash, urlfilter, warc
 from triageflow.llm.common import bound_batches
 from triageflow.session import checkpoint_root
 from triageflow.sources.tables import table_path
@@ -72,6 +72,14 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisector.with_inertia(spark, *bisector.clustered(spark, _table(spark, sf_dir, "embeddings")))
 
@@ -82,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_pii, op4_langid, op5_bpe, op6_fingerprint, op7_simhash, op8_urlfilter,
-                                   op9_html, op10_license, op13_centroids, pipeline)}
+                                   op9_html, op10_license, op11_embedding, op12_collocations, op13_centroids, pipeline)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
 _PHRASES = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license.BASE)
@@ -115,6 +123,31 @@ SELECT vec_id, b.c AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY
 FROM a{rounds} JOIN c{rounds} AS m ON m.c = b.c"""
 
 
+def _collocations_sql(threshold: int = collocations.THRESHOLD, top: int = collocations.TOP, weight: int = collocations.WEIGHT,
+                      cover: int = collocations.COVER_PERCENT, longest: int = collocations.LONGEST) -> str:
+    """Every phrase of every length counted."""
+    return f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM t),
+g AS (SELECT lang, k, unnest(list_transform(range(1, CAST(len(ws) AS BIGINT) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, {longest + 1})) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= {threshold}),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, u.j, array_to_string(c.ws[1:u.j], ' ') AS head, array_to_string(c.ws[u.j + 1:], ' ') AS tail
+  FROM c, (SELECT unnest(range(1, {longest})) AS j) AS u WHERE u.j < c.k),
+scored AS (SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, min(struct_pack(
+    score := CAST((CAST({weight} AS HUGEINT) * cuts.a) // (h.n + e.n) AS BIGINT), j := cuts.j, l := h.n, r := e.n)) AS b
+  FROM cuts JOIN f AS h ON h.lang = cuts.lang AND h.phrase = cuts.head JOIN f AS e ON e.lang = cuts.lang AND e.phrase = cuts.tail GROUP BY ALL),
+inner_of AS (SELECT lang, array_to_string(ws[s:s + m - 1], ' ') AS phrase, max(a) AS longer FROM (
+    SELECT c.lang, c.ws, c.a, c.k, x.m, y.s FROM c, (SELECT unnest(range(2, {longest})) AS m) AS x, (SELECT unnest(range(1, {longest})) AS s) AS y
+    WHERE x.m < c.k AND y.s + x.m - 1 <= c.k) GROUP BY 1, 2),
+kept AS (SELECT scored.* FROM scored LEFT JOIN inner_of USING (lang, phrase) WHERE NOT coalesce(100 * longer >= {cover} * a, false)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, b.l AS l, b.r AS r, totals.n AS n, b.score AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {top}"""
+
+
 #: DuckDB twins of what SQL can express. Records, digests and verdicts need no
 #: model; the other operators are tested against brute force in tests/llm/.
 ORACLE_SQL: dict[str, str] = {
@@ -135,5 +168,6 @@ m AS (SELECT page_id, host, path, rule_host || rule_path AS rule, v, row_number(
     PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS k
   FROM p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op12_collocations": _collocations_sql(),
     "op13_centroids": _centroids_sql(),
 }
