@@ -13,7 +13,7 @@ so every phrase that reaches the threshold becomes active. The scans end one cyc
 after the last phrase reached it.
 
 The step at which a subphrase reached the threshold is looked up in a table of fixed
-size (``SLOTS`` bytes, two slots a phrase by its 64-bit hash): a slot keeps the first
+size (``slots`` bytes, a power of two; two slots a phrase by its 64-bit hash): a slot keeps the first
 step that used it, the later of two slots counts. A slot never changes once set, so
 all tasks and steps agree on when a phrase became active. A clash of hashes can only
 make a phrase active earlier or in vain, for a full cycle as well: counts stay exact
@@ -42,6 +42,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -56,28 +57,31 @@ SALTS = 64
 WEIGHT = 2_000_000
 COVER_PERCENT = 80
 NEVER = 255
-RUN_WORDS = 1 << 18
-_LINES = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
+CHUNK_BYTES = 1 << 20
+BLOCK_BYTES = 6 << 20  # under 2^21 words: three numbers fit 63 bits, if a chunk is not one giant word
+CUT = b"\xff"  # never part of UTF-8: stands for the end of a piece
+_LINES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", CUT * 10)
+_BREAK, _AHEAD = re.compile(rb"[ \t\xff]"), re.compile(rb"(?:[ \t]+[^ \t\xff]+){0,%d}" % (LONGEST - 1))
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, 0x09, 0xFF]] = 1
+#: Of 16 bytes the first n.
+_FIRST = np.array([[0xFF] * n + [0] * (16 - n) for n in range(17)], np.uint8).view(np.uint64)
+_ONES = (1 << 64) - 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def pieces(text: bytes):
-    """Runs of words, and how many of them start phrases in this run: all, but
-    where a long piece is cut the rest of the words start some in the next run."""
-    for line in text.lower().translate(_LINES).split(b"\n"):
-        if len(line) <= 4 * RUN_WORDS:
-            words = line.split()
-            if words:
-                yield words, len(words)
-            continue
-        run = []
-        for m in re.finditer(rb"[^ \t]+", line):
-            run.append(m[0])
-            if len(run) == RUN_WORDS + LONGEST - 1:
-                yield run, RUN_WORDS
-                run = run[RUN_WORDS:]
-        if run:
-            yield run, len(run)
+def chunks(text: bytes):
+    """A text, lower-cased and with ``CUT`` for the ends of pieces, in chunks of about
+    ``CHUNK_BYTES``, and the bytes of each within which a phrase may start: a chunk that is
+    cut off holds the next words as well."""
+    line, at = text.lower().translate(_LINES), 0
+    while True:
+        found = _BREAK.search(line, at + CHUNK_BYTES)
+        end = found.start() if found else len(line)
+        yield line[at:_AHEAD.match(line, end).end()], end - at
+        at = end
+        if at == len(line):
+            return
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -91,93 +95,134 @@ def longer(prefix: np.ndarray, last: np.ndarray) -> np.ndarray:
     return _mixed(prefix * _MIX[0] + last)
 
 
-def slots_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def word_hash(word: bytes, lang: str) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
+def slots_of(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h & np.uint64(slots - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(slots - 1)).astype(np.int64)
+
+
+class Words:
+    """The words of some chunks in their order: ``code`` (number among the distinct
+    ones), ``piece`` (number of the piece), ``start`` and ``end`` in ``data``; of the
+    distinct ones ``hashes`` and ``first`` (a word that is it)."""
+
+    def __init__(self, parts: list[bytes], langs: list[int], lang_seeds: list[int]):
+        self.data = CUT.join([*parts, b" " * 16])
+        byte = np.frombuffer(self.data, np.uint8)
+        edge = np.diff(_KIND[byte] == 0, prepend=False, append=False)
+        at = np.flatnonzero(edge)
+        self.start, self.end = at[::2], at[1::2]
+        self.offset = np.cumsum([0, *(len(p) + 1 for p in parts)])[:-1]
+        bounds = np.searchsorted(self.start, [*self.offset.tolist(), len(self.data)])
+        self.part = np.repeat(np.arange(len(parts)), np.diff(bounds))
+        self.lang = np.array(langs, np.int64)[self.part]
+        self.piece = np.cumsum(byte == 0xFF, dtype=np.int32)[self.start].astype(np.int64)
+        # words of up to 16 bytes are two numbers; longer ones stand by a hash of 128 bits
+        size = self.end - self.start
+        raw = np.lib.stride_tricks.sliding_window_view(byte, 16)[self.start].view(np.uint64) & _FIRST[np.minimum(size, 16)]
+        for i in np.flatnonzero(size > 16):
+            wide = xxhash.xxh3_128_intdigest(self.data[self.start[i]:self.end[i]])
+            raw[i] = wide & _ONES, wide >> 64
+        seeds = np.array(lang_seeds, np.uint64)[self.lang]
+        h = _mixed(raw[:, 0] * _MIX[0] + raw[:, 1] * _MIX[2] + seeds * _MIX[1] + np.minimum(size, 17).astype(np.uint64))
+        self.hashes, self.first, self.code = np.unique(h, return_index=True, return_inverse=True)
+        told = [raw[:, 0], raw[:, 1], self.lang.astype(np.uint64), size.astype(np.uint64)]
+        same = self.first[self.code]
+        if any((x != x[same]).any() for x in told):  # two words of one hash: told apart by all of their numbers
+            told = np.column_stack(told)
+            _, self.first, self.code = np.unique(told, axis=0, return_index=True, return_inverse=True)
+            self.hashes = h[self.first]
+
+    def texts(self) -> list[bytes]:
+        return [self.data[s:e] for s, e in zip(self.start[self.first].tolist(), self.end[self.first].tolist())]
 
 
 def phrase_hashes(keys: list[str]) -> np.ndarray:
     """Hashes of phrases given as keys."""
-    out = np.zeros(len(keys), np.uint64)
-    for k, key in enumerate(keys):
-        phrase, lang = key.split("\t", 1)
-        h = None
-        for w in phrase.encode().split(b" "):
-            x = np.array([word_hash(w, lang)], np.uint64)
-            h = x if h is None else longer(h, x)
-        out[k] = h[0]
+    if not keys:
+        return np.zeros(0, np.uint64)
+    parts = [k.split("\t", 1) for k in keys]
+    w = Words([p.encode() for p, _ in parts], list(range(len(keys))), [xxhash.xxh32_intdigest(lang) for _, lang in parts])
+    h, at = w.hashes[w.code], np.searchsorted(w.part, np.arange(len(keys)))
+    out, n = h[at], np.bincount(w.part, minlength=len(keys))
+    for k in range(1, LONGEST):
+        more = n > k
+        out[more] = longer(out[more], h[at[more] + k])
     return out
 
 
-class _Codes(dict):
-    """Numbers of a language's words in one list of all names."""
-
-    def __init__(self, lang: str, names: list):
-        self.lang, self.names = lang, names
-
-    def __missing__(self, word: bytes) -> int:
-        self.names.append((self.lang, word))
-        self[word] = code = len(self.names) - 1
-        return code
-
-
 class Block:
-    """Words of some runs, with the phrases that a step counts in them."""
+    """Texts, and the phrases that a step counts in them."""
 
     def __init__(self):
-        self.names: list[tuple[str, bytes]] = []
-        self.codes: dict[str, _Codes] = {}
-        self.flat: list[int] = []
-        self.left: list[int] = []  # words from here to the end of the run
-        self.starts: list[bool] = []
+        self.parts: list[bytes] = []
+        self.part_langs: list[int] = []
+        self.limits: list[int] = []
+        self.langs: dict[str, int] = {}
+        self.size = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        code = self.codes.setdefault(lang, _Codes(lang, self.names)).__getitem__
-        for words, n in pieces(text):
-            self.flat += map(code, words)
-            self.left += range(len(words), 0, -1)
-            self.starts += [True] * n + [False] * (len(words) - n)
-
-    def counted(self, step: int, shards: int, reached: np.ndarray):
-        """(key, since, count) of the phrases that are counted in this step."""
-        if not self.flat:
-            return [], [], []
-        flat, left, starts = np.array(self.flat), np.array(self.left), np.array(self.starts)
-        names = self.names
-        langs, texts = [lang for lang, _ in names], [w.decode("utf-8", "replace") for _, w in names]
-        keys, since, n = [], [], []
-        hashes = np.array([word_hash(w, lang) for lang, w in names], np.uint64)[flat]
-        ids, when = flat, np.zeros(len(flat), np.int64)
-        parts = [(i,) for i in range(len(names))]
-        word = hashes
-        for length in range(1, LONGEST + 1):
-            active = starts & (left >= length) & (when <= step) & (step < when + shards)
-            found, at, m = np.unique(ids[active], return_index=True, return_counts=True)
-            first = np.nonzero(active)[0][at]
-            for i, p in zip(found.tolist(), first.tolist()):
-                own = flat[p:p + length]
-                keys.append(" ".join([texts[w] for w in own]) + "\t" + langs[own[0]])
-            since.append(when[first])
-            n.append(m)
-            if length == LONGEST:
-                break
-            # a longer phrase is active once the later of its subphrases has reached the threshold
-            a, b = slots_of(hashes)
-            mine = np.maximum(reached[a], reached[b]).astype(np.int64)
-            mine[left < length] = NEVER
-            after = np.append(mine[1:], NEVER)
-            when = np.maximum(mine, after)
-            when[left <= length] = NEVER
-            hashes = longer(hashes, np.append(word[length:], np.zeros(length, np.uint64)))
-            nxt = np.append(flat[length:], np.zeros(length, np.int64))
-            some = when < NEVER
-            pair = ids[some] * len(names) + nxt[some]
-            ids = np.full(len(flat), -1, np.int64)
-            ids[some] = np.unique(pair, return_inverse=True)[1]
-        return keys, np.concatenate(since), np.concatenate(n)
+        number = self.langs.setdefault(lang, len(self.langs))
+        for part, limit in chunks(text):
+            self.parts.append(part)
+            self.part_langs.append(number)
+            self.limits.append(limit)
+            self.size += len(part) + 1
+
+    def counted(self, step: int, shards: int, reached: np.ndarray) -> pa.RecordBatch:
+        """``key, since, n`` of the phrases that are counted in this step."""
+        w = Words(self.parts or [b""], self.part_langs or [0], [xxhash.xxh32_intdigest(lang) for lang in self.langs] or [0])
+        names = len(w.hashes) + 1
+        texts = pa.array([b"", *w.texts()], pa.binary()).cast(pa.string())
+        langs = pa.array([*self.langs, ""], pa.string()).take(pa.array(np.concatenate([[len(self.langs)], w.lang[w.first]])))
+        hashes = np.concatenate([np.zeros(1, np.uint64), w.hashes])
+        # words by number from 1, zeros between pieces
+        place = np.arange(len(w.code)) + w.piece
+        flat = np.zeros((int(place[-1]) if len(place) else 0) + 1 + LONGEST, np.int64)
+        flat[place] = w.code + 1
+        startable = np.zeros(len(flat), bool)
+        startable[place] = w.start - w.offset[w.part] < np.array(self.limits or [0])[w.part]
+        out: list[tuple] = []
+
+        def emit(length: int, start: np.ndarray, ids: np.ndarray, since: np.ndarray) -> None:
+            """One row per distinct phrase: equal ids at the places ``start``."""
+            _, at, n = np.unique(ids, return_index=True, return_counts=True)
+            first = start[at]
+            own = [texts.take(pa.array(flat[first + j])) for j in range(length)]
+            key = pc.binary_join_element_wise(pc.binary_join_element_wise(*own, " "), langs.take(pa.array(flat[first])), "\t")
+            out.append((key, since[at], n))
+
+        in_window = lambda when: (when <= step) & (step < when + shards)
+        start = np.flatnonzero(flat)
+        if step < shards:
+            own = start[startable[start]]
+            emit(1, own, flat[own], np.zeros(len(own), np.int32))
+        # the step from which a word, then a phrase at a place, counts as having reached the threshold
+        a, b = slots_of(hashes, len(reached))
+        known = np.maximum(reached[a], reached[b])
+        known[0] = NEVER
+        when, h = known[flat], hashes[flat]
+        for length in range(2, LONGEST + 1):
+            # active once the later of the two subphrases, here and a word on, has reached it
+            since = np.maximum(when[start], when[start + 1])
+            start, since = start[since < NEVER], since[since < NEVER]
+            if length == 2:
+                ids = flat[start] * names + flat[start + 1]
+            elif length == 3:
+                ids = (flat[start] * names + flat[start + 1]) * names + flat[start + 2]
+            else:
+                pairs = np.concatenate([flat[start] * names + flat[start + 1], flat[start + 2] * names + flat[start + 3]])
+                dense = np.unique(pairs, return_inverse=True)[1]
+                ids = dense[:len(start)] * max(1, len(pairs)) + dense[len(start):]
+            use = startable[start] & in_window(since.astype(np.int64))
+            emit(length, start[use], ids[use], since[use].astype(np.int32))
+            if length < LONGEST:
+                nxt = longer(h[start], hashes[flat[start + length - 1]])
+                a, b = slots_of(nxt, len(reached))
+                when, h = np.full(len(flat), NEVER, np.uint8), h.copy()
+                when[start] = np.maximum(reached[a], reached[b])
+                h[start] = nxt
+        keys = pa.concat_arrays([k for k, _, _ in out])
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([w for _, w, _ in out])), pa.array(np.concatenate([n for _, _, n in out]))],
+                                          names=["key", "since", "n"])
 
 
 def _scan(step: int, shards: int, reached):
@@ -186,22 +231,19 @@ def _scan(step: int, shards: int, reached):
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 block.add(lang, text or b"")
-                if len(block.flat) >= 4 * RUN_WORDS:
-                    yield _rows(block.counted(step, shards, reached.value))
+                if block.size >= BLOCK_BYTES:
+                    yield block.counted(step, shards, reached.value)
                     block = Block()
-        yield _rows(block.counted(step, shards, reached.value))
+        yield block.counted(step, shards, reached.value)
     return run
 
 
-def _rows(found) -> pa.RecordBatch:
-    keys, since, n = found
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(since, pa.int32()), pa.array(n, pa.int64())], names=["key", "since", "n"])
-
-
-def _set_slots(batches):
-    for batch in batches:
-        a, b = slots_of(phrase_hashes(batch.column("key").to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b]))], names=["slot"])
+def _set_slots(slots: int):
+    def run(batches):
+        for batch in batches:
+            a, b = slots_of(phrase_hashes(batch.column("key").to_pylist()), slots)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b]))], names=["slot"])
+    return run
 
 
 def _phrase() -> Column:
@@ -217,14 +259,14 @@ def _length() -> Column:
 
 
 def counts(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS,
-           lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
+           lang: str = "lang", text: str = "text", slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """``key, n`` of all phrases found at least ``threshold`` times (key: phrase,
     tab, language), and ``lang, n`` with all words of each language."""
     bound_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
     dealt, _ = stored_at(spark, rows, "shards", ("shard",))
-    reached, last, step = np.full(SLOTS, NEVER, np.uint8), 0, 0
+    reached, last, step = np.full(slots, NEVER, np.uint8), 0, 0
     progress = path = totals = None
     complete = []
     while step < max(shards, last + shards):
@@ -245,9 +287,9 @@ def counts(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, sha
         if step == shards - 1:  # words are complete
             totals = stored(spark, progress.where(_length() == 1).groupBy(_lang().alias("lang")).agg(F.sum("n").alias("n")), "words")
         fresh = progress.where((F.col("n") >= threshold) & (F.col("had") < threshold) & (_length() < LONGEST)).select("key")
-        bits = (fresh.mapInArrow(_set_slots, "slot bigint").groupBy(F.shiftright("slot", 6).alias("at"))
+        bits = (fresh.mapInArrow(_set_slots(slots), "slot bigint").groupBy(F.shiftright("slot", 6).alias("at"))
                 .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow())
-        if len(bits):  # at most SLOTS / 64 rows
+        if len(bits):  # at most slots / 64 rows
             taken = bits["bits"].to_numpy()
             at, bit = np.nonzero((taken[:, None] >> np.arange(64)) & 1)
             slot = bits["at"].to_numpy()[at] * 64 + bit
@@ -265,9 +307,9 @@ def part(phrase: str, first: Column, length: Column) -> Column:
 
 
 def collocations(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP, shards: int = SHARDS,
-                 cover_percent: int = COVER_PERCENT, weight: int = WEIGHT, lang: str = "lang", text: str = "text") -> DataFrame:
+                 cover_percent: int = COVER_PERCENT, weight: int = WEIGHT, lang: str = "lang", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of each language's ``top`` phrases."""
-    found, totals = counts(spark, docs, threshold, shards, lang, text)
+    found, totals = counts(spark, docs, threshold, shards, lang, text, slots)
     f = stored(spark, found.select(_phrase().alias("phrase"), _lang().alias("lang"), "n", _length().alias("words")), "frequent-phrases")
     of = lambda name, n: f.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     long = f.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"))

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, StringType, StructField, StructType
 
 from triageflow.llm.common import bound_batches, components, stored
 
@@ -222,7 +222,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = THRES
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), as_bytes(batch, wide)], names=["vec_id", "label", "vec"])
 
-    rows = rows.mapInArrow(packed, rows.select("vec_id", "label", F.lit(b"").alias("vec")).schema)
+    rows = rows.mapInArrow(packed, StructType([StructField("vec_id", df.schema[vec_id].dataType), StructField("label", StringType()), StructField("vec", BinaryType())]))
     usable = F.col("label").isNotNull() & F.col("vec").isNotNull()
     group = F.when(usable, F.concat_ws(":", F.length("vec").cast("string"), "label"))
     key = F.when(usable, F.md5(F.concat(F.encode(F.concat("grp", F.lit("\0")), "utf-8"), F.col("vec"))))
