@@ -48,6 +48,58 @@ def strict_object(text: Column) -> Column:
     return let(_wrapped(text), lambda w: F.when(_is_valid(w), _object_of(w)))
 
 
+def answer_text(raw: Column, greedy: bool = True) -> Column:
+    """The text that :func:`extract_answer` parses into an object, or null."""
+    pattern = GREEDY if greedy else NON_GREEDY
+
+    def is_object(w: Column) -> Column:
+        return F.coalesce(_is_valid(w) & _object_of(w).isNotNull(), F.lit(False))
+
+    def from_span(span: Column) -> Column:
+        return F.when((span != F.lit("")) & is_object(_wrapped(span)), span)
+
+    def from_text(text: Column) -> Column:
+        return let(_wrapped(text), lambda w: F.when(_is_valid(w), F.when(is_object(w), text))
+                   .otherwise(let(F.regexp_extract(text, pattern, 0), from_span)))
+
+    return let(py_strip(raw), from_text)
+
+
+# A JSON string, a run of other characters, or one that may take a space.
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|[^",:]+|[,:]'
+
+
+def _escaped(token: Column) -> Column:
+    """Characters outside printable ASCII as ``\\uXXXX`` (pairs above U+FFFF), in
+    lower case like those already written so."""
+    one = lambda c: F.when(c.rlike(r"^[\x20-\x7e]$"), c).otherwise(
+        F.regexp_replace(F.lower(F.hex(F.encode(c, "utf-16be"))), "(.{4})", r"\\u$1"))
+    parts = F.regexp_extract_all(token, F.lit(r"\\u[0-9A-Fa-f]{4}|\\.|[^\\]+"), 0)
+    lowered = F.array_join(F.transform(parts, lambda x: F.when(x.startswith(r"\u"), F.lower(x)).otherwise(x)), "")
+    ascii_only = F.when(token.contains(r"\u"), lowered).otherwise(token)
+    return let(ascii_only, lambda t: F.when(t.rlike(r"[^\x20-\x7e]"), F.array_join(F.transform(F.split(t, ""), one), "")).otherwise(t))
+
+
+def dumped(json_text: Column) -> Column:
+    """Compact JSON as Python's ``json.dumps`` writes it: a space after every comma
+    and colon outside strings, and everything outside printable ASCII escaped."""
+    tokens = F.regexp_extract_all(json_text, F.lit(_JSON_TOKEN), 0)
+    spaced = F.transform(tokens, lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(_escaped(t)))
+    return F.array_join(spaced, "")
+
+
+def field_dump(parsed: Column, text: Column, name: str, default: str = "[]") -> Column:
+    """A field of any kind as JSON text, as it stands: list, object, text, number,
+    boolean or null; ``default`` where the object lacks it or there is none. ``parsed``
+    tells the kind; all but text is copied from ``text`` (:func:`answer_text`),
+    which keeps the order of their keys. Of repeated keys inside a list or object all
+    stay; numbers stay as written."""
+    v = _vget(parsed, f"$.{name}", "variant")
+    kind = F.schema_of_variant(v)
+    compact = F.when(kind == "STRING", F.to_json(v)).otherwise(F.get_json_object(text, f"$.{name}"))
+    return F.when(v.isNull(), F.lit(default)).when(kind == "VOID", F.lit("null")).otherwise(dumped(compact))
+
+
 def extract_answer(raw: Column, greedy: bool = True) -> Column:
     """Parsed answer object (variant) or null.
 

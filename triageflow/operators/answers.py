@@ -39,7 +39,7 @@ def parse_triage_answers(df: DataFrame, raw_col: str = "raw_response", error_col
     and (``with_details``) confidence, reasoning summary and action list."""
     raw = F.col(raw_col)
     error = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")
-    out = df.withColumn("_parsed", J.extract_answer(raw, greedy))
+    out = _with_parsed(df, raw, greedy)
     parsed = F.col("_parsed")
     out = out.withColumn("status", _status(raw, error, parsed))
     st = F.col("status")
@@ -94,7 +94,7 @@ def parse_guidance_answers(df: DataFrame, raw_col: str = "raw_response", error_c
     """Hybrid guidance profile: summary, risk, MITRE list, action list, priority."""
     raw = F.col(raw_col)
     error = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")
-    out = df.withColumn("_parsed", J.extract_answer(raw, greedy=True))
+    out = _with_parsed(df, raw, greedy=True)
     parsed = F.col("_parsed")
     out = out.withColumn("status", _status(raw, error, parsed))
     ok = F.col("status") == F.lit("OK")
@@ -115,23 +115,48 @@ def parse_guidance_answers(df: DataFrame, raw_col: str = "raw_response", error_c
     return out.withColumn(raw_col, F.coalesce(raw, error)).drop("_parsed")
 
 
-def attach_answers(alerts: DataFrame, answers: DataFrame, id_col: str = "Id") -> DataFrame:
+def pick_answers(answers: DataFrame, keys: list[str], latest_col: str | None = "answered_at",
+                 raw_col: str = "raw_response", error_col: str = "request_error", greedy: bool = True) -> DataFrame:
+    """One answer per key, of several the best: first one that parses, then one
+    that does not, then a failed call; of those the latest by ``latest_col`` (where
+    the table has it; no time counts as earliest), then the greatest text, then the
+    greatest of the other columns.
+
+    One grouped maximum: partial maxima meet in any order, so a key that holds a
+    large share of the answers is reduced before the shuffle. The parsed object
+    rides along as ``_parsed``, so no answer is parsed a second time."""
+    failed = F.col(error_col).isNotNull() if error_col in answers.columns else F.lit(False)
+    parsed = answers.withColumn("_parsed", F.when(~failed, J.extract_answer(F.col(raw_col), greedy)))
+    rest = [c for c in answers.columns if c not in keys]
+    rank = F.when(F.col("_parsed").isNotNull(), 2).when(~failed & F.col(raw_col).isNotNull(), 1).otherwise(0)
+    first = [c for c in (latest_col, raw_col) if c in rest]
+    order = F.struct(rank.alias("_rank"), *first, *(c for c in rest if c not in first))
+    best = parsed.groupBy(*keys).agg(F.max_by(F.struct(*rest, "_parsed"), order).alias("_a"))
+    return best.select(*keys, "_a.*")
+
+
+def attach_answers(alerts: DataFrame, answers: DataFrame, id_col: str = "Id", greedy: bool = True,
+                   latest_col: str | None = "answered_at") -> DataFrame:
     """Alerts LEFT JOIN stored answers on the id (never by position), and on the
     other id columns where both sides have them. Answers are first brought to
-    one per key (the smallest of several), so every alert stays one row even
+    one per key (:func:`pick_answers`), so every alert stays one row even
     if ids repeat; a null key has no answer. Both sides grow with the data: a
-    shuffle join chosen by the planner."""
+    shuffle join chosen by the planner. The result carries the parsed object
+    (``_parsed``, by the ``greedy`` or the other span) for the parsers of this module."""
     keys = [id_col, *(c for c in ID_COLUMNS if c != id_col and c in alerts.columns and c in answers.columns)]
-    rest = [c for c in answers.columns if c not in keys]
-    one = answers.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_a")).select(*keys, "_a.*")
-    return alerts.join(one, keys, "left")
+    return alerts.join(pick_answers(answers, keys, latest_col, greedy=greedy), keys, "left")
+
+
+def _with_parsed(df: DataFrame, raw: Column, greedy: bool) -> DataFrame:
+    """``_parsed`` as :func:`attach_answers` left it, or parsed here."""
+    return df if "_parsed" in df.columns else df.withColumn("_parsed", J.extract_answer(raw, greedy))
 
 
 def llm_prediction_table(alerts: DataFrame, answers: DataFrame, greedy: bool = True,
                          aliases: dict[str, str] = LABEL_ALIASES_WIDE) -> DataFrame:
     """The ``llm_prediction`` schema: ids, text, true label, raw/normalised label,
     confidence, summary, actions, raw response, latency."""
-    j = attach_answers(alerts.withColumnRenamed("label", "true_label"), answers)
+    j = attach_answers(alerts.withColumnRenamed("label", "true_label"), answers, greedy=greedy)
     p = parse_triage_answers(j, greedy=greedy, aliases=aliases)
     return p.select("Id", "IncidentId", "AlertId", "Timestamp", "alert_text", "true_label",
                     "llm_predicted_label_raw", "llm_predicted_label", "llm_confidence",

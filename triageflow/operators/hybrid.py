@@ -9,7 +9,9 @@ answers, and parsing back in (``operators.answers``).
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,9 +35,23 @@ def hybrid_records(alerts: DataFrame, ml_pred_col: str, answers: DataFrame) -> D
     latency. Answers join on ``Id``; a missing answer is a request error."""
     j = A.attach_answers(alerts.withColumnRenamed("label", "true_label")
                                .withColumnRenamed(ml_pred_col, "ml_predicted_label"), answers)
-    g = A.parse_guidance_answers(j)
+    return _records(j)
+
+
+def answered_records(answered: DataFrame) -> DataFrame:
+    """:func:`hybrid_records` of alerts that already carry their answer: the output
+    of :func:`respond` with ``keep=RECORD_COLUMNS``. No join."""
+    return _records(answered)
+
+
+#: What the records need from an alert, besides its answer.
+RECORD_COLUMNS = ["IncidentId", "AlertId", "Timestamp", "alert_text", "true_label", "ml_predicted_label"]
+
+
+def _records(answered: DataFrame) -> DataFrame:
+    g = A.parse_guidance_answers(answered)
     return g.select(
-        "Id", "IncidentId", "AlertId", "Timestamp", "alert_text", "true_label", "ml_predicted_label",
+        "Id", *RECORD_COLUMNS,
         F.coalesce(F.col("true_label") == F.col("ml_predicted_label"), F.lit(False)).alias("is_correct"),
         "analyst_summary", "risk_explanation", "mitre_interpretation", "recommended_actions",
         "containment_priority", F.col("raw_response").alias("raw_llm_response"),
@@ -65,39 +81,76 @@ def example_cards(hybrid: DataFrame, n: int = 5, order_cols: list[str] | None =
 
 
 def respond(prompts: DataFrame, responder: Callable[[str], str], prompt_col: str = "prompt",
-            id_col: str = "Id", concurrency: int | None = None, keep: list[str] | None = None) -> DataFrame:
+            id_col: str = "Id", concurrency: int | None = None, keep: list[str] | None = None,
+            in_flight: int = 1, calls_per_second: float | None = None) -> DataFrame:
     """Responder hook: call ``responder(prompt)`` for every row inside the tasks.
 
     ``mapInPandas`` streams Arrow batches through the function; each call is
-    timed; an exception is kept as ``request_error`` and the batch continues.
-    ``keep`` columns ride along with their answer (no join back to the prompts).
-    ``concurrency`` (optional) round-robins the prompts into that many tasks to
-    bound parallel calls (no key: a repeated id cannot pile up in one task).
+    timed on its own (without the wait for its turn); an exception is kept as
+    ``request_error`` and the batch continues. ``keep`` columns ride along with
+    their answer (no join back to the prompts).
+
+    ``in_flight`` calls of a task overlap on threads: a waiting model service, not
+    the CPU, takes the time. At most that many are started and not yet written
+    out, and answers keep the order of their prompts. The responder must allow
+    calls from several threads when it is above 1.
+
+    ``concurrency`` round-robins the prompts into that many tasks (no key: a
+    repeated id cannot pile up in one), so ``concurrency * in_flight`` bounds the
+    calls open at a time. ``calls_per_second`` bounds the rate of the whole job:
+    each of the ``concurrency`` tasks starts its calls at least
+    ``concurrency / calls_per_second`` apart, so it needs ``concurrency``.
     """
+    if in_flight < 1:
+        raise ValueError("in_flight must be at least 1")
+    if calls_per_second is not None and not (concurrency and calls_per_second > 0):
+        raise ValueError("calls_per_second must be positive and needs concurrency, the number of tasks that share it")
     keep = [c for c in (keep or []) if c not in (id_col, prompt_col)]
     src = prompts.select(F.col(id_col).cast("long").alias("Id"), F.col(prompt_col).alias("prompt"), *keep)
     if concurrency:
         src = src.repartition(concurrency)
     schema = T.StructType(ANSWER_SCHEMA.fields + [prompts.schema[c] for c in keep])
+    apart = concurrency / calls_per_second if calls_per_second else 0.0
+
+    def call(prompt: str) -> tuple[str | None, str | None, float]:
+        t0 = time.monotonic()
+        try:
+            raw, error = responder(prompt), None
+        except Exception as e:  # noqa: BLE001 - the error text is data
+            raw, error = None, str(e)
+        return raw, error, time.monotonic() - t0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raw, err, lat = [], [], []
-            for p in pdf["prompt"].tolist():
-                t0 = time.time()
-                try:
-                    raw.append(responder(p))
-                    err.append(None)
-                except Exception as e:  # noqa: BLE001 - the error text is data
-                    raw.append(None)
-                    err.append(str(e))
-                lat.append(time.time() - t0)
-            yield pd.DataFrame({"Id": pdf["Id"], "raw_response": raw, "request_error": err,
-                                "latency_seconds": lat, **{c: pdf[c] for c in keep}})
+        with ThreadPoolExecutor(in_flight) as pool:
+            start = Paced(apart)
+            for pdf in batches:
+                answers, open_calls = [], deque()
+                for prompt in pdf["prompt"].tolist():
+                    if len(open_calls) == in_flight:
+                        answers.append(open_calls.popleft().result())
+                    start.wait()
+                    open_calls.append(pool.submit(call, prompt))
+                answers += [c.result() for c in open_calls]
+                raw, error, latency = zip(*answers) if answers else ((), (), ())
+                yield pd.DataFrame({"Id": pdf["Id"], "raw_response": raw, "request_error": error,
+                                    "latency_seconds": latency, **{c: pdf[c] for c in keep}})
 
     return src.mapInPandas(run, schema)
 
 
+class Paced:
+    """Turns at least ``apart`` seconds apart."""
+
+    def __init__(self, apart: float):
+        self.apart, self.next = apart, 0.0
+
+    def wait(self) -> None:
+        if self.apart:
+            now = time.monotonic()
+            time.sleep(max(0.0, self.next - now))
+            self.next = max(self.next, now) + self.apart
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Responder output is written once to the shared folder before parsing, so
     the external calls run exactly once and every downstream plan (filters,

@@ -3,33 +3,31 @@
 ``orderBy(col).offset(i).limit(1)`` plans as ``TakeOrderedAndProject``: every
 task keeps its ``i + 1`` smallest rows and one task merges them, so a large
 ``i`` puts ``i + 1`` rows into a single task. Below ``max_rank_rows`` that is
-bounded and is what we use. Beyond it the row is found by narrowing:
-
-1. value ranges: ``percentile_approx`` boundaries of the order column (a
-   bounded list) split the candidates into <= ``n_buckets`` ranges; one
-   grouped count per range (map-side partial aggregation) gives the range
-   that holds position ``i`` and the number of rows before it;
-2. ties: when the candidates share one order value (a hot value may hold a
-   third of all rows), ties are ordered by a seeded row key (md5) and split by
-   key-prefix buckets the same way;
-3. once the candidate set is counted at <= ``max_rank_rows`` rows, a plain
-   ordered offset picks the row.
-
-Only per-range counts and the boundary list reach the driver. Ordering:
-``order_col`` ascending with nulls first (Spark's default), ties by the row key.
+bounded and is what we use. Beyond it, and for many positions, an ordinal index
+answers: order value and row key of every row, range-partitioned, sorted and
+stored with the rows of each partition counted (``operators.ordering``). A position
+is then one lookup: the partition whose running count holds it, the place in it
+(a filter on the stored number, which skips all other row groups), and the row of
+that value and key in the table.
+
+Ordering: ``order_col`` ascending with nulls first (Spark's default), ties by a
+seeded md5 key of the row, so a value that a third of the rows share spreads over
+many partitions and strings that share any prefix need no special care. Equal
+rows are interchangeable.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from triageflow.operators import ordering as O
 from triageflow.operators.sampling import order_key
+from triageflow.session import materialize
 
 RANK_ROWS = 100_000  # largest candidate set ranked with a bounded top-k
 _ROW_KEY = "_row_key"
-_BUCKET = "_pos_bucket"
+_VALUE = "_value"
 
 
 def _tie_key(df: DataFrame, tiebreak: list[str] | None) -> Column:
@@ -41,92 +39,44 @@ def _rank_small(cand: DataFrame, order_col: str, index: int) -> DataFrame:
     return cand.orderBy(F.col(order_col).asc_nulls_first(), F.col(_ROW_KEY)).offset(index).limit(1)
 
 
-def _sort_proxy(col: str, is_string: bool, level: int) -> Column:
-    """A numeric key that never decreases along the ordering of the candidates.
-    Numbers, dates and timestamps are their own key; a string uses bytes
-    ``[6*level, 6*level + 6)`` of its UTF-8 form as an integer (candidates of a
-    later level already share all earlier bytes, and Spark compares strings by
-    unsigned bytes). Six bytes stay below 2^53, so the percentile sketch, which
-    works in doubles, sees the exact values."""
-    if not is_string:
-        return F.col(col)
-    window = F.rpad(F.substring(F.hex(F.col(col)), 12 * level + 1, 12), 12, "0")
-    return F.conv(window, 16, 10).cast("long")
+def ordinal_index(df: DataFrame, order_col: str, tiebreak: list[str] | None = None, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stored index ``(order value, row key, number)`` and its running counts."""
+    narrow = df.select(F.col(order_col).alias(_VALUE), _tie_key(df, tiebreak).alias(_ROW_KEY))
+    index = O.sorted_rows(narrow, [F.col(_VALUE).asc_nulls_first(), F.col(_ROW_KEY)], "ordinal-index", partitions)
+    return index, materialize(df.sparkSession, O.part_offsets(index), "ordinal-counts")
 
 
-def _count_below(v: Column, bounds: list) -> Column:
-    """Number of ``bounds`` (sorted) strictly below ``v``: a balanced CASE tree
-    (binary search, ~log2(len) comparisons per row, codegen-able). Rows of equal
-    value share a bucket and buckets are contiguous in the ordering."""
-    def search(lo: int, hi: int) -> Column:  # answer in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(v <= F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-    return search(0, len(bounds))
+def rows_at(df: DataFrame, index: tuple[DataFrame, DataFrame], positions: DataFrame, order_col: str,
+            tiebreak: list[str] | None = None) -> DataFrame:
+    """``position`` and the columns of ``df`` for each row of ``positions`` (column
+    ``position``, 0-based, distinct); positions out of range give no row. The
+    positions asked for are few: they are broadcast."""
+    rows, counts = index
+    at = (positions.select(F.col("position").cast("long").alias("position"))
+          .join(counts, (F.col("position") >= F.col(O.BEFORE)) & (F.col("position") < F.col(O.BEFORE) + F.col("_n")))
+          .select("position", (F.shiftleft(F.col(O.PART), O.PLACE_BITS) + F.col("position") - F.col(O.BEFORE)).alias(O.ROW)))
+    found = rows.join(F.broadcast(at), O.ROW).select("position", _VALUE, F.col(_ROW_KEY).alias("_key"))
+    keyed = df.withColumn(_ROW_KEY, _tie_key(df, tiebreak))
+    on = F.col(order_col).eqNullSafe(F.col(_VALUE)) & (F.col(_ROW_KEY) == F.col("_key"))
+    met = keyed.join(F.broadcast(found), on)
+    # equal rows share a key: each is the row at the position
+    return met.dropDuplicates(["position"]).select("position", *df.columns)
 
 
 def row_at_position(df: DataFrame, index: int, order_col: str, tiebreak: list[str] | None = None,
-                    max_rank_rows: int = RANK_ROWS, n_buckets: int = 256, max_rounds: int = 64) -> DataFrame:
-    """The row at 0-based ``index`` (empty when out of range), columns of ``df``."""
-    cols = df.columns
+                    max_rank_rows: int = RANK_ROWS, n_buckets: int | None = None) -> DataFrame:
+    """The row at 0-based ``index`` (empty when out of range), columns of ``df``.
+    ``n_buckets``: partitions of the index (default: those of a shuffle)."""
     if index < 0:
         return df.limit(0)
-    cand = df.withColumn(_ROW_KEY, _tie_key(df, tiebreak))
     if index < max_rank_rows:  # each task keeps <= index + 1 rows: bounded
-        return _rank_small(cand, order_col, index).select(*cols)
-    remaining = index
-    is_string = isinstance(df.schema[order_col].dataType, T.StringType)
-    probs = [k / n_buckets for k in range(1, n_buckets)]
-    prefix_len, level, tie, first = 0, 0, False, True
-    for _ in range(max_rounds):
-        # one pass per round for count and range statistics (min, max and the
-        # sketch ignore nulls); the first round also counts the nulls
-        proxy = _sort_proxy(order_col, is_string, level)
-        aggs = [F.count(F.lit(1)).alias("n")]
-        if first:
-            aggs.append(F.count_if(F.col(order_col).isNull()).alias("n_null"))
-        if not tie:
-            aggs += [F.min(proxy).alias("lo"), F.max(proxy).alias("hi"),
-                     (F.min(order_col) == F.max(order_col)).alias("one_value"),
-                     F.percentile_approx(proxy, probs, 10 * n_buckets).alias("q")]
-        st = cand.agg(*aggs).first()
-        n = st.n
-        if first:
-            first = False
-            if st.n_null:  # nulls sort first and form their own range
-                if remaining < st.n_null:
-                    cand, n, tie = cand.where(F.col(order_col).isNull()), st.n_null, True
-                else:
-                    remaining -= st.n_null
-                    cand, n = cand.where(F.col(order_col).isNotNull()), n - st.n_null
-        if remaining >= n:
-            return df.limit(0)
-        if n <= max_rank_rows:
-            return _rank_small(cand, order_col, remaining).select(*cols)
-        if not tie:
-            if st.one_value:
-                tie = True  # one shared value: order ties by the row key
-                continue
-            if st.lo == st.hi:  # strings sharing these bytes: look at the next ones
-                level += 1
-                continue
-            # the exact minimum is a boundary too: sketch values may be rounded
-            # (doubles), and a bucket of the minimum alone guarantees progress
-            bucket = _count_below(proxy, sorted(set(st.q or []) | {st.lo, st.hi}))
-        else:
-            if prefix_len >= 32:  # the whole key is shared: the rows are equal, any of them is the one
-                return cand.select(*cols).limit(1)
-            prefix_len += 3
-            bucket = F.substring(F.col(_ROW_KEY), 1, prefix_len)
-        counts = (cand.groupBy(bucket.alias(_BUCKET)).agg(F.count(F.lit(1)).alias("n"))
-                      .orderBy(_BUCKET).collect())  # <= n_buckets (or 16^3 per round) rows
-        before = 0
-        for r in counts:
-            if remaining < before + r["n"]:
-                target = r[_BUCKET]
-                break
-            before += r["n"]
-        remaining -= before
-        cand = cand.where(bucket == F.lit(target))
-    raise RuntimeError("position search did not converge")
+        return _rank_small(df.withColumn(_ROW_KEY, _tie_key(df, tiebreak)), order_col, index).select(*df.columns)
+    stored = ordinal_index(df, order_col, tiebreak, n_buckets)
+    counts = stored[1].where((F.col(O.BEFORE) <= index) & (F.col(O.BEFORE) + F.col("_n") > index)).first()
+    if counts is None:
+        return df.limit(0)
+    number = (counts[O.PART] << O.PLACE_BITS) + index - counts[O.BEFORE]
+    at = stored[0].where(F.col(O.ROW) == number).first()
+    # value and key as literals: the value reaches the scan as a pushed filter
+    value = F.col(order_col).eqNullSafe(F.lit(at[_VALUE]).cast(df.schema[order_col].dataType))
+    return df.where(value & (_tie_key(df, tiebreak) == at[_ROW_KEY])).limit(1)

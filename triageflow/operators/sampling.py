@@ -7,18 +7,27 @@ tie-break, so rows that share an id are told apart; the lowest ``quota_c`` keys
 
 Scale design. A plain ``row_number() OVER (PARTITION BY class ORDER BY key)``
 puts a whole class in one task; with three classes and 100 TB that is a
-third of the data in one sort. Instead:
+third of the data in one sort. Instead a threshold row is found per class, from
+``(class, key)`` alone, and every row is compared with it:
 
 1. one aggregate pass builds a histogram ``(class, key-prefix bucket) -> n``
    (at most ``classes x 16^5`` rows), written once to the shared folder;
 2. per-class totals (one row per class, capped) come from the histogram and
    give the quotas (largest remainder, exact integers);
-3. a running sum over the small histogram finds each class's boundary bucket;
-4. a second pass keeps rows below their class's boundary, drops rows above,
-   and ranks only the rows of the single boundary bucket per class.
-
-Every step is a Spark aggregate or a filter; the only values on the driver
-are per-class scalars (row counts, quotas, boundary buckets).
+3. a running sum over the small histogram finds each class's boundary bucket, and
+   one over the distinct keys of that bucket alone (~n_c / 16^5, counted per key
+   before the shuffle) the threshold key and how many of its rows are taken;
+4. one scan compares each row's key with its class's threshold. The whole rows
+   are read by this pass only: ``keys`` may name a narrower source of class and id
+   for the passes before it, so no text is assembled twice or stored.
+
+Rows that share the threshold's id (a hot id may hold a third of all rows) and are
+only partly taken are put in order by all columns: equal ones collapse into one
+with a count, the rest is range-sorted over many tasks with a running sum
+(``operators.ordering``). Their count decides how many copies of each are taken. It is
+the only case in which a second scan, of that id alone, is added.
+
+The only values on the driver are per-class scalars (row counts, quotas, thresholds).
 """
 
 from __future__ import annotations
@@ -30,6 +39,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triageflow.constants import RANDOM_STATE
+from triageflow.operators.ordering import running_sum
+from triageflow.session import materialize
 
 KEY = "_order_key"
 BUCKET = "_bucket"
@@ -114,7 +125,6 @@ def key_histogram(df: DataFrame, class_col: str, key: Column, digits: int = BUCK
 def _store_histogram(df: DataFrame, class_col: str, key: Column, digits: int) -> tuple[DataFrame, dict]:
     """Histogram written once to the shared folder (it is read twice) and the
     per-class totals summed from it (one row per class, capped)."""
-    from triageflow.session import materialize
     hist = materialize(df.sparkSession, key_histogram(df, class_col, key, digits), "key-histogram")
     rows = hist.groupBy(class_col).agg(F.sum("_n").alias("n")).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
@@ -122,64 +132,83 @@ def _store_histogram(df: DataFrame, class_col: str, key: Column, digits: int) ->
     return hist, {r[0]: int(r[1]) for r in rows}
 
 
+def thresholds(keys: DataFrame, class_col: str, quotas: dict, digits: int, hist: DataFrame) -> dict:
+    """``class -> (key, taken, n)``: the rows of smaller keys are selected, and
+    ``taken`` of the ``n`` rows of this key. ``keys`` holds the class and ``KEY``."""
+    w = Window.partitionBy(class_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def boundary(counted: DataFrame, by: str, quota: dict) -> DataFrame:
+        h = counted.withColumn("_quota", _lookup(class_col, quota)).where(F.col("_quota").isNotNull())
+        h = h.withColumn("_cum", F.sum("_n").over(w.orderBy(by)))
+        before = F.col("_cum") - F.col("_n")
+        return h.where((before < F.col("_quota")) & (F.col("_quota") <= F.col("_cum"))).select(class_col, by, (F.col("_quota") - before).alias("_need"), "_n")
+
+    buckets = boundary(hist, BUCKET, quotas).collect()  # one row per class, like the next
+    bucket_of = _lookup(class_col, {r[0]: r[1] for r in buckets})
+    inside = keys.where(F.substring(KEY, 1, digits) == bucket_of).groupBy(class_col, KEY).agg(F.count(F.lit(1)).alias("_n"))
+    return {r[0]: (r[1], int(r[2]), int(r[3])) for r in boundary(inside, KEY, {r[0]: int(r[2]) for r in buckets}).collect()}
+
+
 def select_by_quota(df: DataFrame, class_col: str, quotas: dict, key: Column,
                     tiebreak: Sequence[str], flag: str = "selected", digits: int = BUCKET_DIGITS,
-                    hist: DataFrame | None = None) -> DataFrame:
+                    hist: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """All rows of ``df`` plus boolean ``flag``: True for the ``quotas[c]`` rows of
-    class ``c`` with the lowest ``(key, *tiebreak)``."""
-    keyed = df.withColumn(KEY, key).withColumn(BUCKET, F.substring(F.col(KEY), 1, digits))
+    class ``c`` with the lowest ``(key, *tiebreak)``. ``keys``: a narrower source of
+    the same rows' class and id columns (default: ``df``)."""
     active = {c: q for c, q in quotas.items() if q > 0}
     if not active:
-        return keyed.withColumn(flag, F.lit(False)).drop(KEY, BUCKET)
+        return df.withColumn(flag, F.lit(False))
+    keys = df if keys is None else keys
     if hist is None:
-        hist = key_histogram(df, class_col, key, digits)
-
-    # Running count over the (small) histogram -> boundary bucket per class.
-    w = Window.partitionBy(class_col).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = (hist.withColumn("_quota", _lookup(class_col, active)).where(F.col("_quota").isNotNull())
-             .withColumn("_cum", F.sum("_n").over(w)))
-    bounds = (h.where((F.col("_cum") - F.col("_n") < F.col("_quota")) & (F.col("_quota") <= F.col("_cum")))
-               .select(class_col, BUCKET, (F.col("_quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
-               .collect())
-    # One row per class with a positive quota (bounded by the class cap).
-    bucket_of = _lookup(class_col, {r[0]: r[1] for r in bounds})
-    need = _lookup(class_col, {r[0]: int(r[2]) for r in bounds})
-    in_boundary = F.coalesce(F.col(BUCKET) == bucket_of, F.lit(False))
-    below = F.coalesce(F.col(BUCKET) < bucket_of, F.lit(False))
-
-    outside = keyed.where(~in_boundary).withColumn(flag, below)
-    rank_w = Window.partitionBy(class_col).orderBy(F.col(KEY), *[F.col(c) for c in tiebreak])
-    inside = (keyed.where(in_boundary)
-                   .withColumn("_rn", F.row_number().over(rank_w))
-                   .withColumn(flag, F.coalesce(F.col("_rn") <= need, F.lit(False)))
-                   .drop("_rn"))
-    return outside.unionByName(inside).drop(KEY, BUCKET)
+        hist = key_histogram(keys, class_col, key, digits)
+    limit = thresholds(keys.select(F.col(class_col), key.alias(KEY)), class_col, active, digits, hist)
+    keyed = df.withColumn(KEY, key)
+    at = F.col(KEY) == _lookup(class_col, {c: k for c, (k, _, _) in limit.items()})
+    below = F.col(KEY) < _lookup(class_col, {c: k for c, (k, _, _) in limit.items()})
+    partly = {c: taken for c, (_, taken, n) in limit.items() if taken < n}
+    if not partly:
+        return keyed.withColumn(flag, F.coalesce(below | at, F.lit(False))).drop(KEY)
+    split = F.coalesce(at & _lookup(class_col, partly).isNotNull(), F.lit(False))
+    outside = keyed.where(~split).withColumn(flag, F.coalesce(below | at, F.lit(False)))
+    return outside.drop(KEY).unionByName(_copies(keyed.where(split).drop(KEY), class_col, partly, tiebreak, flag))
+
+
+def _copies(rows: DataFrame, class_col: str, taken: dict, tiebreak: Sequence[str], flag: str) -> DataFrame:
+    """Rows that share their class's threshold key: the first ``taken`` by ``tiebreak``."""
+    order = [class_col, *(c for c in tiebreak if c != class_col), *(c for c in rows.columns if c != class_col and c not in tiebreak)]
+    distinct = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    summed = running_sum(distinct, order, "_n", "_cum", class_col, "threshold-rows")
+    take = F.greatest(F.lit(0), F.least(F.col("_n"), _lookup(class_col, taken) - F.col("_cum")))
+    copies = summed.withColumn("_take", take).select(*rows.columns, "_take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
+    return copies.select(*rows.columns, (F.col("_copy") <= F.col("_take")).alias(flag))
 
 
 def stratified_split(df: DataFrame, class_col: str, test_size: float | int, id_col: str = "Id",
                      seed: int = RANDOM_STATE, salt: str = "split", tiebreak: Sequence[str] | None = None,
                      split_col: str = "split", names: tuple[str, str] = ("train", "test"),
-                     digits: int = BUCKET_DIGITS) -> DataFrame:
+                     digits: int = BUCKET_DIGITS, keys: DataFrame | None = None) -> DataFrame:
     """Every row with ``split_col`` = train/test; test is ``test_size`` (fraction
-    or row count) of the rows, class shares kept, disjoint and complete."""
+    or row count) of the rows, class shares kept, disjoint and complete. ``keys``: see
+    :func:`select_by_quota`."""
     key = order_key(id_col, seed, salt)
-    hist, counts = _store_histogram(df, class_col, key, digits)
+    hist, counts = _store_histogram(df if keys is None else keys, class_col, key, digits)
     quotas = split_quotas(counts, test_size)
     tb = list(tiebreak) if tiebreak is not None else [id_col, *(c for c in df.columns if c != id_col)]
-    flagged = select_by_quota(df, class_col, quotas, key, tb, "_held", digits, hist)
+    flagged = select_by_quota(df, class_col, quotas, key, tb, "_held", digits, hist, keys)
     return flagged.withColumn(split_col, F.when(F.col("_held"), F.lit(names[1])).otherwise(F.lit(names[0]))) \
                   .drop("_held")
 
 
 def balanced_sample(df: DataFrame, class_col: str, total: int, id_col: str = "Id",
                     seed: int = RANDOM_STATE, salt: str = "balanced", tiebreak: Sequence[str] | None = None,
-                    digits: int = BUCKET_DIGITS) -> DataFrame:
-    """``min(total // n_classes, class size)`` rows per class, without replacement."""
+                    digits: int = BUCKET_DIGITS, keys: DataFrame | None = None) -> DataFrame:
+    """``min(total // n_classes, class size)`` rows per class, without replacement.
+    ``keys``: see :func:`select_by_quota`."""
     key = order_key(id_col, seed, salt)
-    hist, counts = _store_histogram(df, class_col, key, digits)
+    hist, counts = _store_histogram(df if keys is None else keys, class_col, key, digits)
     quotas = balanced_quotas(counts, total)
     tb = list(tiebreak) if tiebreak is not None else [id_col, *(c for c in df.columns if c != id_col)]
-    flagged = select_by_quota(df, class_col, quotas, key, tb, "_take", digits, hist)
+    flagged = select_by_quota(df, class_col, quotas, key, tb, "_take", digits, hist, keys)
     return flagged.where(F.col("_take")).drop("_take")
 
 

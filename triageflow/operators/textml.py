@@ -8,11 +8,11 @@ Vectoriser semantics (defaults of the reference's vectoriser):
   * weight: ``tf * (ln((1 + n) / (1 + df)) + 1)``, each document L2-normalised.
 
 Two forms, same numbers:
-  * relational (``tfidf_terms``): long ``(Id, term, weight)`` rows. Documents
-    are hash-partitioned by ``Id`` once; the exploded terms inherit that
-    partitioning, so per-document counting and normalisation run without
-    another shuffle. The vocabulary (<= ``max_features`` rows, a proven
-    bound) is broadcast.
+  * relational (``tfidf_terms``): long ``(Id, term, weight)`` rows, all in the row:
+    sorted terms are run-length counted, looked up in the vocabulary and normed
+    before they are exploded. Neither texts nor terms enter a shuffle besides the
+    one that counts the vocabulary. The vocabulary (<= ``max_features`` rows, a
+    proven bound) is a constant of the plan.
   * Spark ML (``fit_tfidf_lr``): RegexTokenizer -> NGram -> counts over the
     relational vocabulary -> (IDF + 1) -> Normalizer -> multinomial
     LogisticRegression, all row-local transforms plus distributed fits (df vector, L-BFGS
@@ -22,12 +22,19 @@ Two forms, same numbers:
 
 from __future__ import annotations
 
+import json
+import math
+import zlib
+
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (IDF, CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer,
                                 RegexTokenizer, SQLTransformer)
 from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,29 +71,30 @@ def terms(text: Column | str) -> Column:
 # ---------------------------------------------------------------------------
 # Relational TF-IDF
 # ---------------------------------------------------------------------------
-DOC = "_doc"
-COPIES = "_copies"
+def term_runs(terms_col: Column) -> Column:
+    """``array<struct<term, tf>>`` of an array of terms: sorted, each run counted."""
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                          lambda i: (i < n) & ((i == 0) | (F.get(t, i) != F.get(t, i - 1))))
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.struct(
+            F.get(t, at).alias("term"), (F.coalesce(F.get(s, k + 1), n) - at).alias("tf"))))
+    return let(F.array_sort(terms_col), runs)
 
 
-def term_frequencies(df: DataFrame, id_col: str = "Id", text_col: str = "alert_text") -> DataFrame:
-    """``(id, _doc, _copies, term, tf)`` per distinct document.
+TERM_BUCKETS = 4096
 
-    Every input row is a document. Rows are grouped by ``(id, md5(text))``
-    first: identical copies collapse into one document with a ``_copies``
-    count, and map-side partial aggregation collapses them inside each task,
-    so even a copy group holding a third of all rows cannot skew a partition.
-    The key is deterministic (recomputation after a lost executor yields the
-    same keys). That one exchange partitions by the document, and the exploded
-    terms, the per-document count and the norm window all reuse it.
-    """
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    docs = (df.groupBy(F.col(id_col), key.alias(DOC))
-              .agg(F.first(text_col).alias(text_col), F.count(F.lit(1)).alias(COPIES)))
-    # explode_outer: no inferred ``size(terms) > 0`` pre-filter, so the term
-    # array is computed once; documents without terms yield no rows.
-    exploded = (docs.select(id_col, DOC, COPIES, F.explode_outer(terms(text_col)).alias("term"))
-                    .where(F.col("term").isNotNull()))
-    return exploded.groupBy(id_col, DOC, COPIES, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+def term_lookup(values: dict[str, float], buckets: int = TERM_BUCKETS):
+    """``term -> value`` as an expression, null for any other term. A map of all
+    entries would be searched from its start for every term; here they lie in a
+    constant array of short maps, found by the term's hash. ``values`` is bounded
+    by the caller (the vocabulary's ``max_features``)."""
+    parts: list[dict[str, float]] = [{} for _ in range(buckets)]
+    for term, value in values.items():
+        parts[zlib.crc32(term.encode()) % buckets][term] = value
+    table = F.from_json(F.lit(json.dumps(parts)), "array<map<string,double>>")  # folded to a literal once
+    return lambda term: F.element_at(F.get(table, F.pmod(F.crc32(F.encode(term, "utf-8")), F.lit(buckets)).cast("int")), term)
 
 
 def term_stats(df: DataFrame, text_col: str = "alert_text") -> DataFrame:
@@ -124,17 +132,18 @@ def tfidf_terms(df: DataFrame, id_col: str = "Id", text_col: str = "alert_text",
 
     The vocabulary and idf come from ``fit_df`` (default: ``df`` itself).
     """
-    tf = term_frequencies(df, id_col, text_col)
     fit = fit_df if fit_df is not None else df
-    n_docs = fit.agg(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(fit, text_col, max_features, min_df).select(
-        "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    w = tf.join(F.broadcast(vocab), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col, DOC)))
-    out = w.select(id_col, "term", (F.col("_w") / norm).alias("weight"), COPIES)
-    # one output row set per input row: copies are re-emitted after the math
-    return out.select(id_col, "term", "weight", F.explode(F.sequence(F.lit(1), F.col(COPIES))).alias("_c")) \
-              .drop("_c")
+    n_docs = fit.count()
+    rows = vocabulary(fit, text_col, max_features, min_df).select("term", "df").collect()  # <= max_features
+    idf = term_lookup({r["term"]: math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows})
+    pair = lambda x, weight: F.struct(x["term"].alias("term"), weight.alias("weight"))
+    weighed = F.transform(term_runs(terms(text_col)), lambda x: pair(x, x["tf"] * idf(x["term"])))
+    known = F.filter(weighed, lambda x: x["weight"].isNotNull())
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+    scaled = let(known, lambda w: let(norm(w), lambda n: F.transform(w, lambda x: pair(x, x["weight"] / n))))
+    # explode_outer: no inferred ``size(...) > 0`` filter, which would compute the array twice
+    out = df.select(id_col, F.explode_outer(scaled).alias("_t")).where(F.col("_t").isNotNull())
+    return out.select(id_col, F.col("_t.term").alias("term"), F.col("_t.weight").alias("weight"))
 
 
 # ---------------------------------------------------------------------------
@@ -223,6 +232,49 @@ def predict(model: PipelineModel, df: DataFrame, text_col: str = "alert_text",
     return out.select(*cols, "predicted_label")
 
 
+def gradient_ratio(model: PipelineModel, train: DataFrame, text_col: str = "alert_text", label_col: str = "label",
+                   c: float = LR_C) -> float:
+    """Norm of the objective's gradient at the fitted weights over that at zero
+    weights: near 0 at a stationary point of ``C * sum(w_i * loss_i) + 0.5 * ||W||^2``
+    (balanced class weights, intercepts without penalty). One pass: weighted sums
+    of the feature vectors per class, by probability and by label, merged from
+    partial sums of ``classes x max_features`` numbers."""
+    labels, lr = model.stages[-1].getLabels(), model.stages[-2]
+    clean = train.where(F.col(label_col).isNotNull()).withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    rows = with_class_weight(model.transform(clean), balanced_class_weights(clean, label_col), label_col, "_w")
+    p = vector_to_array("probability")
+    weights = {}
+    for i, name in enumerate(labels):
+        weights[f"p{i}"] = F.col("_w") * p[i]
+        weights[f"y{i}"] = F.when(F.col(label_col) == name, F.col("_w")).otherwise(F.lit(0.0))
+    weights["all"] = F.col("_w")
+    rows = rows.select("features", *[w.alias(name) for name, w in weights.items()])
+    sums = rows.agg(*[Summarizer.sum(F.col("features"), F.col(name)).alias(name) for name in weights],
+                    *[F.sum(name).alias(f"n_{name}") for name in weights]).first()
+    vec = {name: np.append(sums[name].toArray(), sums[f"n_{name}"]) for name in weights}
+    penalty = np.hstack([lr.coefficientMatrix.toArray(), np.zeros((len(labels), 1))])
+    at_fit = [c * (vec[f"p{i}"] - vec[f"y{i}"]) + penalty[i] for i in range(len(labels))]
+    at_zero = [c * (vec["all"] / len(labels) - vec[f"y{i}"]) for i in range(len(labels))]
+    return float(np.linalg.norm(at_fit) / np.linalg.norm(at_zero))
+
+
+def predict_relational(model: PipelineModel, weights: DataFrame, id_col: str = "Id") -> DataFrame:
+    """``id, predicted_label`` of long TF-IDF rows (:func:`tfidf_terms` by the model's
+    vocabulary): the class of the largest ``intercept + sum(coefficient * weight)``,
+    ties to the first label. A second road to the model's predictions, without its
+    transformers. Documents without a known term have no row. The coefficients
+    (``classes`` numbers for each of at most ``max_features`` terms) are a constant."""
+    labels, lr = model.stages[-1].getLabels(), model.stages[-2]
+    vocabulary = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
+    coef, intercept = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
+    spark = weights.sparkSession
+    table = spark.createDataFrame([(t, [float(x) for x in coef[:, i]]) for i, t in enumerate(vocabulary)], "term string, coef array<double>")
+    scored = weights.join(F.broadcast(table), "term")
+    sums = scored.groupBy(id_col).agg(*[F.sum(F.col("weight") * F.col("coef")[i]).alias(f"_s{i}") for i in range(len(labels))])
+    best = F.array_max(F.array(*[F.struct((F.col(f"_s{i}") + float(intercept[i])).alias("s"), F.lit(-i).alias("i")) for i in range(len(labels))]))
+    return sums.select(id_col, F.get(F.array(*[F.lit(x) for x in labels]), -best["i"]).alias("predicted_label"))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

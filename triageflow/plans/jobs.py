@@ -13,13 +13,16 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triageflow.constants import (EVAL_SUBSET_SIZE, RANDOM_STATE, SFT_MAX_TRAIN_ROWS, SFT_VAL_SIZE,
-                                  TEST_FRACTION)
+from triageflow.constants import (EVAL_SUBSET_SIZE, LR_C, LR_MAX_ITER, RANDOM_STATE, SFT_MAX_TRAIN_ROWS, SFT_VAL_SIZE,
+                                  TEST_FRACTION, TFIDF_MAX_FEATURES, TFIDF_MIN_DF)
 from triageflow.operators import features as feat
+from triageflow.operators import modelstore as MS
+from triageflow.operators import prompts as P
 from triageflow.operators import sampling as S
 from triageflow.operators import textml as TM
 from triageflow.session import checkpoint_root, configure, materialize
 from triageflow.sources import fixtures
+from triageflow.sources import io as IO
 
 
 def processed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,36 +30,45 @@ def processed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.preprocess_alerts(fixtures.raw_alerts(spark, sf_dir))
 
 
-def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1 step 1 written once to the shared folder: jobs that read the processed
-    alerts in several passes (split histogram + selection, TF-IDF document
-    count + vocabulary + term frequencies) scan it instead of re-running the
-    orders/customer join and the text assembly per pass."""
-    return materialize(spark, processed_alerts(spark, sf_dir), "processed-alerts")
+def alert_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(Id, label)`` of the processed alerts from the two columns behind them: what
+    the sampler's key passes need, without the joins and the text."""
+    grades = fixtures.alert_grades(spark, sf_dir).withColumnRenamed("IncidentGrade", "label")
+    return grades.where(F.col("label").isNotNull())
 
 
-def corpus_split(alerts: DataFrame, test_size: float = TEST_FRACTION, seed: int = RANDOM_STATE) -> DataFrame:
+def corpus_split(alerts: DataFrame, test_size: float = TEST_FRACTION, seed: int = RANDOM_STATE,
+                 keys: DataFrame | None = None) -> DataFrame:
     """All processed alerts with ``split`` in {train, test}."""
-    return S.stratified_split(alerts, "label", test_size, id_col="Id", seed=seed, salt="split")
+    return S.stratified_split(alerts, "label", test_size, id_col="Id", seed=seed, salt="split", keys=keys)
 
 
 def stored_split(spark: SparkSession, sf_dir: str, test_size: float = TEST_FRACTION,
                  seed: int = RANDOM_STATE) -> DataFrame:
-    """E1 output, written once (Parquet, shared folder): the processed alerts
-    (the split reads them in two passes: histogram, then selection) and the
-    split corpus that every later step (subset, SFT corpus, training) scans."""
-    alerts = stored_alerts(spark, sf_dir)
+    """E1 output, written once (Parquet, shared folder): the split corpus that every
+    later step (subset, SFT corpus, training) scans. The thresholds come from ids
+    and labels alone; the joins and the text assembly run in the writing pass only."""
     # one directory per split value: readers of one side (the test split for the
     # evaluation subset, the train split for training) prune the other at planning
-    return materialize(spark, corpus_split(alerts, test_size, seed), "split-corpus", partition_by=["split"])
+    split = corpus_split(processed_alerts(spark, sf_dir), test_size, seed, alert_keys(spark, sf_dir))
+    return materialize(spark, split, "split-corpus", partition_by=["split"])
+
+
+CLASSIFIER_PARAMS = {"max_features": TFIDF_MAX_FEATURES, "min_df": TFIDF_MIN_DF, "c": LR_C, "max_iter": LR_MAX_ITER}
+KEPT_MODELS = 8
 
 
 def saved_classifier(split_df: DataFrame) -> PipelineModel:
-    """The classifier fitted on the train split, saved to the shared
-    folder and loaded from there, as every job that scores with it does."""
-    path = f"{checkpoint_root(split_df.sparkSession)}/tfidf-lr-{uuid.uuid4().hex}"
-    TM.save_model(TM.fit_tfidf_lr(split_df.where(F.col("split") == "train")), path)
-    return TM.load_model(path)
+    """The classifier of the train split, loaded from the model store;
+    the first job that asks for these rows and parameters fits and saves it, all
+    others (scoring, comparison, hybrid records, stream) share that fit."""
+    spark = split_df.sparkSession
+    train = split_df.where(F.col("split") == "train")
+    store = MS.ModelStore(spark, "tfidf-lr")
+    key = MS.fingerprint(train, ["alert_text", "label"], **CLASSIFIER_PARAMS)
+    if not store.has(key):
+        store.prune(KEPT_MODELS - 1)
+    return store.load_or_fit(key, lambda: TM.fit_tfidf_lr(train, **CLASSIFIER_PARAMS))
 
 
 def eval_subset(split_df: DataFrame, size: int = EVAL_SUBSET_SIZE, seed: int = RANDOM_STATE) -> DataFrame:
@@ -88,3 +100,16 @@ def sft_corpus(split_df: DataFrame, eval_df: DataFrame, max_train_rows: int = SF
     test = eval_df.drop("shuffle_key").withColumn("sft_split", F.lit("test"))
     test = S.with_shuffle_key(test, "Id", seed, salt="sft-shuffle")
     return tv.unionByName(test)
+
+
+#: Columns of the corpus files.
+CORPUS_SCHEMA = "Id long, instruction string, input string, output string, sft_split string"
+
+
+def write_corpus(corpus: DataFrame, path: str | None = None) -> str:
+    """The instruction records as JSON files, one folder per split,
+    in shuffled order (ties by id). The folder written to."""
+    path = path or f"{checkpoint_root(corpus.sparkSession)}/sft-json-{uuid.uuid4().hex}"
+    records = P.instruction_records(corpus, keep=["Id", "sft_split", "shuffle_key"])
+    IO.write_json_records(records, path, "sft_split", order=["shuffle_key", "Id"])
+    return path

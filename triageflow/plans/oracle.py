@@ -275,6 +275,18 @@ llm_join AS (SELECT a.*, a.label AS true_label, t.raw_response, t.request_error,
 """ + parsed_ctes("llm_join", "llm_pred")
 
 
+# Several answers of an id: the best of each (parsed, unparsable, failed; latest; greatest text).
+REPEATED_CTE = ALERTS_CTE + f""",
+rep_answers AS (
+  SELECT o_custkey AS Id, CASE WHEN o_orderkey % 13 <> 12 THEN {pick_sql('o_orderkey', TRIAGE_ANSWER_SHAPES)} END AS raw_response,
+    CASE WHEN o_orderkey % 13 = 12 THEN {q(REQUEST_ERROR_TEXT)} END AS request_error,
+    0.5 + (o_orderkey % 40) / 10.0 AS latency_seconds, CAST(o_orderdate AS VARCHAR) AS answered_at FROM orders),
+""" + parsed_ctes("rep_answers", "rep_parsed") + """,
+rep_best AS (SELECT * FROM rep_parsed QUALIFY row_number() OVER (PARTITION BY Id ORDER BY
+    CASE status WHEN 'OK' THEN 2 WHEN 'PARSE_ERROR' THEN 1 ELSE 0 END DESC, answered_at DESC NULLS LAST,
+    raw_response DESC NULLS LAST, request_error DESC NULLS LAST, latency_seconds DESC NULLS LAST) = 1)"""
+
+
 # --- prompts ---------------------------------------------------------------
 def render_sql(template: str, **values: str) -> str:
     """SQL twin of ``operators.prompts.render``."""
@@ -315,6 +327,26 @@ PROFILE_SQL = "\nUNION ALL\n".join(
     f"count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count FROM {t}"
     for t, cols in DRIVER_TABLE_COLUMNS.items() for i, c in enumerate(cols))
 
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
+
+
+def sketch_profile_sql(exact: dict[str, list[str]], first: int = 5) -> str:
+    """One row per column; first values of the rows of the smallest keys (whole
+    numbers and text only)."""
+    kind = lambda c: f"any_value(CASE typeof({c}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items()) + " END)"
+    parts = []
+    for t, named in exact.items():
+        key = DRIVER_TABLE_COLUMNS[t][0]
+        for i, c in enumerate(DRIVER_TABLE_COLUMNS[t]):
+            n = f"count(DISTINCT {c})" if c in named else "CAST(NULL AS BIGINT)"
+            near = "true" if c in named else "CAST(NULL AS BOOLEAN)"
+            parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS column_position, {kind(c)} AS data_type, count(*) AS row_count,
+  count(*) - count({c}) AS null_count, {n} AS distinct_count, {near} AS estimate_near,
+  (SELECT CASE WHEN any_value(typeof({c})) IN ('BIGINT', 'INTEGER', 'VARCHAR') THEN CAST(to_json(list(substr(CAST({c} AS VARCHAR), 1, 40) ORDER BY {key})) AS VARCHAR) END
+   FROM (SELECT {key}, {c} FROM {t} ORDER BY {key} LIMIT {first})) AS first_json FROM {t}""")
+    return "\nUNION ALL\n".join(parts)
+
+
 HYBRID_CTE = SCORED_CTE + ",\n" + HYBRID_ANSWERS_CTE + """,
 hyb_join AS (SELECT s.Id, s.IncidentId, s.AlertId, s.Timestamp, s.alert_text, s.label AS true_label,
                s.predicted_label AS ml_predicted_label, h.raw_response, h.request_error, h.latency_seconds

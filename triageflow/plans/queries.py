@@ -7,6 +7,8 @@ stable against summation order; counts stay exact.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,7 +201,7 @@ def q_sft_split(spark, sf_dir):
 # ===========================================================================
 # Answers (L7-L17)
 # ===========================================================================
-from triageflow.functions.jsonparse import extract_answer  # noqa: E402,F401
+from triageflow.functions.jsonparse import answer_text, extract_answer, field_dump  # noqa: E402
 from triageflow.operators import answers as A  # noqa: E402
 from triageflow.operators import prompts as P  # noqa: E402
 
@@ -268,6 +270,21 @@ def q_llm_predictions(spark, sf_dir):
                     F.round("latency_seconds", DIGITS).alias("latency_seconds"), "status")
 
 
+@register("llm_predictions_repeated_ids", "J2 L15",
+          sql=O.with_ctes(O.REPEATED_CTE) + """
+SELECT IncidentId AS Id, a.Timestamp AS Timestamp, label AS true_label, llm_predicted_label_raw, llm_predicted_label,
+  round(llm_confidence, 6) AS llm_confidence, round(latency_seconds, 6) AS latency_seconds, status
+FROM alerts AS a LEFT JOIN rep_best AS b ON a.IncidentId = b.Id""")
+def q_llm_predictions_repeated_ids(spark, sf_dir):
+    """Alerts known by their incident, which has several answers, some failed."""
+    configure(spark)
+    alerts = _alerts(spark, sf_dir).withColumn("Id", F.col("IncidentId"))
+    p = A.llm_prediction_table(alerts, fixtures.repeated_answers(spark, sf_dir))
+    return p.select("Id", "Timestamp", "true_label", "llm_predicted_label_raw", "llm_predicted_label",
+                    F.round("llm_confidence", DIGITS).alias("llm_confidence"),
+                    F.round("latency_seconds", DIGITS).alias("latency_seconds"), "status")
+
+
 @register("llm_validity", "A1 A5 A6 P8 P9 A7",
           sql=O.with_ctes(O.LLM_PRED_CTE) + """
 SELECT count(*) AS total,
@@ -313,7 +330,7 @@ sft_join AS (SELECT a.*, a.label AS true_label, t.raw_response, t.request_error,
           + REPORT_SQL)
 def q_sft_eval(spark, sf_dir):
     j = A.attach_answers(_alerts(spark, sf_dir).withColumnRenamed("label", "true_label"),
-                         _triage_answers(spark, sf_dir))
+                         _triage_answers(spark, sf_dir), greedy=False)
     p = A.parse_sft_answers(j)
     return _rounded_report(M.confusion_cells(M.long_predictions(p, "true_label", "llm_predicted_label", "LoRA-SFT")))
 
@@ -378,6 +395,21 @@ def q_sft_records(spark, sf_dir):
                       "shuffle_key")
 
 
+@register("sft_json_corpus", "S6 T4 L5 L6",
+          sql=O.with_ctes(O.SFT_CTE) + f"""
+SELECT Id, sft_split, row_number() OVER (PARTITION BY sft_split ORDER BY shuffle_key, Id) - 1 AS position,
+  md5({O.q(SFT_SYSTEM_PROMPT)}) AS instruction_md5, {O.q(SFT_INPUT_PREFIX)} || alert_text || {O.q(SFT_INPUT_SUFFIX)} AS input,
+  '{{"predicted_label": "' || label || '"}}' AS output FROM sft_all""")
+def q_sft_json_corpus(spark, sf_dir):
+    """The corpus as JSON files of each split in shuffled order, read back in the
+    order of the files."""
+    from triageflow.sources import io as IO
+    split = jobs.stored_split(spark, sf_dir)
+    path = jobs.write_corpus(jobs.sft_corpus(split, jobs.eval_subset(split)))
+    rows = IO.read_json_in_order(spark, path, jobs.CORPUS_SCHEMA, "sft_split")
+    return rows.select("Id", "sft_split", "position", F.md5("instruction").alias("instruction_md5"), "input", "output")
+
+
 # ===========================================================================
 # Hybrid records, cards, comparison
 # ===========================================================================
@@ -413,6 +445,21 @@ def q_coerced_lists(spark, sf_dir):
              .groupBy("actions_json", "mitre_json", "status").agg(F.count(F.lit(1)).alias("n")))
 
 
+_DUMPS = " ".join(f"WHEN {i} THEN {O.q(json.dumps(v))}" for i, v in enumerate(fixtures.ACTION_VALUES))
+
+
+@register("dumped_lists", "L13",
+          sql=f"""
+SELECT o_orderkey AS Id, CASE WHEN o_orderkey % 13 = 12 THEN '[]' ELSE CASE o_orderkey % {len(fixtures.DUMP_ANSWER_SHAPES)} {_DUMPS}
+  ELSE '[]' END END AS actions_dump FROM orders""")
+def q_dumped_lists(spark, sf_dir):
+    """What the batch jobs store: the field as it stands, of any kind, as JSON text."""
+    configure(spark)
+    a = fixtures.hybrid_answers(spark, sf_dir, fixtures.DUMP_ANSWER_SHAPES)
+    a = a.select("Id", extract_answer(F.col("raw_response")).alias("p"), answer_text(F.col("raw_response")).alias("t"))
+    return a.select("Id", field_dump(F.col("p"), F.col("t"), "recommended_actions").alias("actions_dump"))
+
+
 CARD_SQL = """'## Example ' || CAST(example AS VARCHAR) || chr(10) || chr(10) ||
   '**True Label:** ' || coalesce(true_label, '') || chr(10) || chr(10) ||
   '**ML Prediction:** ' || coalesce(ml_predicted_label, '') || chr(10) || chr(10) ||
@@ -554,6 +601,27 @@ def q_alert_at_position(spark, sf_dir):
     return alert_at_position(src, index)
 
 
+EIGHTHS = [0, 1, 2, 3, 4, 5, 6, 7]
+
+
+@register("alerts_at_positions", "O2",
+          sql=O.with_ctes(O.ALERTS_CTE) + f"""
+SELECT position, Id, label, md5(alert_text) AS text_md5 FROM (
+  SELECT *, row_number() OVER (ORDER BY alert_text, Id) - 1 AS position, count(*) OVER () AS n FROM alerts)
+WHERE position IN ({", ".join(f"n - 1 - (n // 8) * {k}" for k in EIGHTHS)})""")
+def q_alerts_at_positions(spark, sf_dir):
+    """Positions over the whole table, from the last back to the first eighth, through
+    the ordinal index by text, long strings that share their first characters."""
+    from triageflow.operators import position as PO
+    alerts = _alerts(spark, sf_dir)
+    order = F.concat(F.col("alert_text"), F.lit("\0"), F.lpad(F.col("Id").cast("string"), 20, "0"))
+    rows = alerts.select("Id", "label", "alert_text", order.alias("_order"))
+    index = PO.ordinal_index(rows, "_order", ["Id"])
+    n = alerts.count()
+    wanted = spark.createDataFrame([(n - 1 - (n // 8) * k,) for k in EIGHTHS], "position long").distinct()
+    return PO.rows_at(rows, index, wanted, "_order", ["Id"]).select("position", "Id", "label", F.md5("alert_text").alias("text_md5"))
+
+
 @register("first_n_alerts", "S2 P5",
           sql=O.with_ctes(O.RAW_ALERTS_CTE) + """
 SELECT Id, IncidentGrade AS label FROM (SELECT * FROM raw_alerts ORDER BY Id LIMIT 1000) WHERE IncidentGrade IS NOT NULL""")
@@ -579,7 +647,7 @@ def q_reject_empty_alerts(spark, sf_dir):
 # ===========================================================================
 from triageflow.sources import io as IO  # noqa: E402
 from triageflow.sources import profile as PR  # noqa: E402
-from triageflow.sources.tables import TABLES  # noqa: E402
+from triageflow.sources.tables import TABLES, read_table  # noqa: E402
 from triageflow.session import checkpoint_root  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
@@ -599,6 +667,32 @@ def q_csv_roundtrip(spark, sf_dir):
     return IO.read_csv(spark, path, PROCESSED_SCHEMA)
 
 
+# Files as analysts send them: some ids end in a letter, some incidents are out of
+# range, some rows lack their last field.
+@register("csv_rejects", "S1",
+          sql="""
+WITH r AS (SELECT o_orderkey % 7 = 3 AS bad_id, o_orderkey % 11 = 5 AS bad_incident, o_orderkey % 13 = 8 AS short FROM orders),
+s AS (SELECT concat_ws('; ', CASE WHEN short THEN 'malformed record' END,
+    CASE WHEN bad_id THEN 'Id: {"value":"?"} is not bigint' END,
+    CASE WHEN bad_incident THEN 'IncidentId: {"value":"?"} is not bigint' END) AS reason FROM r)
+SELECT CASE WHEN reason = '' THEN 'read' ELSE reason END AS outcome, count(*) AS n FROM s GROUP BY reason""")
+def q_csv_rejects(spark, sf_dir):
+    """Rows read, and rows set aside by reason."""
+    import uuid
+    configure(spark)
+    path = f"{checkpoint_root(spark)}/raw-csv-{uuid.uuid4().hex}"
+    key = F.col("o_orderkey")
+    line = F.concat(key.cast("string"), F.when(key % 7 == 3, "x").otherwise(""), F.lit(","),
+                    F.col("o_custkey").cast("string"), F.when(key % 11 == 5, "99999999999999999999").otherwise(""),
+                    F.when(key % 13 == 8, "").otherwise(F.concat(F.lit(","), F.col("o_orderstatus"))))
+    lines = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"]).select(line.alias("Id,IncidentId,Note"))
+    lines.write.option("header", True).option("sep", "\u0001").csv(path)  # whole lines as they are
+    good, bad = IO.read_csv_checked(spark, path, "Id bigint, IncidentId bigint, Note string")
+    outcome = F.regexp_replace("reason", r'"value":"[^"]*"', '"value":"?"')
+    both = good.select(F.lit("read").alias("outcome")).unionByName(bad.select(outcome.alias("outcome")))
+    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("profile_tables", "S4", sql=O.PROFILE_SQL)
 def q_profile_tables(spark, sf_dir):
     configure(spark)
@@ -606,6 +700,24 @@ def q_profile_tables(spark, sf_dir):
     return prof.drop("data_type")
 
 
+#: Columns counted exactly beside their sketch.
+EXACT_COLUMNS = {"orders": ["o_custkey", "o_orderpriority"], "customer": ["c_mktsegment"], "part": ["p_brand"], "documents": ["lang", "text"]}
+
+
+@register("profile_sketches", "S4", sql=O.sketch_profile_sql(EXACT_COLUMNS))
+def q_profile_sketches(spark, sf_dir):
+    """Types, nulls, first values and distinct counts of whole tables by sketches
+    that are made per file and merged."""
+    configure(spark)
+    parts = [PR.sketch_profile(spark, read_table(spark, sf_dir, t), t, exact=exact) for t, exact in EXACT_COLUMNS.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    near = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count") + 1
+    return out.select("table_name", "column_name", "column_position", "data_type", "row_count", "null_count", "distinct_count",
+                      near.alias("estimate_near"), F.to_json("first_values").alias("first_json"))
+
+
 # ===========================================================================
 # Text ML (M1-M8)
 # ===========================================================================
@@ -634,7 +746,7 @@ def q_vocabulary(spark, sf_dir):
 @register("tfidf_terms", "M4", sql=O.with_ctes(O.TERMS_CTE) + "SELECT Id, term, round(weight, 6) AS weight FROM tfidf")
 def q_tfidf_terms(spark, sf_dir):
     # three passes (document count, vocabulary, term frequencies) over one stored input
-    t = TM.tfidf_terms(jobs.stored_alerts(spark, sf_dir))
+    t = TM.tfidf_terms(_alerts(spark, sf_dir))
     return t.select("Id", "term", F.round("weight", DIGITS).alias("weight"))
 
 
@@ -699,12 +811,13 @@ def q_stream_triage(spark, sf_dir):
 
 
 def _responder_run(spark, sf_dir):
-    """Hybrid prompts -> responder hook (deterministic stub) -> stored answers ->
-    hybrid records joined back by ``Id``."""
+    """Hybrid prompts -> responder hook (deterministic stub, calls overlapped) ->
+    stored answers, each with its alert -> hybrid records. No join back."""
     scored = feat.score_rules(_alerts(spark, sf_dir), keep_scores=False)
-    prompts = scored.select("Id", P.hybrid_prompt("alert_text", "predicted_label").alias("prompt"))
-    answers = H.materialize(spark, H.respond(prompts, responders.guidance_stub), "responder-answers")
-    return H.hybrid_records(scored, "predicted_label", answers)
+    prompts = (scored.withColumn("prompt", P.hybrid_prompt("alert_text", "predicted_label"))
+               .withColumnsRenamed({"label": "true_label", "predicted_label": "ml_predicted_label"}))
+    answers = H.respond(prompts, responders.guidance_stub, keep=H.RECORD_COLUMNS, in_flight=4)
+    return H.answered_records(H.materialize(spark, answers, "responder-answers"))
 
 
 @register("responder_stub", "L20 L18")
@@ -769,6 +882,36 @@ def q_stream_triage_records(spark, sf_dir):
                       F.md5("raw_llm_response").alias("raw_md5"))
 
 
+_ACCEPTED_SQL = "SELECT Id, true AS agrees FROM alerts WHERE Id % 9 NOT IN (2, 5, 7)"
+
+
+def _request_stream(spark, sf_dir):
+    """R2 as the service runs it: requests, the stored classifier, the responder."""
+    split = jobs.stored_split(spark, sf_dir)
+    model = jobs.saved_classifier(split)
+    src = ST.stage_files(fixtures.online_requests(split), ST.scratch(spark, "requests"), 3)
+    out, rejected, ckpt = (ST.scratch(spark, f"requests-{x}") for x in ("out", "rejected", "ckpt"))
+    ST.run_request_stream(spark, src, out, rejected, ckpt, responders.guidance_stub, model, max_files_per_trigger=1)
+    return split, model, spark.read.parquet(out), spark.read.parquet(rejected)
+
+
+@register("stream_triage_trained", "R2 M7 S7 L20", sql=O.with_ctes(O.ALERTS_CTE) + _ACCEPTED_SQL)
+def q_stream_triage_trained(spark, sf_dir):
+    """Every accepted request triaged once, its label that of the loaded classifier
+    in batch over the same alerts, its summary the answer to that label."""
+    split, model, out, _ = _request_stream(spark, sf_dir)
+    batch = TM.predict(model, split, keep=["Id"]).withColumnRenamed("predicted_label", "want")
+    told = F.col("analyst_summary").contains(F.col("want")) | (F.col("status") != "OK")
+    return out.join(batch, "Id").select("Id", ((F.col("ml_predicted_label") == F.col("want")) & told).alias("agrees"))
+
+
+@register("stream_rejected_requests", "P10 R2",
+          sql=O.with_ctes(O.ALERTS_CTE) + f"""
+SELECT Id, CASE Id % 9 WHEN 7 THEN NULL ELSE '' END AS alert_text, {O.q(ST.EMPTY_REASON)} AS reason FROM alerts WHERE Id % 9 IN (2, 5, 7)""")
+def q_stream_rejected_requests(spark, sf_dir):
+    return _request_stream(spark, sf_dir)[3].select("Id", "alert_text", "reason")
+
+
 # ===========================================================================
 # Jobs that need the trained classifier (rows-only: no SQL twin for L-BFGS)
 # ===========================================================================
@@ -806,6 +949,31 @@ def q_model_comparison_subset(spark, sf_dir):
     return M.model_comparison(M.confusion_cells(long_df), MODEL_ROLES)
 
 
+@register("lr_prediction_check", "M6 M7 M8 S7",
+          sql=O.with_ctes(O.SPLIT_CTE) + "SELECT Id, label, true AS agrees FROM split_alerts WHERE split = 'test'")
+def q_lr_prediction_check(spark, sf_dir):
+    """Every prediction of the loaded model against the class of the largest score
+    over the relational TF-IDF weights, without the model's transformers."""
+    split = jobs.stored_split(spark, sf_dir)
+    model = jobs.saved_classifier(split)
+    test, train = split.where(F.col("split") == "test"), split.where(F.col("split") == "train")
+    terms = TM.tfidf_terms(test.select("Id", "alert_text"), fit_df=train)
+    want = TM.predict_relational(model, terms).withColumnRenamed("predicted_label", "want")
+    p = TM.predict(model, test, keep=["Id", "label"]).join(want, "Id", "left")
+    return p.select("Id", "label", F.coalesce(F.col("predicted_label") == F.col("want"), F.lit(False)).alias("agrees"))
+
+
+@register("lr_gradient_bound", "M6",
+          sql=O.with_ctes(O.SPLIT_CTE) + """
+SELECT count(*) AS n_train, true AS is_stationary FROM split_alerts WHERE split = 'train'""")
+def q_lr_gradient_bound(spark, sf_dir):
+    """The objective's gradient at the stored fit is under 1 % of that at zero weights."""
+    split = jobs.stored_split(spark, sf_dir)
+    train = split.where(F.col("split") == "train")
+    ratio = TM.gradient_ratio(jobs.saved_classifier(split), train)
+    return train.agg(F.count(F.lit(1)).alias("n_train")).withColumn("is_stationary", F.lit(ratio < 0.01))
+
+
 # What SQL can say about the classifier's rows: which alerts it scores, that every
 # prediction is a learned label, and everything of its records but that label.
 @register("lr_scored_rows", "M6 M7 M8 S7",

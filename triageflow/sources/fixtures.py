@@ -8,6 +8,8 @@ work grows with them. Each builder has a DuckDB twin in ``plans.oracle``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +124,15 @@ HYBRID_ANSWER_SHAPES = [
     '{"analyst_summary": "s3", "risk_explanation": "", "recommended_actions": "   ", "mitre_interpretation": []}',
     'no json here',
 ]
+# Actions of every JSON kind, by Id % 12: lists, text, numbers, boolean, null,
+# objects, non-ASCII characters; the last answer has no actions.
+ACTION_VALUES = [
+    ["isolate host", "reset credentials"], "close alert, keep: watching", 3, 2.5, True, None,
+    {"step": "block", "after": ["review", {"owner": "Zoë"}]}, ["prüfen", "日本", "ok 👍"], [], "", ["tab\t", "quote \"q\"", "back\\slash", "line\n"],
+]
+DUMP_ANSWER_SHAPES = [
+    ("Here you go: " if i % 4 == 3 else "") + json.dumps({"analyst_summary": "s", "recommended_actions": v}, ensure_ascii=i % 2 == 0)
+    for i, v in enumerate(ACTION_VALUES)] + ['{"analyst_summary": "s"}']
 # Answers of Id % 13 == 12 carry a request error instead of a response.
 REQUEST_ERROR_TEXT = "connection refused"
 
@@ -130,12 +141,13 @@ def _pick(key: Column, shapes: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in shapes]), (key % len(shapes) + 1).cast("int"))
 
 
-def triage_answers(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+def triage_answers(spark: SparkSession, sf_dir: str, shift: int = 0, orders: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """Stored triage answers ``(Id, raw_response, request_error, latency_seconds)``.
 
-    ``shift`` rotates the shapes so a second model's answers differ.
+    ``shift`` rotates the shapes so a second model's answers differ. ``orders`` may
+    be given, with columns to ``keep``.
     """
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey"], spread=True)
+    o = orders if orders is not None else read_table(spark, sf_dir, "orders", ["o_orderkey"], spread=True)
     key = F.col("o_orderkey") + F.lit(shift)
     failed = F.col("o_orderkey") % 13 == 12
     return o.select(
@@ -143,16 +155,34 @@ def triage_answers(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFram
         F.when(~failed, _pick(key, TRIAGE_ANSWER_SHAPES)).alias("raw_response"),
         F.when(failed, F.lit(REQUEST_ERROR_TEXT)).alias("request_error"),
         (F.lit(0.5) + (F.col("o_orderkey") % 40) / F.lit(10.0)).alias("latency_seconds"),
+        *(keep or []),
     )
 
 
-def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def online_requests(alerts: DataFrame) -> DataFrame:
+    """What clients post: the text of an alert, with white space around it, empty,
+    blank or missing by ``Id % 9``."""
+    text = F.concat(F.lit(" \n"), F.col("alert_text"), F.lit("\t "))
+    kind = F.col("Id") % 9
+    return alerts.select("Id", F.when(kind == 2, "").when(kind == 5, " \t\n ").when(kind != 7, text).alias("alert_text"))
+
+
+def repeated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triage answers of incidents: every order of a customer gave one answer to
+    the same id (``Id = o_custkey``), good, unparsable or failed, at its own time."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    a = triage_answers(spark, sf_dir, orders=o.withColumns({"incident": F.col("o_custkey"), "answered_at": F.col("o_orderdate").cast("string")}),
+                       keep=["incident", "answered_at"])
+    return a.drop("Id").withColumnRenamed("incident", "Id")
+
+
+def hybrid_answers(spark: SparkSession, sf_dir: str, shapes: list[str] = HYBRID_ANSWER_SHAPES) -> DataFrame:
     o = read_table(spark, sf_dir, "orders", ["o_orderkey"], spread=True)
     key = F.col("o_orderkey")
     failed = key % 13 == 12
     return o.select(
         key.alias("Id"),
-        F.when(~failed, _pick(key, HYBRID_ANSWER_SHAPES)).alias("raw_response"),
+        F.when(~failed, _pick(key, shapes)).alias("raw_response"),
         F.when(failed, F.lit(REQUEST_ERROR_TEXT)).alias("request_error"),
         (F.lit(0.5) + (key % 40) / F.lit(10.0)).alias("latency_seconds"),
     )

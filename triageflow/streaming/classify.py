@@ -10,6 +10,11 @@ R2 ``stream_triage``: ``foreachBatch`` runs the hybrid triage per
 micro-batch (prompt -> responder hook -> guidance parse) and overwrites the
 batch's own ``batch_id`` partition, so a replayed batch rewrites the same
 output instead of duplicating it.
+
+``run_request_stream`` is the service's whole path: requests (id and text), stripped;
+empty ones go to a sink of their own with the reason, the others are labelled by the
+loaded classifier and triaged. Both sinks are written from one micro-batch, each
+under its batch id.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triageflow.constants import HYBRID_TEMPLATE_SERVICE, SERVICE_PARSE_FALLBACK_SUMMARY
+from triageflow.functions.text import py_strip
 from triageflow.operators import answers as A
 from triageflow.operators import features as feat
 from triageflow.operators import hybrid as H
@@ -99,6 +106,37 @@ def triage_batch(batch: DataFrame, batch_id: int, responder: Callable[[str], str
     out.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
 
+REQUEST_SCHEMA = T.StructType([T.StructField("Id", T.LongType()), T.StructField("alert_text", T.StringType())])
+EMPTY_REASON = "alert_text cannot be empty"
+
+
+def request_batch(batch: DataFrame, batch_id: int, responder: Callable[[str], str], out_dir: str, rejected_dir: str,
+                  model: PipelineModel | None = None) -> None:
+    """One micro-batch of requests into both sinks. The batch is kept for the two
+    passes; a replay of the same batch overwrites both of its folders."""
+    batch = batch.withColumn("alert_text", py_strip("alert_text")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        accepted, rejected = feat.split_non_empty(batch)
+        rejected.select("*", F.lit(EMPTY_REASON).alias("reason")).write.mode("overwrite").parquet(f"{rejected_dir}/batch_id={batch_id}")
+        scored = TM.predict(model, accepted) if model is not None else feat.score_rules(accepted)
+        triage_batch(scored, batch_id, responder, out_dir)
+    finally:
+        batch.unpersist()
+
+
+def run_request_stream(spark: SparkSession, source_dir: str, out_dir: str, rejected_dir: str, checkpoint_dir: str,
+                       responder: Callable[[str], str], model: PipelineModel | None = None,
+                       max_files_per_trigger: int | None = 1, timeout_s: float | None = None) -> None:
+    """Drain the requests of ``source_dir`` into ``out_dir`` and ``rejected_dir``."""
+    requests = alert_stream(spark, source_dir, REQUEST_SCHEMA, max_files_per_trigger)
+    query = (requests.writeStream.option("checkpointLocation", checkpoint_dir)
+             .foreachBatch(lambda b, i: request_batch(b, i, responder, out_dir, rejected_dir, model))
+             .trigger(availableNow=True).start())
+    query.awaitTermination(timeout_s)
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
 def run_triage_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
                       responder: Callable[[str], str], max_files_per_trigger: int | None = 1,
                       timeout_s: float | None = None, model: PipelineModel | None = None) -> None:
