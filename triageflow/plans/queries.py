@@ -488,17 +488,18 @@ def q_example_cards(spark, sf_dir):
 
 def _comparison_long(spark, sf_dir):
     """Rule, zero-shot, few-shot and fine-tuned-profile predictions over every
-    labelled alert, melted to (model, true, pred) in one pass."""
-    scored = feat.score_rules(_alerts(spark, sf_dir), keep_scores=False)
+    labelled alert as (model, true, pred): a union of long tables. The rule label needs
+    no join; answers meet ids and labels alone, not the alerts' texts."""
+    rule = M.long_predictions(feat.score_rules(_alerts(spark, sf_dir), keep_scores=False), "label", "predicted_label", "Rule-Based Baseline")
+    keys = jobs.alert_keys(spark, sf_dir)
     # one scan of the stored answers yields both parse profiles
     zero_sft = A.answer_labels(_triage_answers(spark, sf_dir), {
         "zero_pred": (True, O.LABEL_ALIASES_WIDE), "sft_pred": (False, O.LABEL_ALIASES_NARROW)}) \
         .select("Id", "zero_pred", "sft_pred")
     few = A.answer_labels(_triage_answers(spark, sf_dir, shift=5), {"few_pred": (True, O.LABEL_ALIASES_WIDE)}) \
         .select("Id", "few_pred")
-    j = scored.join(zero_sft, "Id", "left").join(few, "Id", "left")
-    return M.melt_predictions(j, "label", {"Rule-Based Baseline": "predicted_label", "Qwen Zero-Shot": "zero_pred",
-                                           "Qwen Few-Shot": "few_pred", "LoRA-SFT": "sft_pred"})
+    both = M.melt_predictions(keys.join(zero_sft, "Id", "left"), "label", {"Qwen Zero-Shot": "zero_pred", "LoRA-SFT": "sft_pred"})
+    return rule.unionByName(both).unionByName(M.melt_predictions(keys.join(few, "Id", "left"), "label", {"Qwen Few-Shot": "few_pred"}))
 
 
 COMPARISON_PREDS_SQL = O.SCORED_CTE + ",\n" + O.TRIAGE_ANSWERS_CTE + ",\n" + O.FEWSHOT_ANSWERS_CTE + ",\n" \

@@ -15,17 +15,21 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores.
+SPREAD_BYTES = 1 << 30
+
+
+def spread_small_input(df: DataFrame, min_partitions: int | None = None, most_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Round-robin a small scan that yields fewer splits than the cluster has cores.
 
     A parquet file with one row group is one split, so its whole downstream
     pipeline (text assembly, JSON parsing, scoring) would run in one task. A
-    scan that small is cheap to redistribute; a large input already has at
-    least that many splits and is returned untouched (no shuffle at scale).
+    scan of at most ``most_bytes`` (by the planner's statistics) is cheap to
+    redistribute; a larger one keeps its splits and is never shuffled for this.
     The partition count comes from planning the scan, not from running it.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= most_bytes and df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
 
