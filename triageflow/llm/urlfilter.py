@@ -13,7 +13,10 @@ lower-cased; path: from there up to ``?``, ``#`` or the end. A null URL, or one
 without ``://``, has an empty host and path. URLs that no rule fits get
 ``default``. Distinct URLs are judged once, so copies of a URL collapse before the
 join; rows of null URL stay. Rules are broadcast below ``BROADCAST_RULES``, else
-joined by a shuffle. Empty tables give an empty result.
+joined by a shuffle. A very long URL makes as many expressions as its host has labels
+times the rules' path lengths. Empty tables give an empty result; without a rule every
+URL gets ``default``. Columns named ``host``, ``path``, ``rule`` or ``verdict`` are replaced;
+all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def rule_table(spark: SparkSession, rules=None) -> DataFrame:
-    return spark.createDataFrame(rules or RULES, "rule_host string, rule_path string, verdict string")
+    return spark.createDataFrame(RULES if rules is None else rules, "rule_host string, rule_path string, verdict string")
 
 
 def parts(df: DataFrame, url: str) -> DataFrame:
