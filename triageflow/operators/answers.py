@@ -152,6 +152,17 @@ def _with_parsed(df: DataFrame, raw: Column, greedy: bool) -> DataFrame:
     return df if "_parsed" in df.columns else df.withColumn("_parsed", J.extract_answer(raw, greedy))
 
 
+def with_field_dumps(df: DataFrame, fields: dict[str, str], raw_col: str = "raw_response", greedy: bool = True) -> DataFrame:
+    """``df`` (parsed answers with ``status``) with each column of ``fields`` holding its
+    answer field as JSON text, of whatever kind it is: what the batch jobs store in
+    their CSV files, where the coerced lists are what the service returns. Rows
+    without a parsed answer, or whose answer lacks the field, hold an empty list."""
+    raw = F.when(F.col("status") == "OK", F.col(raw_col))
+    both = df.withColumn("_answer", F.struct(J.extract_answer(raw, greedy).alias("p"), J.answer_text(raw, greedy).alias("t")))
+    dumps = {c: J.field_dump(F.col("_answer.p"), F.col("_answer.t"), f) for c, f in fields.items()}
+    return both.withColumns(dumps).drop("_answer")
+
+
 def llm_prediction_table(alerts: DataFrame, answers: DataFrame, greedy: bool = True,
                          aliases: dict[str, str] = LABEL_ALIASES_WIDE) -> DataFrame:
     """The ``llm_prediction`` schema: ids, text, true label, raw/normalised label,

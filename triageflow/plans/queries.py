@@ -403,7 +403,6 @@ SELECT Id, sft_split, row_number() OVER (PARTITION BY sft_split ORDER BY shuffle
 def q_sft_json_corpus(spark, sf_dir):
     """The corpus as JSON files of each split in shuffled order, read back in the
     order of the files."""
-    from triageflow.sources import io as IO
     split = jobs.stored_split(spark, sf_dir)
     path = jobs.write_corpus(jobs.sft_corpus(split, jobs.eval_subset(split)))
     rows = IO.read_json_in_order(spark, path, jobs.CORPUS_SCHEMA, "sft_split")
@@ -415,6 +414,8 @@ def q_sft_json_corpus(spark, sf_dir):
 # ===========================================================================
 from triageflow.constants import HYBRID_TEMPLATE_SERVICE, MODEL_ROLES, SERVICE_PARSE_FALLBACK_SUMMARY  # noqa: E402
 from triageflow.operators import hybrid as H  # noqa: E402
+from triageflow.session import checkpoint_root  # noqa: E402
+from triageflow.sources import io as IO  # noqa: E402
 
 
 def _hybrid(spark, sf_dir):
@@ -460,6 +461,26 @@ def q_dumped_lists(spark, sf_dir):
     return a.select("Id", field_dump(F.col("p"), F.col("t"), "recommended_actions").alias("actions_dump"))
 
 
+@register("hybrid_csv", "L13 L18 S5 S1",
+          sql=O.with_ctes(O.SCORED_CTE) + f""",
+d AS (SELECT Id, label, predicted_label, CASE WHEN Id % 13 = 12 THEN '[]' ELSE CASE Id % {len(fixtures.DUMP_ANSWER_SHAPES)} {_DUMPS} ELSE '[]' END END AS dump FROM scored)
+SELECT Id, label AS true_label, label = predicted_label AS is_correct, CASE WHEN Id % 13 = 12 THEN '' ELSE 's' END AS summary,
+  nullif(dump, 'null') AS recommended_actions, '[]' AS mitre_interpretation FROM d""")
+def q_hybrid_csv(spark, sf_dir):
+    """The batch job's CSV with dumped lists, written and read back (the reader takes
+    the text ``null`` as missing, as everywhere)."""
+    import uuid
+    configure(spark)
+    scored = feat.score_rules(_alerts(spark, sf_dir), keep_scores=False)
+    records = H.hybrid_records(scored, "predicted_label", fixtures.hybrid_answers(spark, sf_dir, fixtures.DUMP_ANSWER_SHAPES))
+    path = f"{checkpoint_root(spark)}/hybrid-csv-{uuid.uuid4().hex}"
+    IO.write_csv(A.with_field_dumps(records, {c: c for c in ("recommended_actions", "mitre_interpretation")}, "raw_llm_response"), path)
+    back = IO.read_csv(spark, path, "Id long, true_label string, is_correct boolean, analyst_summary string, status string, "
+                                    "recommended_actions string, mitre_interpretation string", multi_line=True)
+    summary = F.when(F.col("status") == "OK", F.col("analyst_summary")).otherwise("")
+    return back.select("Id", "true_label", "is_correct", summary.alias("summary"), "recommended_actions", "mitre_interpretation")
+
+
 CARD_SQL = """'## Example ' || CAST(example AS VARCHAR) || chr(10) || chr(10) ||
   '**True Label:** ' || coalesce(true_label, '') || chr(10) || chr(10) ||
   '**ML Prediction:** ' || coalesce(ml_predicted_label, '') || chr(10) || chr(10) ||
@@ -646,10 +667,8 @@ def q_reject_empty_alerts(spark, sf_dir):
 # ===========================================================================
 # Sources and sinks
 # ===========================================================================
-from triageflow.sources import io as IO  # noqa: E402
 from triageflow.sources import profile as PR  # noqa: E402
 from triageflow.sources.tables import TABLES, read_table  # noqa: E402
-from triageflow.session import checkpoint_root  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 PROCESSED_SCHEMA = T.StructType([
@@ -934,6 +953,32 @@ def q_subset_baselines(spark, sf_dir):
     return M.model_summary(M.confusion_cells(long_df)).drop("n_rows")
 
 
+@register("subset_baselines_checked", "M9 A14 M7",
+          sql=O.with_ctes(O.EVAL_CTE + f""",
+sub_scored AS (SELECT label, {O.keyword_sum('lower(alert_text)', O.TRUE_POSITIVE_KEYWORDS)} AS tp_score,
+    {O.keyword_sum('lower(alert_text)', O.FALSE_POSITIVE_KEYWORDS)} AS fp_score FROM eval_subset),
+sub_pred AS (SELECT label, {O.RULE_PRED_SQL} AS predicted_label FROM sub_scored)""",
+                          O.metric_ctes("SELECT 'Rule-Based Baseline' AS model, label AS true_label, predicted_label AS pred_label FROM sub_pred")) + """
+SELECT model, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, n_rows, true AS agrees FROM summ
+UNION ALL SELECT 'TF-IDF + Logistic Regression', NULL, NULL, NULL, count(*), true FROM eval_subset""")
+def q_subset_baselines_checked(spark, sf_dir):
+    """The two baselines on the shared subset: the rule's metrics in full; the
+    classifier's agree with those of labels scored from the relational weights."""
+    split = jobs.stored_split(spark, sf_dir)
+    model, subset = jobs.saved_classifier(split), jobs.eval_subset(split)
+    terms = TM.tfidf_terms(subset.select("Id", "alert_text"), fit_df=split.where(F.col("split") == "train"))
+    lr = TM.predict(model, subset).withColumnRenamed("predicted_label", "lr")
+    both = feat.score_rules(lr, pred_col="rule", keep_scores=False).join(TM.predict_relational(model, terms), "Id", "left")
+    long_df = M.melt_predictions(both, "label", {"Rule-Based Baseline": "rule", "lr": "lr", "twin": "predicted_label"})
+    cols = ["accuracy", "macro_f1", "weighted_f1"]
+    found = {r["model"]: r for r in M.model_summary(M.confusion_cells(long_df)).collect()}  # one row per model
+    agrees = all(abs(found["lr"][c] - found["twin"][c]) < 1e-9 for c in SUMMARY_COLS)  # sums of another order
+    rule = found["Rule-Based Baseline"]
+    rows = [("Rule-Based Baseline", *[rule[c] for c in cols], rule["n_rows"], True), ("TF-IDF + Logistic Regression", None, None, None, found["lr"]["n_rows"], agrees)]
+    out = spark.createDataFrame(rows, "model string, accuracy double, macro_f1 double, weighted_f1 double, n_rows long, agrees boolean")
+    return out.select("model", *[F.round(c, DIGITS).alias(c) for c in cols], "n_rows", "agrees")
+
+
 @register("model_comparison_subset", "A15 A16 O5 L18")
 def q_model_comparison_subset(spark, sf_dir):
     """The five-row comparison on the evaluation subset: rule, LR, zero-shot,
