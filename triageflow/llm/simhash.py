@@ -23,7 +23,9 @@ those that meet at a word, at most the size of that ball, hang on their smallest
 Copies collapse into one fingerprint first (a map-side combine), so a group of
 copies of any size is one node. Documents of null id belong to their class but
 never name it; a class of null ids only has a null component. Repeated rows stay
-repeated. An empty table gives an empty result.
+repeated. A text of any length is hashed in slices of ``HASHES_AT_ONCE`` shingles. An
+empty table gives an empty result. ``near_duplicates`` reads only the named columns and
+``first_of_each`` returns all columns as they are, so others may have any name.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from triageflow.llm.common import bound_batches, components, stored, struct_udf, text_key
+from triageflow.llm.common import bound_batches, components, free_name, stored, struct_udf, text_key
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -231,12 +233,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = SHINGLE_W
 def first_of_each(spark: SparkSession, docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS,
                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id (ties:
-    smallest text key; of equal rows one)."""
-    kept = near_duplicates(spark, docs, words, radius, doc_id, text).where("is_first")
-    kept = stored(spark, kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct(), "kept")
-    keyed = docs.withColumn("_text_key", text_key(text))
-    on = keyed[doc_id].eqNullSafe(kept["_kept_id"]) & (keyed["_text_key"] == kept["_kept_key"])
-    return keyed.join(kept, on, "left_semi").dropDuplicates([doc_id, "_text_key"]).drop("_text_key")
+    smallest text key; of equal rows one). The rows move at most once, to meet
+    the narrow list of those that stay; only rows that share both id and text with
+    another one are brought together a second time. All columns stay as they are."""
+    first = near_duplicates(spark, docs, words, radius, doc_id, text).where("is_first")
+    kept = stored(spark, first.groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).agg(F.count("*").alias("_n")), "kept")
+    key = free_name(docs, "_text_key")
+    keyed = docs.withColumn(key, text_key(text))
+    on = lambda some: keyed[doc_id].eqNullSafe(some["_kept_id"]) & (keyed[key] == some["_kept_key"])
+    once = kept.where("_n = 1")
+    out = keyed.join(once, on(once), "left_semi")
+    if not kept.where("_n > 1").isEmpty():
+        more = kept.where("_n > 1")
+        out = out.unionByName(keyed.join(more, on(more), "left_semi").dropDuplicates([doc_id, key]))
+    return out.drop(key)
 
 
 def hex64(fp: str = "fp") -> Column:
