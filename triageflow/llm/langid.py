@@ -11,8 +11,12 @@ language against the rest; the highest output names the language and, clipped to
 
 Training uses at most ``TRAIN_ROWS`` rows, spread evenly over the languages and
 taken in the order of a hash of the text; only their n-gram sets reach the
-driver. A text that is null or has no letter gets ``und`` and score 0, as does
-every text if there is nothing to learn from.
+driver. Copies of a text count once. With more languages than ``TRAIN_ROWS`` the ones
+of the most texts are learned. A text that is null or has no letter gets ``und`` and
+score 0, as does every text if there is nothing to learn from. A very long text is read
+in slices; of equally high outputs the first language in order wins; repeated rows get
+equal results, an empty table an empty one. The column function adds one column, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -130,7 +134,8 @@ def training_rows(labelled: DataFrame, text: str = "text", lang: str = "lang", r
     spark = labelled.sparkSession
     base = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
-    counts = {r.lang: r.n for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
+    # different texts, as copies count once below: a language of mostly copies keeps its quota
+    counts = {r.lang: r.n for r in base.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
     if not counts:
         return []
     each = max(1, rows // len(counts))
