@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 
 from triageflow.constants import FEATURE_COLUMNS, FIELD_SEPARATOR, NULL_VALUE_TEXT
 
-# Python's str.strip() whitespace set (Spark's trim only removes spaces).
-PY_WHITESPACE_CLASS = r"[\t\n\x0B\f\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_STRIP_PATTERN = rf"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$"
+# Python's str.strip() whitespace set (without it, Spark's trim only removes spaces).
+PY_WHITESPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                  0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body) -> Column:
@@ -26,9 +26,10 @@ def let(value: Column, body) -> Column:
 
 
 def py_strip(col: Column | str) -> Column:
-    """``str.strip()``: remove leading/trailing whitespace incl. tabs and newlines."""
+    """``str.strip()``: remove leading/trailing whitespace incl. tabs and newlines.
+    A trim looks at both ends only; a pattern would be tried at every character."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, _STRIP_PATTERN, "")
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def value_text(df: DataFrame, name: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -15,22 +16,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-SPREAD_BYTES = 1 << 30
+#: Rows of a scan that one task of per-row work takes at most.
+TASK_ROWS = 250_000
 
 
-def spread_small_input(df: DataFrame, min_partitions: int | None = None, most_bytes: int = SPREAD_BYTES) -> DataFrame:
-    """Round-robin a small scan that yields fewer splits than the cluster has cores.
+def spread_small_input(df: DataFrame, min_partitions: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Round-robin a scan whose rows lie in fewer tasks than the cluster has cores,
+    or in very large ones.
 
-    A parquet file with one row group is one split, so its whole downstream
-    pipeline (text assembly, JSON parsing, scoring) would run in one task. A
-    scan of at most ``most_bytes`` (by the planner's statistics) is cheap to
-    redistribute; a larger one keeps its splits and is never shuffled for this.
-    The partition count comes from planning the scan, not from running it.
+    A parquet row group is read by one task, whatever the number of splits, so its
+    whole downstream pipeline (text assembly, JSON parsing, scoring) would run there;
+    the splits without a row group's middle stay empty. The rows of each task
+    come from a count that reads the files' footers alone. A scan that is already
+    even is never shuffled for this.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= most_bytes and df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    per_task = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    largest, rows = per_task.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(target, -(-rows // task_rows))
+    if largest * parts > 2 * rows or df.rdd.getNumPartitions() < target:
+        return df.repartition(parts)
     return df
 
 
