@@ -126,6 +126,10 @@ def respond(prompts: DataFrame, responder: Callable[[str], str], prompt_col: str
             for pdf in batches:
                 answers, open_calls = [], deque()
                 for prompt in pdf["prompt"].tolist():
+                    if in_flight == 1:  # one call after the other needs no thread of its own
+                        start.wait()
+                        answers.append(call(prompt))
+                        continue
                     if len(open_calls) == in_flight:
                         answers.append(open_calls.popleft().result())
                     start.wait()

@@ -50,6 +50,10 @@ RAW_ALERT_SCHEMA = T.StructType([
 ])
 
 
+#: Parts of a micro-batch for each core.
+BATCH_PARTS_PER_CORE = 4
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -63,6 +67,12 @@ def alert_stream(spark: SparkSession, path: str, schema: T.StructType = RAW_ALER
     return reader.parquet(path)
 
 
+def spread(batch: DataFrame) -> DataFrame:
+    """A micro-batch over all cores: its files are few, and as many tasks would do
+    all of its work. Rows only move; the parts are handed to tasks one by one."""
+    return batch.repartition(BATCH_PARTS_PER_CORE * batch.sparkSession.sparkContext.defaultParallelism)
+
+
 def classify(raw: DataFrame, model: PipelineModel | None = None) -> DataFrame:
     """Per-row scoring shared by batch and stream: every alert, graded or not
     -> text -> non-empty check -> label of the trained ``model`` (loaded by the
@@ -74,7 +84,7 @@ def classify(raw: DataFrame, model: PipelineModel | None = None) -> DataFrame:
 def run_rule_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                     max_files_per_trigger: int | None = 1, timeout_s: float | None = None) -> None:
     """Drain ``source_dir`` into ``sink_dir`` (Parquet, append) and stop."""
-    scored = classify(alert_stream(spark, source_dir, max_files_per_trigger=max_files_per_trigger))
+    scored = classify(spread(alert_stream(spark, source_dir, max_files_per_trigger=max_files_per_trigger)))
     query = (scored.writeStream.format("parquet").option("path", sink_dir)
              .option("checkpointLocation", checkpoint_dir).outputMode("append")
              .trigger(availableNow=True).start())
@@ -128,7 +138,7 @@ def run_request_stream(spark: SparkSession, source_dir: str, out_dir: str, rejec
                        responder: Callable[[str], str], model: PipelineModel | None = None,
                        max_files_per_trigger: int | None = 1, timeout_s: float | None = None) -> None:
     """Drain the requests of ``source_dir`` into ``out_dir`` and ``rejected_dir``."""
-    requests = alert_stream(spark, source_dir, REQUEST_SCHEMA, max_files_per_trigger)
+    requests = spread(alert_stream(spark, source_dir, REQUEST_SCHEMA, max_files_per_trigger))
     query = (requests.writeStream.option("checkpointLocation", checkpoint_dir)
              .foreachBatch(lambda b, i: request_batch(b, i, responder, out_dir, rejected_dir, model))
              .trigger(availableNow=True).start())
@@ -140,7 +150,7 @@ def run_request_stream(spark: SparkSession, source_dir: str, out_dir: str, rejec
 def run_triage_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
                       responder: Callable[[str], str], max_files_per_trigger: int | None = 1,
                       timeout_s: float | None = None, model: PipelineModel | None = None) -> None:
-    scored = classify(alert_stream(spark, source_dir, max_files_per_trigger=max_files_per_trigger), model)
+    scored = classify(spread(alert_stream(spark, source_dir, max_files_per_trigger=max_files_per_trigger)), model)
     query = (scored.writeStream.option("checkpointLocation", checkpoint_dir)
              .foreachBatch(lambda b, i: triage_batch(b, i, responder, out_dir))
              .trigger(availableNow=True).start())
