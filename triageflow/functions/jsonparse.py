@@ -34,37 +34,43 @@ def _vget(v: Column, path: str, typ: str) -> Column:
 
 
 def _is_valid(w: Column) -> Column:
-    return F.coalesce((F.size(_vget(w, "$", "array<variant>")) == 2)
-                      & (_vget(w, "$[1]", "string") == F.lit(SENTINEL)), F.lit(False))
+    """Two elements, the sentinel second: read by path, so that no element is copied."""
+    return F.coalesce((_vget(w, "$[1]", "string") == F.lit(SENTINEL)) & _vget(w, "$[2]", "variant").isNull(), F.lit(False))
 
 
-def _object_of(w: Column) -> Column:
-    return let(_vget(w, "$[0]", "variant"),
-               lambda v: F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), v))
+def _is_object(text: Column) -> Column:
+    """Whether valid JSON is an object: its first character after white space tells."""
+    return F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
+
+
+def _object_of(w: Column, text: Column) -> Column:
+    return F.when(_is_object(text), _vget(w, "$[0]", "variant"))
 
 
 def strict_object(text: Column) -> Column:
     """The text parsed as a JSON object (Python-strict), else null."""
-    return let(_wrapped(text), lambda w: F.when(_is_valid(w), _object_of(w)))
+    return let(_wrapped(text), lambda w: F.when(_is_valid(w), _object_of(w, text)))
 
 
 def answer_text(raw: Column, greedy: bool = True) -> Column:
     """The text that :func:`extract_answer` parses into an object, or null."""
     pattern = GREEDY if greedy else NON_GREEDY
 
-    def is_object(w: Column) -> Column:
-        return F.coalesce(_is_valid(w) & _object_of(w).isNotNull(), F.lit(False))
-
-    def from_span(span: Column) -> Column:
-        return F.when((span != F.lit("")) & is_object(_wrapped(span)), span)
+    def from_span(span: Column) -> Column:  # starts with a brace
+        return F.when((span != F.lit("")) & _is_valid(_wrapped(span)), span)
 
     def from_text(text: Column) -> Column:
-        return let(_wrapped(text), lambda w: F.when(_is_valid(w), F.when(is_object(w), text))
+        return let(_wrapped(text), lambda w: F.when(_is_valid(w), F.when(_is_object(text), text))
                    .otherwise(let(F.regexp_extract(text, pattern, 0), from_span)))
 
     return let(py_strip(raw), from_text)
 
 
+def parsed_object(text: Column) -> Column:
+    """The object of a text that is known to be one (:func:`answer_text`), null of null."""
+    return F.try_parse_json(text)
+
+
 # A JSON string, a run of other characters, or one that may take a space.
 _JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|[^",:]+|[,:]'
 
@@ -113,7 +119,7 @@ def extract_answer(raw: Column, greedy: bool = True) -> Column:
         return F.when(span != F.lit(""), strict_object(span))
 
     def from_text(text: Column) -> Column:
-        return let(_wrapped(text), lambda w: F.when(_is_valid(w), _object_of(w))
+        return let(_wrapped(text), lambda w: F.when(_is_valid(w), _object_of(w, text))
                    .otherwise(let(F.regexp_extract(text, pattern, 0), from_span)))
 
     return let(py_strip(raw), from_text)
@@ -131,11 +137,8 @@ def field_double(parsed: Column, name: str) -> Column:
 def field_list(parsed: Column, name: str) -> Column:
     """List coercion: JSON array -> its elements as text; non-blank string ->
     one-element list; anything else (absent, null, blank, number, object) -> []."""
-    v = _vget(parsed, f"$.{name}", "variant")
-    kind = F.schema_of_variant(v)
-    as_list = _vget(v, "$", "array<string>")
-    as_str = _vget(v, "$", "string")
-    empty = F.array().cast("array<string>")
-    return (F.when(kind.startswith("ARRAY"), F.coalesce(as_list, empty))
-             .when((kind == F.lit("STRING")) & (F.length(py_strip(as_str)) > 0), F.array(as_str))
-             .otherwise(empty))
+    as_list = _vget(parsed, f"$.{name}", "array<string>")  # null of any other kind
+    as_str = _vget(parsed, f"$.{name}", "string")
+    is_str = F.schema_of_variant(_vget(parsed, f"$.{name}", "variant")) == F.lit("STRING")
+    return F.coalesce(as_list, F.when((F.length(py_strip(as_str)) > 0) & is_str, F.array(as_str)),
+                      F.array().cast("array<string>"))

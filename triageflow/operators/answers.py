@@ -158,7 +158,9 @@ def with_field_dumps(df: DataFrame, fields: dict[str, str], raw_col: str = "raw_
     their CSV files, where the coerced lists are what the service returns. Rows
     without a parsed answer, or whose answer lacks the field, hold an empty list."""
     raw = F.when(F.col("status") == "OK", F.col(raw_col))
-    both = df.withColumn("_answer", F.struct(J.extract_answer(raw, greedy).alias("p"), J.answer_text(raw, greedy).alias("t")))
+    # the text is told once, the object parsed from it
+    told = let(J.answer_text(raw, greedy), lambda t: F.struct(J.parsed_object(t).alias("p"), t.alias("t")))
+    both = df.withColumn("_answer", told)
     dumps = {c: J.field_dump(F.col("_answer.p"), F.col("_answer.t"), f) for c, f in fields.items()}
     return both.withColumns(dumps).drop("_answer")
 
