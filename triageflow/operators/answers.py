@@ -123,16 +123,23 @@ def pick_answers(answers: DataFrame, keys: list[str], latest_col: str | None = "
     greatest of the other columns.
 
     One grouped maximum: partial maxima meet in any order, so a key that holds a
-    large share of the answers is reduced before the shuffle. The parsed object
-    rides along as ``_parsed``, so no answer is parsed a second time."""
+    large share of the answers is reduced before the shuffle. Every answer is judged
+    before; its columns are held once, with the place of its object in the text. The
+    objects of the picked answers are ``_parsed``, where a later step asks for them."""
+    raw = F.col(raw_col)
     failed = F.col(error_col).isNotNull() if error_col in answers.columns else F.lit(False)
-    parsed = answers.withColumn("_parsed", F.when(~failed, J.extract_answer(F.col(raw_col), greedy)))
     rest = [c for c in answers.columns if c not in keys]
-    rank = F.when(F.col("_parsed").isNotNull(), 2).when(~failed & F.col(raw_col).isNotNull(), 1).otherwise(0)
     first = [c for c in (latest_col, raw_col) if c in rest]
-    order = F.struct(rank.alias("_rank"), *first, *(c for c in rest if c not in first))
-    best = parsed.groupBy(*keys).agg(F.max_by(F.struct(*rest, "_parsed"), order).alias("_a"))
-    return best.select(*keys, "_a.*")
+
+    def order(text: Column) -> Column:
+        rank = F.when(text.isNotNull(), 2).when(~failed & raw.isNotNull(), 1).otherwise(0)
+        return F.struct(rank.alias("_rank"), *first, *(c for c in rest if c not in first),
+                        F.instr(raw, text).alias("_at"), F.length(text).alias("_n"))
+
+    best = answers.groupBy(*keys).agg(F.max(let(F.when(~failed, J.answer_text(raw, greedy)), order)).alias("_a"))
+    found = F.substr(F.col("_a")[raw_col], F.col("_a._at"), F.col("_a._n"))
+    return best.select(*keys, *[F.col("_a")[c].alias(c) for c in rest],
+                       J.parsed_object(F.when(F.col("_a._rank") == 2, found)).alias("_parsed"))
 
 
 def attach_answers(alerts: DataFrame, answers: DataFrame, id_col: str = "Id", greedy: bool = True,
@@ -140,11 +147,12 @@ def attach_answers(alerts: DataFrame, answers: DataFrame, id_col: str = "Id", gr
     """Alerts LEFT JOIN stored answers on the id (never by position), and on the
     other id columns where both sides have them. Answers are first brought to
     one per key (:func:`pick_answers`), so every alert stays one row even
-    if ids repeat; a null key has no answer. Both sides grow with the data: a
-    shuffle join chosen by the planner. The result carries the parsed object
+    if ids repeat; a null key has no answer. Both sides grow with the data: a merge
+    join, as the planner takes the answers by the size of their compressed ids for
+    small and would send millions of them through the driver. The result carries the parsed object
     (``_parsed``, by the ``greedy`` or the other span) for the parsers of this module."""
     keys = [id_col, *(c for c in ID_COLUMNS if c != id_col and c in alerts.columns and c in answers.columns)]
-    return alerts.join(pick_answers(answers, keys, latest_col, greedy=greedy), keys, "left")
+    return alerts.join(pick_answers(answers, keys, latest_col, greedy=greedy).hint("merge"), keys, "left")
 
 
 def _with_parsed(df: DataFrame, raw: Column, greedy: bool) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import SparkSession
 RUNTIME_CONFS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Shuffled answers and texts compress many times over: the default of 64 MB
+    # would put over a million rows into one task's sort.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Python's json keeps the last of duplicate keys; Spark's variant parser
     # returns null for the whole document unless this is on.

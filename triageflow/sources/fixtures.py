@@ -170,7 +170,7 @@ def online_requests(alerts: DataFrame) -> DataFrame:
 def repeated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triage answers of incidents: every order of a customer gave one answer to
     the same id (``Id = o_custkey``), good, unparsable or failed, at its own time."""
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"], spread=True)
     a = triage_answers(spark, sf_dir, orders=o.withColumns({"incident": F.col("o_custkey"), "answered_at": F.col("o_orderdate").cast("string")}),
                        keep=["incident", "answered_at"])
     return a.drop("Id").withColumnRenamed("incident", "Id")
