@@ -9,11 +9,11 @@ answers, and parsing back in (``operators.answers``).
 from __future__ import annotations
 
 import time
-from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,15 +85,15 @@ def respond(prompts: DataFrame, responder: Callable[[str], str], prompt_col: str
             in_flight: int = 1, calls_per_second: float | None = None) -> DataFrame:
     """Responder hook: call ``responder(prompt)`` for every row inside the tasks.
 
-    ``mapInPandas`` streams Arrow batches through the function; each call is
+    ``mapInArrow`` streams batches through the function; each call is
     timed on its own (without the wait for its turn); an exception is kept as
     ``request_error`` and the batch continues. ``keep`` columns ride along with
     their answer (no join back to the prompts).
 
     ``in_flight`` calls of a task overlap on threads: a waiting model service, not
-    the CPU, takes the time. At most that many are started and not yet written
-    out, and answers keep the order of their prompts. The responder must allow
-    calls from several threads when it is above 1.
+    the CPU, takes the time. Each thread takes the next prompt of the batch, so at
+    most that many calls are open, and answers keep the order of their prompts. The
+    responder must allow calls from several threads when it is above 1.
 
     ``concurrency`` round-robins the prompts into that many tasks (no key: a
     repeated id cannot pile up in one), so ``concurrency * in_flight`` bounds the
@@ -120,26 +120,33 @@ def respond(prompts: DataFrame, responder: Callable[[str], str], prompt_col: str
             raw, error = None, str(e)
         return raw, error, time.monotonic() - t0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(in_flight) as pool:
-            start = Paced(apart)
-            for pdf in batches:
-                answers, open_calls = [], deque()
-                for prompt in pdf["prompt"].tolist():
-                    if in_flight == 1:  # one call after the other needs no thread of its own
-                        start.wait()
-                        answers.append(call(prompt))
-                        continue
-                    if len(open_calls) == in_flight:
-                        answers.append(open_calls.popleft().result())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, turn = Paced(apart), Lock()
+
+        def work(prompts: Iterator[tuple[int, str]], answers: list) -> None:
+            while True:
+                with turn:
+                    at, prompt = next(prompts, (None, None))
+                    if at is None:
+                        return
                     start.wait()
-                    open_calls.append(pool.submit(call, prompt))
-                answers += [c.result() for c in open_calls]
+                answers[at] = call(prompt)
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                answers = [None] * batch.num_rows
+                prompts = iter(enumerate(batch.column("prompt").to_pylist()))
+                if in_flight == 1:  # one call after the other needs no thread of its own
+                    work(prompts, answers)
+                else:
+                    for done in [pool.submit(work, prompts, answers) for _ in range(in_flight)]:
+                        done.result()
                 raw, error, latency = zip(*answers) if answers else ((), (), ())
-                yield pd.DataFrame({"Id": pdf["Id"], "raw_response": raw, "request_error": error,
-                                    "latency_seconds": latency, **{c: pdf[c] for c in keep}})
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("Id"), pa.array(raw, pa.string()), pa.array(error, pa.string()), pa.array(latency, pa.float64()),
+                     *(batch.column(c) for c in keep)], names=schema.names)
 
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 class Paced:
