@@ -172,6 +172,18 @@ def test_counts_stay_exact_in_a_crowded_slot_table(spark):
     assert sorted(map(tuple, got.collect())) == brute_collocations(rows, 12, 1000)
 
 
+@pytest.mark.parametrize("seed", [2, 20])
+def test_a_phrase_counts_whole_if_a_part_of_it_shares_slots_of_earlier_steps(spark, seed):
+    """A phrase of three words found late, in slots set early, hid half of the longer one."""
+    rng = random.Random(seed)
+    slots = rng.choice([8, 16, 32, 64])
+    rows = [("en", " ".join(rng.choice("abcdefg"[:rng.randint(2, 7)]) for _ in range(rng.randint(0, 40)))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    found, _ = collocations.counts(spark, df, threshold=12, shards=2, slots=slots)
+    want = Counter(" ".join(text.split()[i:i + k]) + "\ten" for _, text in rows for k in range(1, 5) for i in range(len(text.split()) - k + 1))
+    assert dict(map(tuple, found.collect())) == {k: n for k, n in want.items() if n >= 12}
+
+
 def block_counts(texts, reached=0):
     """Phrases of a block in a step in which all (0) or none are active but words."""
     block = collocations.Block()

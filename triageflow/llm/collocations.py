@@ -16,8 +16,8 @@ The step at which a subphrase reached the threshold is looked up in a table of f
 size (``slots`` bytes, a power of two; two slots a phrase by its 64-bit hash): a slot keeps the first
 step that used it, the later of two slots counts. A slot never changes once set, so
 all tasks and steps agree on when a phrase became active. A clash of hashes can only
-make a phrase active earlier or in vain, for a full cycle as well: counts stay exact
-at any size, a table that fills up only prunes less.
+make a phrase active earlier or in vain, never before its subphrases and for a full
+cycle as well: counts stay exact at any size, a table that fills up only prunes less.
 
 A task emits each active phrase of a batch once with its count; in-progress counts
 are a table of the shared folder that each step merges with the new ones. Words,
@@ -58,7 +58,7 @@ WEIGHT = 2_000_000
 COVER_PERCENT = 80
 NEVER = 255
 CHUNK_BYTES = 1 << 20
-BLOCK_BYTES = 6 << 20  # under 2^21 words: three numbers fit 63 bits, if a chunk is not one giant word
+BLOCK_BYTES = 6 << 20
 CUT = b"\xff"  # never part of UTF-8: stands for the end of a piece
 _LINES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", CUT * 10)
 _BREAK, _AHEAD = re.compile(rb"[ \t\xff]"), re.compile(rb"(?:[ \t]+[^ \t\xff]+){0,%d}" % (LONGEST - 1))
@@ -160,12 +160,14 @@ class Block:
         self.size = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        number = self.langs.setdefault(lang, len(self.langs))
         for part, limit in chunks(text):
-            self.parts.append(part)
-            self.part_langs.append(number)
-            self.limits.append(limit)
-            self.size += len(part) + 1
+            self.add_part(lang, part, limit)
+
+    def add_part(self, lang: str, part: bytes, limit: int) -> None:
+        self.parts.append(part)
+        self.part_langs.append(self.langs.setdefault(lang, len(self.langs)))
+        self.limits.append(limit)
+        self.size += len(part) + 1
 
     def counted(self, step: int, shards: int, reached: np.ndarray) -> pa.RecordBatch:
         """``key, since, n`` of the phrases that are counted in this step."""
@@ -207,7 +209,10 @@ class Block:
             if length == 2:
                 ids = flat[start] * names + flat[start + 1]
             elif length == 3:
-                ids = (flat[start] * names + flat[start + 1]) * names + flat[start + 2]
+                pairs = flat[start] * names + flat[start + 1]
+                if names >= 1 << 21:  # three numbers pass 63 bits
+                    pairs = np.unique(pairs, return_inverse=True)[1]
+                ids = pairs * names + flat[start + 2]
             else:
                 pairs = np.concatenate([flat[start] * names + flat[start + 1], flat[start + 2] * names + flat[start + 3]])
                 dense = np.unique(pairs, return_inverse=True)[1]
@@ -218,7 +223,8 @@ class Block:
                 nxt = longer(h[start], hashes[flat[start + length - 1]])
                 a, b = slots_of(nxt, len(reached))
                 when, h = np.full(len(flat), NEVER, np.uint8), h.copy()
-                when[start] = np.maximum(reached[a], reached[b])
+                # never before the step from which it is counted itself, whatever phrases share its slots
+                when[start] = np.maximum(np.maximum(reached[a], reached[b]), since)
                 h[start] = nxt
         keys = pa.concat_arrays([k for k, _, _ in out])
         return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([w for _, w, _ in out])), pa.array(np.concatenate([n for _, _, n in out]))],
@@ -230,10 +236,11 @@ def _scan(step: int, shards: int, reached):
         block = Block()
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                block.add(lang, text or b"")
-                if block.size >= BLOCK_BYTES:
-                    yield block.counted(step, shards, reached.value)
-                    block = Block()
+                for part, limit in chunks(text or b""):
+                    block.add_part(lang, part, limit)
+                    if block.size >= BLOCK_BYTES:
+                        yield block.counted(step, shards, reached.value)
+                        block = Block()
         yield block.counted(step, shards, reached.value)
     return run
 
