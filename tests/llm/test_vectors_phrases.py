@@ -204,6 +204,30 @@ def test_long_texts_are_cut_without_losing_phrases(monkeypatch, most):
     assert block_counts([("en", text)]) == want
 
 
+@pytest.mark.parametrize("most", [7, 1 << 20])
+def test_scans_of_numbers_count_what_scans_of_words_do(monkeypatch, most):
+    text = "".join(random.Random(9).choice(["a", "b", "cc", " ", " ", "\t", ".", "an-uncommonly-long-word "]) for _ in range(3000))
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", most)
+    block = collocations.Block()
+    for lang in ("en", "de"):
+        block.add(lang, text.encode())
+    found = collocations.active(np.frombuffer(block.numbers(), "<u4"), 0, 1, np.zeros(collocations.SLOTS, np.uint8))
+    by_length = lambda pairs: sorted((k, n) for k, n in pairs)
+    want = block_counts([("en", text), ("de", text)])
+    assert by_length(zip(found["tag"].to_pylist(), found["n"].to_pylist())) == by_length((len(k.split("\t")[0].split(" ")), n) for k, n in want.items())
+
+
+def test_phrases_of_one_hash_are_counted_by_their_words(monkeypatch):
+    """All words have the same number: all phrases of a length stand by one hash."""
+    monkeypatch.setattr(collocations, "numbers_of", lambda h: np.ones(len(h), "<u4"))
+    block = collocations.Block()
+    block.add("en", b"one two one two, two three")
+    found = block.counted(0, 1, np.zeros(collocations.SLOTS, np.uint8), own=True)
+    assert dict(zip(found["key"].to_pylist(), found["n"].to_pylist())) == {
+        "one\ten": 2, "two\ten": 3, "three\ten": 1, "one two\ten": 2, "two one\ten": 1, "two three\ten": 1, "one two one\ten": 1,
+        "two one two\ten": 1, "one two one two\ten": 1, "\ten": 6}
+
+
 def test_words_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(collocations, "_mixed", lambda h: h & np.uint64(3))
     text = "one two three four five six seven one two and-longer-than-sixteen-bytes and-longer-than-sixteen-bits"
